@@ -1,0 +1,41 @@
+"""Folder shared by the driver and the executors, and tables written there."""
+
+from __future__ import annotations
+
+import itertools
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_names = itertools.count()
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; only where it is unset (tests, one machine), a temporary folder."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="weft-"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: a cut in lineage that lost executors don't undo."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{next(_names)}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and nothing needs any longer."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

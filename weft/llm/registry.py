@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, decontam, langid, license_scan, line_dedup, quality, sampling, simhash, toxicity
+from weft.llm import bpe, decontam, html_text, langid, license_scan, line_dedup, quality, sampling, simhash, toxicity, vector_links
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", sampling.in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page in its layout."""
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return vector_links.link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     found = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
@@ -108,6 +118,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_license_scan": op4_license_scan,
         "op5_quality": op5_quality,
+        "op6_html_text": op6_html_text,
+        "op7_embedding_links": op7_embedding_links,
         "op8_decontamination": op8_decontamination,
         "op9_language_id": op9_language_id,
         "op10_byte_bpe": op10_byte_bpe,

@@ -2,7 +2,7 @@
 
 
 def _load():
-    from weft.catalog import core, tabular
+    from weft.catalog import core, graphs, scores, tabular
 
     return core
 

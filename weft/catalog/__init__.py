@@ -2,7 +2,7 @@
 
 
 def _load():
-    from weft.catalog import core, graphs, scores, tabular, vectors
+    from weft.catalog import core, flows, graphs, scores, tabular, vectors
 
     return core
 

@@ -29,8 +29,8 @@ from weft.llm import sampling
 from weft.llm import textblock as tb
 from weft.llm.toxicity import add_scores
 
-PER_CLASS = 4000
-UNLABELLED = 8000
+PER_CLASS = 2500
+UNLABELLED = 5000
 HIDDEN = 24
 
 _PUNCT = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, p
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~sampling.in_fold(F.col("doc_id"), modulus, held))
     share = usable.agg(F.avg("y"), F.min("y")).first()
     ids = sampling.hashed_first(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~sampling.in_fold(F.col("doc_id"), modulus, held)), unlabelled)
-    web = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").toPandas().sort_values("doc_id", kind="stable")
+    web = sampling.frame(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")).sort_values("doc_id", kind="stable")
     model = PUNet()
     if not (known.y == 1).any() or not len(web):
         return model

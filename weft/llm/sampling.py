@@ -12,6 +12,11 @@ def in_fold(doc_id: Column, modulus: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)) == fold, F.lit(False))
 
 
+def frame(df: DataFrame) -> pd.DataFrame:
+    """A bounded result on the driver, by Arrow: rows as objects would take several times the memory."""
+    return df.toArrow().to_pandas()
+
+
 def hashed_first(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """``n`` rows, the first in hash order of the key: the same ones for the same table."""
     return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(7)), key).limit(n)
@@ -25,13 +30,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held:
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~in_fold(F.col("doc_id"), modulus, held)).distinct()
     picked = hashed_first(usable.where("y = 1"), per_class).union(hashed_first(usable.where("y = 0"), per_class))
-    rows = picked.toPandas()
+    rows = frame(picked)
     if not len(rows):
         return pd.DataFrame({"doc_id": [], "text": [], "lang": [], "y": []})
     chosen = docs.sparkSession.createDataFrame(rows, "doc_id long, y int")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang)
-    return own.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "y"], kind="stable").drop_duplicates("text").reset_index(drop=True)
+    return frame(own.join(F.broadcast(chosen), "doc_id")).sort_values(["doc_id", "y"], kind="stable").drop_duplicates("text").reset_index(drop=True)
 
 
 class Adam:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from weft.llm import sampling
 from weft.llm import textblock as tb
 
-PER_CLASS = 4000
+PER_CLASS = 2000
 MIN_DOCS = 3
 #: Bytes of the first and last parts of a word that are hashed.
 AFFIXES = (4, 5, 6)
@@ -65,6 +65,14 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return out
 
 
+def summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the table rows of each word's parts, part by part to stay small."""
+    out = table[rows[:, 0]]
+    for column in rows.T[1:]:
+        out += table[column]
+    return out
+
+
 class TextCNN:
     """Hash rows, tap tables and thresholds; ``fit`` trains, ``scores`` applies."""
 
@@ -86,7 +94,7 @@ class TextCNN:
         hashed = word_hashes(distinct)
         at = np.searchsorted(self.hashes, hashed.ravel()).reshape(hashed.shape)
         at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashed, at + 1, 0)
+        return np.where(self.hashes[at] == hashed, at + 1, 0).astype(np.int32)
 
     @staticmethod
     def padded(rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,11 +107,11 @@ class TextCNN:
         return out, starts, size
 
     def _guess(self, which: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        sums = tb.per_row_sum(self.profile[rows].sum(1)[which], bounds)
+        sums = tb.per_row_sum(summed(self.profile, rows)[which], bounds)
         return np.where(np.abs(sums).sum(1) > 0, sums.argmax(1), len(self.langs))
 
     def _logits(self, which: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        by_word = np.concatenate((np.zeros((1, self.taps.shape[1]), np.float32), self.taps[rows].sum(1)))
+        by_word = np.concatenate((np.zeros((1, self.taps.shape[1]), np.float32), summed(self.taps, rows)))
         words, starts, size = self.padded(which + 1, bounds)
         n = len(words) - max(WIDTHS)
         cut = np.empty(2 * len(size), np.int64)
@@ -127,7 +135,7 @@ class TextCNN:
         logit = self._logits(which, rows, bounds) - self.threshold[self._guess(which, rows, bounds)]
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
-    def fit(self, sample: pd.DataFrame, epochs: int = 8, seed: int = 5) -> TextCNN:
+    def fit(self, sample: pd.DataFrame, epochs: int = 6, seed: int = 5) -> TextCNN:
         """Train on text and y (0 or 1) and calibrate by lang on every fifth row."""
         if sample.y.nunique() < 2:
             return self
@@ -141,23 +149,26 @@ class TextCNN:
             aside[:] = False
         # documents of each part, over training rows alone
         hashed = word_hashes(distinct)
-        doc = np.repeat(np.arange(len(sample)), np.diff(bounds))
-        pair = np.unique(doc * np.int64(len(distinct)) + which)
+        pair = np.unique(np.repeat(np.arange(len(sample)), np.diff(bounds)) * np.int64(len(distinct)) + which)
         pair = pair[~aside[pair // len(distinct)]]
-        values, part = np.unique(hashed, return_inverse=True)
-        part = part.reshape(hashed.shape)
-        seen = np.unique((pair // len(distinct))[:, None] * np.int64(len(values)) + part[pair % len(distinct)])
-        own, own_doc = seen % len(values), seen // len(values)
-        df = np.bincount(own, minlength=len(values))
-        keep = (df >= MIN_DOCS) & (values >= 0)
+        values = np.unique(hashed)
+        part = np.stack([np.searchsorted(values, column) for column in hashed.T], 1).astype(np.int32)
+        del hashed
+        word, text = (pair % len(distinct)).astype(np.int32), pair // len(distinct)
+        ones, zeros = np.zeros(len(values)), np.zeros(len(values))
+        for column in part.T:  # a hash belongs to one kind of part
+            seen = np.unique(text * np.int64(len(values)) + column[word])
+            own, positive = seen % len(values), y[seen // len(values)]
+            ones += np.bincount(own, positive, len(values))
+            zeros += np.bincount(own, 1 - positive, len(values))
+        keep = (ones + zeros >= MIN_DOCS) & (values >= 0)
         self.hashes = values[keep]
         n = len(self.hashes)
         if not n:
             return self
         rows = self.rows(distinct)
         # first coordinate of an embedding: smoothed log odds of the part's documents
-        ones = np.bincount(own, y[own_doc], len(values))[keep] + 1
-        zeros = np.bincount(own, 1 - y[own_doc], len(values))[keep] + 1
+        ones, zeros = ones[keep] + 1, zeros[keep] + 1
         odds = np.log(ones / (y[~aside].sum() + 2)) - np.log(zeros / ((1 - y[~aside]).sum() + 2))
         w = {"e": rng.normal(0, 0.05, (n + 1, SIZE)), "b": np.zeros(FILTERS * len(WIDTHS)), "o": rng.normal(0, 0.3, FILTERS * len(WIDTHS)), "c": np.zeros(1)}
         w["e"][1:, 0] = np.clip(odds, -3, 3) / 3
@@ -171,24 +182,34 @@ class TextCNN:
             order = rng.permutation(train)
             for a in range(0, len(order), 64):
                 self._step(w, adam, order[a : a + 64], which, rows, bounds, y, weight)
-        self.taps = np.concatenate([w["e"] @ w[f"f{k}"][j] for k in WIDTHS for j in range(k)], 1).astype(np.float32)
+        self.taps = np.concatenate([(w["e"] @ w[f"f{k}"][j]).astype(np.float32) for k in WIDTHS for j in range(k)], 1)
         self.bias, self.out, self.out_bias = w["b"].astype(np.float32), w["o"].astype(np.float32), float(w["c"][0])
         self._calibrate(sample, y, aside, which, rows, bounds)
         return self
 
     def _calibrate(self, sample: pd.DataFrame, y: np.ndarray, aside: np.ndarray, which: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> None:
-        logit = self._logits(which, rows, bounds)
+        def by_chunk(f) -> np.ndarray:
+            out = []
+            for a in range(0, len(sample), 250):
+                b = min(a + 250, len(sample))
+                own, local = np.unique(which[bounds[a] : bounds[b]], return_inverse=True)
+                out.append(f(local, rows[own], bounds[a : b + 1] - bounds[a]))
+            return np.concatenate(out)
+
+        logit = by_chunk(self._logits)
         tune = aside if aside.any() else np.ones(len(y), bool)
         langs = sample.lang.fillna("").to_numpy(str)
         self.langs = sorted({x for x in langs if x})
         n = len(self.hashes) + 1
         counts = np.ones((n, max(1, len(self.langs))))
         for j, lang in enumerate(self.langs):
-            counts[:, j] += np.bincount(rows[which[np.repeat(langs == lang, np.diff(bounds))]].ravel(), minlength=n)
+            words = np.bincount(which[np.repeat(langs == lang, np.diff(bounds))], minlength=len(rows))
+            for column in rows.T:
+                counts[:, j] += np.bincount(column, words, n)
         self.profile = np.log(counts / counts.sum(0))
         self.profile -= self.profile.mean(1, keepdims=True)
         self.profile[0] = 0
-        guess = self._guess(which, rows, bounds)
+        guess = by_chunk(self._guess)
         self.threshold = np.full(len(self.langs) + 1, best_threshold(logit[tune], y[tune]))
         for j in range(len(self.langs)):
             mine = tune & (guess == j)
@@ -198,7 +219,7 @@ class TextCNN:
     def _step(self, w: dict, adam: sampling.Adam, batch: np.ndarray, which: np.ndarray, rows: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         size = np.diff(bounds)[batch]
         own, local = np.unique(which[tb.gather_ranges(bounds[:-1][batch], size)], return_inverse=True)
-        table = np.concatenate((np.zeros((1, rows.shape[1]), np.int64), rows[own]))
+        table = np.concatenate((np.zeros((1, rows.shape[1]), rows.dtype), rows[own]))
         words, starts, size = self.padded(local + 1, np.concatenate(([0], np.cumsum(size))))
         n = len(words) - max(WIDTHS)
         cut = np.empty(2 * len(size), np.int64)

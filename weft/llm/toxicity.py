@@ -5,7 +5,9 @@ first and last bytes, so that inflected forms share parts; hash values seen in a
 least ``MIN_DOCS`` training documents own a row of the embedding table, all others
 share the zero row, and a word's embedding is the sum of its rows.  Filters of
 several widths slide over the words, their maxima over the whole text go through a
-logistic unit.  Because a filter is linear in each word, scoring looks up one table
+logistic unit whose weights are kept non-negative and filter biases non-positive:
+only evidence that is found raises a score, and a text of unknown words stays at
+the floor, below every threshold.  Because a filter is linear in each word, scoring looks up one table
 row per part of each *distinct* word of a block: no matrix product per word, no
 limit on text length.
 
@@ -170,7 +172,7 @@ class TextCNN:
         # first coordinate of an embedding: smoothed log odds of the part's documents
         ones, zeros = ones[keep] + 1, zeros[keep] + 1
         odds = np.log(ones / (y[~aside].sum() + 2)) - np.log(zeros / ((1 - y[~aside]).sum() + 2))
-        w = {"e": rng.normal(0, 0.05, (n + 1, SIZE)), "b": np.zeros(FILTERS * len(WIDTHS)), "o": rng.normal(0, 0.3, FILTERS * len(WIDTHS)), "c": np.zeros(1)}
+        w = {"e": rng.normal(0, 0.05, (n + 1, SIZE)), "b": np.zeros(FILTERS * len(WIDTHS)), "o": np.abs(rng.normal(0, 0.3, FILTERS * len(WIDTHS))), "c": np.zeros(1)}
         w["e"][1:, 0] = np.clip(odds, -3, 3) / 3
         w["e"][0] = 0
         for k in WIDTHS:
@@ -210,11 +212,12 @@ class TextCNN:
         self.profile -= self.profile.mean(1, keepdims=True)
         self.profile[0] = 0
         guess = by_chunk(self._guess)
-        self.threshold = np.full(len(self.langs) + 1, best_threshold(logit[tune], y[tune]))
+        floor = self.out_bias + 1e-6
+        self.threshold = np.full(len(self.langs) + 1, max(floor, best_threshold(logit[tune], y[tune])))
         for j in range(len(self.langs)):
             mine = tune & (guess == j)
             if min(y[mine].sum(), (1 - y[mine]).sum()) >= 10:
-                self.threshold[j] = best_threshold(logit[mine], y[mine])
+                self.threshold[j] = max(floor, best_threshold(logit[mine], y[mine]))
 
     def _step(self, w: dict, adam: sampling.Adam, batch: np.ndarray, which: np.ndarray, rows: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         size = np.diff(bounds)[batch]
@@ -262,6 +265,8 @@ class TextCNN:
         np.add.at(total, inverse, values[np.nonzero(live)[0]])
         grads["e"] = (unique, total)
         adam.step(grads)
+        np.maximum(w["o"], 0, out=w["o"])
+        np.minimum(w["b"], 0, out=w["b"])
 
 
 def best_threshold(logit: np.ndarray, y: np.ndarray) -> float:

@@ -305,7 +305,7 @@ def _encoder(shared, with_ids: bool, digests: bool, out_schema: pa.Schema):
                     hashes.append(hashlib.sha256(text[text_at[a] : max(text_at[a], text_at[b] - 1)]).hexdigest())
                     piece = back[back_at[a] : back_at[b]]
                     backs.append(hashlib.sha256(piece).hexdigest())
-                    exact.append(piece == data[c:d].data)
+                    exact.append(bytes(piece) == data[c:d].tobytes())
                 columns |= {"ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(backs, pa.string()), "exact": pa.array(exact, pa.bool_())}
             yield from pa.table([columns[f.name] for f in out_schema], schema=out_schema).combine_chunks().to_batches()
 

@@ -115,7 +115,9 @@ class TreeBuilder(HTMLParser):
                 del self.open[i:]
                 return
             if self.open[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                return
+                break
+        if tag == "p":  # an end without a start is an empty paragraph
+            self.open[-1].children.append(Node("p", {}))
 
     def handle_data(self, data: str) -> None:
         """Text goes to the innermost open element."""

@@ -157,6 +157,16 @@ def test_betweenness_against_path_counts():
         assert v == pytest.approx(want[x] / ((n - 1) * (n - 2)))
 
 
+def test_jittered_paths_are_paths():
+    edges = [(a, b, "") for a, b in random_edges(12, 30, 3)]
+    near = kernels._adjacency(edges, False)
+    rows = kernels.jittered_paths(edges, 20, "s")
+    assert rows and rows == kernels.jittered_paths(edges, 20, "s")
+    for a, b, path, hops in rows:
+        p = [int(x) for x in path.split(">")]
+        assert (p[0], p[-1], len(p) - 1) == (a, b, hops) and len(set(p)) == len(p) and all(y in near[x] for x, y in itertools.pairwise(p))
+
+
 def test_communities_beat_one_module():
     edges = [(a, b, "") for a, b in itertools.combinations(range(5), 2)] + [(a, b, "") for a, b in itertools.combinations(range(5, 10), 2)] + [(0, 5, "")]
     got = dict(kernels.communities(edges))

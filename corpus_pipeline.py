@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, decontam, line_dedup, simhash, toxicity
-from weft.llm.shared import written
+from weft.shared import written
 
 #: SQL cannot express the classifier, the fingerprints or the tokenizer.
 ORACLE_SQL = None

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from weft.llm import textblock as tb
 
-PART_BYTES = 32 << 20
+PART_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 
 

@@ -267,7 +267,7 @@ def drop_lines(docs: DataFrame, hot: DataFrame, text: str = "text", digest: bool
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", digest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Drop all lines whose key occurs in at least ``min_docs`` rows of ``docs``; columns as ``drop_lines``."""
-    from weft.llm.shared import written
+    from weft.shared import written
 
     hot = written(reference_counts(docs, text).where(F.col("n") >= min_docs).select("h1", "h2"), "hot_lines")
     return drop_lines(docs, hot, text, digest, broadcast_bytes)

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from weft.llm import textblock as tb
-from weft.llm.components import connected_components
-from weft.llm.shared import written
+from weft.operators.components import connected_components
+from weft.shared import written
 
 SEED = 42
 #: Fingerprints of one posting that are compared at once.
@@ -198,5 +198,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, text:
     linked = found.join(distinct, "fp")
     by = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.join(by, "component").select("fp", "component_id")
-    resolved = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the join with all rows stands alone and a hot fingerprint's rows can be split
+    resolved = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "resolved")
     return own.join(resolved, "fp").select("doc_id", "fp", "component_id")

@@ -29,8 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.components import connected_components
-from weft.llm.shared import written
+from weft.operators.components import connected_components
+from weft.shared import written
 
 SHARD, LEAST_SHARDS, BLOCK = 65_536, 8, 8192
 LINKS, DIVERSE, RATIO = 20, 10, 16

@@ -1,6 +1,9 @@
 """Vector links against brute force."""
 
+import pickle
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from weft.llm import vector_links
@@ -60,3 +63,46 @@ def test_empty_and_null_id(spark):
     assert vector_links.link_vectors(df).collect() == []
     df = spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.1])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, vector_links.link_vectors(df).collect()), key=str) == [(5, 1, 5, True), (None, 1, 5, False)]
+
+
+class Poor:
+    """An index whose search finds only what ``sees`` names, for each beam the share of the best places it fills."""
+
+    def __init__(self, x, sees):
+        self.x, self.sees = x, sees
+
+    def search(self, queries, beam):
+        s = queries @ self.x.T
+        ids = np.argsort(-s, axis=1)[:, :beam].astype(np.int32)
+        ids[:, self.sees.get(beam, beam) :] = -1
+        return ids, np.where(ids >= 0, np.take_along_axis(s, ids, 1), -2)
+
+
+def queried(x, sees, ask):
+    """Number of links by query, from the pairs and counts that the query task returns."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    blob = pickle.dumps((Poor(unit.astype(np.float32), sees), np.arange(len(x)), np.ones(len(x), int), unit))
+    out = vector_links._querier(0.9, 128)(pd.DataFrame({"shard": 0, "cid": ask[0], "v": list(ask[1])}), pd.DataFrame({"shard": [0], "blob": [blob]}))
+    number = dict.fromkeys(ask[0].tolist(), 0)
+    for r in out.itertuples():
+        number[r.a] += {0: 1, 1: r.n, 2: 0}[r.kind]
+    return {k: n for k, n in number.items() if n}
+
+
+def test_audit_sees_few_links_and_not_itself():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 48))
+    x[1001:1010] = x[1:10] + rng.normal(scale=0.1, size=(9, 48))
+    # a search that finds each vector alone, and one of other vectors that finds nothing
+    alone, nothing = (dict.fromkeys((32, 64, 128, 256), n) for n in (1, 0))
+    assert queried(x, alone, (np.arange(2000), x)) == dict.fromkeys([*range(1, 10), *range(1001, 1010)], 1)
+    others = np.concatenate((rng.normal(size=(1, 48)), x[1012:1021] * 2, rng.normal(size=(990, 48))))
+    assert queried(x, nothing, (np.arange(5000, 6000), others)) == dict.fromkeys(range(5001, 5010), 1)
+
+
+@pytest.mark.parametrize("beam", [64, 128, 256])
+def test_audit_at_every_beam(beam):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=48)
+    x = np.concatenate((rng.normal(size=(1500, 48)), base + rng.normal(scale=0.1, size=(beam - 10, 48))))
+    assert queried(x, {beam: beam // 2}, (np.arange(len(x)), x)) == dict.fromkeys(range(1500, len(x)), beam - 11)

@@ -4,10 +4,12 @@ Distinct vectors are dealt into shards by hash; each shard holds a hierarchy of
 graphs: random nested subsets above, all vectors below, every vector joined to
 near and mutually diverse neighbours.  Every vector queries every shard: from the
 top layer down, then by a beam in the lowest layer, many queries at a time in
-numpy.  Audited queries are compared with the whole shard; until their recall
-reaches ``RECALL`` the beam is doubled for the whole block.  A query whose beam is
-full of links is compared with the whole shard, which is the exact way for hot
-groups.  What is found is verified by cosine in double precision.
+numpy.  At every beam the queries whose beam is not full of links are audited: random
+ones are compared with the whole shard until ``AUDIT_LINKED`` have links other than
+themselves, or all are compared.  Only at a recall of ``RECALL`` are the others of
+them accepted; else they join the full ones at twice the beam.  A query
+whose widest beam is full of links is compared with the whole shard, which is the
+exact way for hot groups.  What is found is verified by cosine in double precision.
 
 Hot groups yield counts and spanning edges, not pairs; only queries with few links
 in a shard yield pairs, so that a link found from either side counts for both.
@@ -37,7 +39,8 @@ LINKS, DIVERSE, RATIO = 20, 10, 16
 BEAM, BUILD_BEAM, RECALL = 32, 48, 0.98
 #: Links of one query in one shard from which on it is compared exactly and counted.
 HOT = 128
-AUDIT = 96
+#: Queries compared with the whole shard at a time, until so many of them have links.
+AUDIT, AUDIT_LINKED = 96, 64
 
 
 def select_diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
@@ -187,38 +190,58 @@ class ShardIndex:
         return beam_search(self.x, self.graphs[0], queries, entry, beam)
 
 
-def range_search(index: ShardIndex, queries: np.ndarray, least: float, hot: int = HOT, recall: float = RECALL) -> tuple[list[np.ndarray], np.ndarray]:
-    """Candidates (vector numbers) of every query with similarity near ``least`` or above, and which queries were compared exactly."""
+def range_search(index: ShardIndex, queries: np.ndarray, least: float, hot: int = HOT, recall: float = RECALL, own: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Candidates (vector numbers) of every query with similarity near ``least`` or above, and which queries were compared exactly and are to be counted.
+
+    ``own`` has the number of each query in the index (-1: not in it); audits leave that match out.
+    """
     low = np.float32(least - 1e-4)
     n = len(queries)
-    audit = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-    truth = queries[audit] @ index.x.T >= low
+    own = np.full(n, -1) if own is None else own
     hits: list = [None] * n
     exact = np.zeros(n, bool)
+
+    def compare(part: np.ndarray) -> None:
+        for a in range(0, len(part), 256):
+            s = queries[part[a : a + 256]] @ index.x.T >= low
+            for i, k in enumerate(part[a : a + 256].tolist()):
+                hits[k] = np.flatnonzero(s[i])
+
+    def audited(some: np.ndarray, found: list[np.ndarray]) -> bool:
+        """Compare queries with the whole shard until AUDIT_LINKED have links or none is left; whether what was found is recall enough."""
+        shares, got, want = [], 0, 0
+        order = np.random.default_rng(len(some)).permutation(len(some))
+        for a in range(0, len(order), AUDIT):
+            compare(some[order[a : a + AUDIT]])
+            for i in order[a : a + AUDIT].tolist():
+                k = int(some[i])
+                links = hits[k][hits[k] != own[k]]
+                if len(links):
+                    there = int(np.isin(links, found[i]).sum())
+                    shares.append(there / len(links))
+                    got, want = got + there, want + len(links)
+            if len(shares) >= AUDIT_LINKED:
+                break
+        return got >= recall * want and sum(shares) >= recall * len(shares)
+
     pending, beam = np.arange(n), BEAM
     while len(pending):
         if beam >= len(index.x) or beam > 2 * hot:
             break
         ids, sims = index.search(queries[pending], beam)
         good = (sims >= low) & (ids >= 0)
-        if len(pending) == n:  # audits decide for the whole block
-            got = sum(int(truth[j, ids[i][good[i]]].sum()) for j, i in enumerate(audit.tolist()))
-            full = good[audit].all(1)
-            want = int(truth[~full].sum()) + sum(int(truth[j, ids[i][good[i]]].sum()) for j, i in enumerate(audit.tolist()) if full[j])
-            if want and got < recall * want:
-                beam *= 2
-                continue
         full = good.all(1)
-        for i, k in zip(np.flatnonzero(~full).tolist(), pending[~full].tolist(), strict=True):
-            hits[k] = ids[i][good[i]]
-        pending = pending[full]
+        # full beams go on to the next one, so only the others are decided here, and audits are drawn from them
+        decided, found = pending[~full], [i[g] for i, g in zip(ids[~full], good[~full], strict=True)]
+        if audited(decided, found):
+            for k, f in zip(decided.tolist(), found, strict=True):
+                if hits[k] is None:
+                    hits[k] = f
+        pending = np.array([k for k in pending.tolist() if hits[k] is None], int)
         beam *= 2
-    for a in range(0, len(pending), 256):
-        part = pending[a : a + 256]
-        s = queries[part] @ index.x.T >= low
-        for i, k in enumerate(part.tolist()):
-            hits[k] = np.flatnonzero(s[i])
+    compare(pending)
     exact[pending] = True
+    exact |= np.array([len(h) > 2 * hot for h in hits], bool)
     return hits, exact
 
 
@@ -243,7 +266,9 @@ def _querier(least: float, hot: int):
             v = np.stack(queries.v.to_numpy()).astype(float)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
             own = queries.cid.to_numpy()
-            hits, exact = range_search(index, v.astype(np.float32), least, hot)
+            order = np.argsort(cids)
+            at = order[np.searchsorted(cids, own, sorter=order) % len(cids)]
+            hits, exact = range_search(index, v.astype(np.float32), least, hot, own=np.where(cids[at] == own, at, -1))
             parent: dict[int, int] = {}
 
             def find(x: int) -> int:

@@ -168,6 +168,25 @@ def test_licence_scan(spark):
     assert license_scan.scan(df.where("doc_id < 0")).collect() == []
 
 
+def test_licence_variants(spark):
+    texts = ["Licensed under the MIT License", "MIT License", "it is distributed under the MIT license", "no words of the mit license here"]
+    for notice, _ in license_scan.TEMPLATES.values():
+        w = notice.split()
+        texts += [" ".join(["a", *w[:i], "other", *w[i + 1 :], "b"]) for i in range(len(w))] + [" ".join(w[i:]) for i in range(3)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w, want = WORD.findall(t.translate(UPPER)), set()
+        for label, (notice, key) in license_scan.TEMPLATES.items():
+            n, k = notice.split(), key.split()
+            shift = next(j for j in range(len(n)) if n[j : j + len(k)] == k)
+            for d in range(-len(n), len(w)):
+                part = sum(0 <= d + j < len(w) and w[d + j] == x for j, x in enumerate(n)) / len(n)
+                if d + shift >= 0 and w[d + shift : d + shift + len(k)] == k and part >= 0.8:
+                    want.add((label, d, part))
+        assert {tuple(x) for x in got[i].places} == want
+    assert got[0].labels == got[2].labels == "mit" and got[1].labels == ""
+
+
 def test_html(spark):
     page = """<html><head><title>no</title><style>p{}</style></head><body><h1>Head</h1><p>One <b>two</b>three<p>Four<br>five
 <ul><li>a<li>b<ul><li>c</ul></ul><ol start=3><li>x<li>y</ol><table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td>b<td>22</table>

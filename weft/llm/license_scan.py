@@ -1,12 +1,12 @@
 """Licence scan through a positional index of rare words, in DataFrame expressions alone.
 
-Templates of licence notices are posted by word and position.  The document
-frequency of every template word is counted over the whole corpus; a template's
-highest-IDF words are then looked up in each file, and every place found for one
-gives the place where the template would start.  Intersecting those starts over
-the template's rare words leaves alignments; an alignment counts if its mandatory
-key phrase stands at its place and enough template words do.  Base phrases are
-counted at every place where their words stand consecutively.
+Templates of licence notices are posted by word and position.  An alignment counts
+if the template's mandatory key phrase stands at its place and enough template
+words do; nothing else decides.  So each alignment has every word of the key
+phrase: the document frequency of these is counted over the whole corpus, the one
+of highest IDF is looked up in each file, and every place found gives the place
+where the template would start.  Which word that is changes the cost, never the
+result.  Base phrases are counted at every place where their words stand consecutively.
 
 Only rows whose text has an anchor word of a phrase or template pay for word
 positions.  Nothing is shuffled but one count per template word and task, and the
@@ -46,8 +46,8 @@ TEMPLATES = {
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     "isc": ("permission to use copy modify and or distribute this software for any purpose", "use copy modify and or distribute"),
 }
-#: Rare words that a template's alignments must share, and the part of its words that must match.
-RARE, ENOUGH = 3, 0.8
+#: The part of a template's words that must match.
+ENOUGH = 0.8
 
 
 def _words(text: Column) -> Column:
@@ -55,8 +55,8 @@ def _words(text: Column) -> Column:
 
 
 def vocabulary(templates: dict[str, tuple[str, str]] = TEMPLATES) -> list[str]:
-    """All words of the templates."""
-    return sorted({w for notice, _ in templates.values() for w in notice.split()})
+    """All words of the templates' key phrases."""
+    return sorted({w for _, key in templates.values() for w in key.split()})
 
 
 def document_frequency(docs: DataFrame, words: list[str], text: str = "text") -> tuple[int, dict[str, int]]:
@@ -67,16 +67,19 @@ def document_frequency(docs: DataFrame, words: list[str], text: str = "text") ->
     return rows.get("", 0), {w: rows.get(w, 0) for w in words}
 
 
-def rare_words(templates: dict[str, tuple[str, str]], n: int, df: dict[str, int], rare: int = RARE) -> dict[str, list[tuple[str, int]]]:
-    """By label, its ``rare`` (word, position) of highest IDF; each word once, ties by the word."""
+def key_place(notice: str, key: str) -> int:
+    """The word of a notice at which its key phrase begins."""
+    words, phrase = notice.split(), key.split()
+    return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+
+
+def rare_words(templates: dict[str, tuple[str, str]], n: int, df: dict[str, int]) -> dict[str, tuple[str, int]]:
+    """By label, the word of highest IDF in its key phrase and its place in the notice; ties by the word."""
     out = {}
-    for label, (notice, _) in templates.items():
-        first: dict[str, int] = {}
-        for i, w in enumerate(notice.split()):
-            first.setdefault(w, i)
-        single = {w: i for w, i in first.items() if notice.split().count(w) == 1}
-        idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in single}
-        out[label] = [(w, single[w]) for w in sorted(single, key=lambda w: (-idf[w], w))[:rare]]
+    for label, (notice, key) in templates.items():
+        phrase = key.split()
+        word = min(phrase, key=lambda w: (-math.log((n + 1) / (df.get(w, 0) + 1)), w))
+        out[label] = (word, key_place(notice, key) + phrase.index(word))
     return out
 
 
@@ -94,10 +97,10 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] = BASE, templ
     given = docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias("__text"))
     given = given.withColumn("__words", _words(F.coalesce("__text", F.lit(""))))
 
-    anchors = {max(p.split(), key=len) for p in base} | {r[0][0] for r in rare.values()}
+    anchors = {max(p.split(), key=len) for p in base} | {w for w, _ in rare.values()}
     lowered = F.lower(F.col("__text"))
     has = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in sorted(anchors)])
-    asked = {w for p in base for w in p.split()} | {w for r in rare.values() for w, _ in r}
+    asked = {w for p in base for w in p.split()} | {w for w, _ in rare.values()}
     exact = F.when(F.coalesce(has, F.lit(False)), _words(F.translate("__text", UPPER, LOWER)))
     given = given.withColumn("__lower", F.coalesce(exact, F.array().cast("array<string>")))
     at = F.filter(F.transform("__lower", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s.w.isin(*sorted(asked)))
@@ -118,10 +121,9 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] = BASE, templ
 
     def alignments(label: str, notice: str, key: str) -> Column:
         words, phrase = notice.split(), key.split()
-        shift = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        common = reduce(F.array_intersect, [places(w, i) for w, i in rare[label]])
+        shift = key_place(notice, key)
         # an alignment may begin before the text does: only the key phrase and enough words must stand
-        sure = F.filter(common, lambda d: F.when(d + shift >= 0, stands(d + shift, phrase)).otherwise(False))
+        sure = F.filter(places(*rare[label]), lambda d: F.when(d + shift >= 0, stands(d + shift, phrase)).otherwise(False))
 
         def part(d: Column) -> Column:
             there = lambda i: (d + i >= 0) & (d + i < F.size("__lower"))

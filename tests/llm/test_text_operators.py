@@ -197,3 +197,21 @@ def test_html(spark):
     df = spark.createDataFrame([(1, page, "t"), (2, None, "t"), (3, "", None), (4, "<td>x</p><b>y", "t"), (5, "<div>" * 2000 + "deep" + "<ul><li>" * 900 + "z", "t")], "page_id int, html string, text string")
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
     assert got[1] == want and got[2] is None and got[3] == "" and got[4].split() == ["x", "y"] and "deep" in got[5] and "z" in got[5]
+
+
+def test_html_any_depth():
+    deep = "<div>" * 40_000
+    page = deep + "<script>no</script><p hidden>no</p><i style='display:none'>no</i><table><tr><td>a<td>b</table><ul><li>c</ul><b>d</b>" + "</div>" * 40_000 + "<p>end"
+    assert html_text.render(page) == "a  b\n\n- c\n\nd\n\nend"
+    assert html_text.render("<div><section>" + "<span>" * 500 + "<div>x</div>y</section>z") == "x\ny\nz"
+    assert html_text.render("<ul><li>" * 3000 + "z") == "- " * 3000 + "z"
+    assert html_text.render("<table><tr><td>" * 3000 + "z") == "z"
+
+
+def test_html_formulas_drawings_and_spans():
+    assert html_text.render("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds") == "so x=2 holds"
+    drawing = "<svg><title>no</title><defs><text>no</text></defs><defs/><path d='M0'/><text>one</text><text>two</text></svg><p>three"
+    assert html_text.render(drawing) == "one\ntwo\n\nthree"
+    row = html_text.render("<table><tr><td colspan=60>a<td>b</table>")
+    assert row == "a" + "  " * 60 + "b"
+    assert html_text.render(f"<table><tr><td colspan={'9' * 5000}>a</table>") == "a"

@@ -9,16 +9,19 @@ visible text: navigation and footers too.  White space collapses except in
 ``pre`` and ``textarea``; blocks begin on new lines, paragraphs and headings stand
 between blank lines; list items carry a bullet or number and an indent by depth;
 table cells are padded to the width of their column and joined by two blanks.
+Formulas and the text of drawings are visible.  Elements may nest to any depth: the
+tree is walked with an explicit stack, open elements are found by tag.
 
 One page is one row: a single pass without a shuffle, memory bounded by a batch.
 Defined cases: a null page gives null text; an empty page or one without visible
-text gives an empty string; broken markup is text or is skipped, never an error.
+text gives an empty string; broken markup is text or is skipped, never an error; a
+colspan above 1000 is 1000, as the HTML standard reads it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -29,7 +32,9 @@ from pyspark.sql import types as T
 from weft.llm import textblock as tb
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video datalist title".split())
+HIDDEN = frozenset("head script style template noscript iframe object canvas audio video datalist title annotation annotation-xml".split())
+#: Parts of a drawing that are not drawn where they stand.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
 BLOCK = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 #: A start tag closes an open element of the set, looking no further up than a boundary.
@@ -50,8 +55,7 @@ CLOSES["thead"] = CLOSES["tfoot"] = CLOSES["tbody"]
 _PARAGRAPH_ENDS = BLOCK - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "body", "html"}
 _STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-#: Deepest nesting that is kept; deeper elements become children of the last.
-DEPTH = 150
+_WALLS = ("td", "th", "table")
 
 
 class Node:
@@ -74,17 +78,25 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of the tags; 0: none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
+    def _foreign(self) -> bool:
+        return self._last(("svg", "math")) > self._last(("foreignobject",))
 
     def _close(self, tags: set, bounds: set) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in bounds:
-                return
-            if self.open[i].tag in tags:
-                last = i
-                while last > 1 and self.open[last - 1].tag in tags and self.open[last - 1].tag not in bounds:
-                    last -= 1
-                del self.open[last:]
-                return
+        last = self._last(tags)
+        if last and last > self._last(bounds):
+            while last > 1 and self.open[last - 1].tag in tags and self.open[last - 1].tag not in bounds:
+                last -= 1
+            self._cut(last)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         """Close what the tag implies and open the element."""
@@ -93,29 +105,32 @@ class TreeBuilder(HTMLParser):
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         if tag in BLOCK and tag not in ("html", "head") and self.open[-1].tag == "head":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.handle_starttag("tr", [])
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if tag in UNDRAWN and self.places.get("svg") and self._foreign():
+            node.attrs["hidden"] = ""
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
+        if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        """A slash in a start tag means nothing in HTML."""
+        """A slash in a start tag means nothing in HTML, and ends the element in drawings and formulas."""
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and self._foreign():
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         """Close the nearest such element; cells are a wall for tags opened outside."""
         if tag == "br":
             self.handle_starttag("br", [])
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                break
+        last = self._last((tag,))
+        if last and (tag in ("table", "tr", "tbody", "thead", "tfoot") or last >= self._last(_WALLS)):
+            self._cut(last)
+            return
         if tag == "p":  # an end without a start is an empty paragraph
             self.open[-1].children.append(Node("p", {}))
 
@@ -181,10 +196,33 @@ class _Lines:
             self.gap = gap
 
 
-def _table(node: Node, pre: bool) -> list[str]:
+#: Part of the rendering: yields the parts it needs, is sent what they return.
+Step = Generator["Step", object, object]
+
+
+def _run(step: Step) -> object:
+    """What a step returns; the steps under way are a list, so that depth is not bounded by Python's stack."""
+    steps, value = [step], None
+    while steps:
+        try:
+            steps.append(steps[-1].send(value))
+            value = None
+        except StopIteration as end:
+            steps.pop()
+            value = end.value
+    return value
+
+
+def _span(cell: Node) -> int:
+    digits = cell.attrs.get("colspan", "")
+    digits = digits.lstrip("0") if digits.isdecimal() else ""
+    return 1000 if len(digits) > 4 else max(1, min(1000, int(digits or 1)))
+
+
+def _table(node: Node, pre: bool) -> Step:
     rows, captions = [], []
 
-    def collect(at: Node) -> None:
+    def collect(at: Node) -> Step:
         for child in at.children:
             if isinstance(child, str) or child.hidden():
                 if isinstance(child, str) and child.strip():
@@ -197,15 +235,15 @@ def _table(node: Node, pre: bool) -> list[str]:
                         if c.strip():
                             row.append([_SPACE.sub(" ", c).strip()])
                     elif not c.hidden():
-                        row.append(_render(c, pre).lines or [""])
-                        row += [[""]] * (min(int(c.attrs["colspan"]), 50) - 1 if c.attrs.get("colspan", "").isdecimal() else 0)
+                        row.append((yield _render(c, pre)).lines or [""])
+                        row += [[""]] * (_span(c) - 1)
                 rows.append(row)
             elif child.tag in ("thead", "tbody", "tfoot"):
-                collect(child)
+                yield collect(child)
             else:
-                captions.extend(_render(child, pre).lines)
+                captions.extend((yield _render(child, pre)).lines)
 
-    collect(node)
+    yield collect(node)
     width: list[int] = []
     for row in rows:
         for j, cell in enumerate(row):
@@ -223,14 +261,14 @@ def _table(node: Node, pre: bool) -> list[str]:
     return out
 
 
-def _render(node: Node, pre: bool = False, depth: int = 0) -> _Lines:
+def _render(node: Node, pre: bool = False, depth: int = 0) -> Step:
     out = _Lines()
-    _walk(node, out, pre, depth)
+    yield _walk(node, out, pre, depth)
     out.flush()
     return out
 
 
-def _walk(node: Node, out: _Lines, pre: bool, depth: int) -> None:
+def _walk(node: Node, out: _Lines, pre: bool, depth: int) -> Step:
     number = int(node.attrs["start"]) if node.tag == "ol" and node.attrs.get("start", "").isdecimal() else 1
     for child in node.children:
         if isinstance(child, str):
@@ -254,21 +292,21 @@ def _walk(node: Node, out: _Lines, pre: bool, depth: int) -> None:
             continue
         gap = 1 if tag in SPACED and not (tag in ("ul", "ol") and depth) else 0
         if tag == "table":
-            out.block(_table(child, pre), 1)
+            out.block((yield _table(child, pre)), 1)
         elif tag in ("ul", "ol", "menu"):
             out.flush(gap)
-            inner = _render(child, pre, depth + 1)
+            inner = yield _render(child, pre, depth + 1)
             out.block(inner.lines, gap)
         elif tag == "li":
             out.flush()
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            inner = _render(child, pre, depth)
+            inner = yield _render(child, pre, depth)
             lines = inner.lines or [""]
             out.block([(mark if i == 0 else " " * len(mark) if x else "") + x for i, x in enumerate(lines)], 0)
         elif tag in ("pre", "textarea"):
             inner = _Lines()
-            _walk(child, inner, True, depth)
+            yield _walk(child, inner, True, depth)
             inner.lines.append(inner.text.rstrip())
             lines = inner.lines
             while lines and not lines[0]:
@@ -276,22 +314,22 @@ def _walk(node: Node, out: _Lines, pre: bool, depth: int) -> None:
             while lines and not lines[-1]:
                 lines.pop()
             out.block(lines, 1)
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "text":  # a text of a drawing has its own place
             out.flush(gap)
             if tag == "dd":
-                out.block([f"  {x}" if x else x for x in _render(child, pre, depth).lines], 0)
+                out.block([f"  {x}" if x else x for x in (yield _render(child, pre, depth)).lines], 0)
             else:
-                _walk(child, out, pre, depth)
+                yield _walk(child, out, pre, depth)
             out.flush(gap)
         else:
-            _walk(child, out, pre, depth)
+            yield _walk(child, out, pre, depth)
 
 
 def render(html: str | None) -> str | None:
     """All visible text of a page in its layout."""
     if html is None:
         return None
-    return "\n".join(_render(tree(html)).lines)
+    return "\n".join(_run(_render(tree(html))).lines)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

@@ -286,3 +286,42 @@ def test_completion_dataset_is_checked(spark, tmp_path):
     row.drop("mode").write.parquet(str(tmp_path / "test"))
     with pytest.raises(ValueError, match="mode"):
         readers.load_completion_dataset(spark, str(tmp_path))
+
+
+def test_greedy_pairs_past_the_first_block(spark, monkeypatch):
+    from weft.catalog import flows
+    from weft.operators import sampling
+
+    rows = [(1000.0 - k / 10, 0, k) for k in range(1, 2500)] + [(float(a % 7), a, a + 5000) for a in range(3000, 3100)]
+    want = sampling.greedy_pairs([(s, u, v, (u, v)) for s, u, v in rows], 40, 2)
+    monkeypatch.setattr(flows, "links", lambda *_: None)
+    monkeypatch.setattr(flows.graph, "adamic_adar", lambda _: spark.createDataFrame(rows, "aa double, u long, v long"))
+    assert [(r.aa, r.u, r.v) for r in flows.l07(spark, None).collect()] == [w[:3] for w in want] and len(want) == 40
+
+
+def test_capped_leads_past_a_large_module(spark, monkeypatch):
+    from weft.catalog import extra
+
+    rows = [(i, 0 if i < 450 else i % 20, 900.0 - i) for i in range(600)]
+    monkeypatch.setattr(extra, "nodes", lambda *_: spark.createDataFrame([(i, r, 0) for i, _, r in rows], "id long, rank double, degree long"))
+    monkeypatch.setattr(extra, "member", lambda *_: spark.createDataFrame([(i, m) for i, m, _ in rows], "id long, module long"))
+    used, want = {}, []
+    for i, m, _ in rows:
+        if used.get(m, 0) < 2 and len(want) < 30:
+            used[m] = used.get(m, 0) + 1
+            want.append((i, m))
+    assert [(r.id, r.module) for r in extra.l08(spark, None).collect()] == want and len(want) == 30
+
+
+def test_hull_area_is_exact(spark, monkeypatch):
+    import math
+
+    from weft.catalog import extra
+
+    ring = [(math.cos(2 * math.pi * k / 1000), math.sin(2 * math.pi * k / 1000)) for k in range(1000)]
+    rows = [("ring", p) for p in ring] + [("ring", (x / 2, y / 2)) for x, y in ring]
+    rows += [("square", p) for p in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (1.0, 1.0), (1.0, 0.0))] + [("line", (float(k), float(k))) for k in range(5)] + [("none", None), (None, (1.0, 2.0))]
+    monkeypatch.setattr(extra, "table", lambda *_: spark.createDataFrame(rows, "label string, embedding array<double>").repartition(7))
+    got = {r.label: r.area for r in extra.v10(spark, None).collect()}
+    assert got.pop("ring") == pytest.approx(500 * math.sin(2 * math.pi / 1000), rel=1e-12)
+    assert got == {"square": 4.0, "line": 0.0, "none": None, None: 0.0}

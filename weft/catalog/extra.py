@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from weft.catalog.core import edges, query, sessions, table
@@ -75,10 +76,10 @@ def m01(spark, d):
 
 @query("l08_capped_leads")
 def l08(spark, d):
-    # a top-k report: leads are chosen greedily among the best candidates
-    top = nodes(spark, d).join(member(spark, d), "id").select("id", "module", (0.35 * F.col("rank") + 0.2 * F.log1p("degree")).alias("score")).orderBy(F.desc("score"), "id").limit(400)
-    picked = sampling.greedy_pairs([(r.score, r.module, -1 - r.id, r.id) for r in top.collect()], 30, 2)
-    return spark.createDataFrame([(int(label), int(m), float(s)) for s, m, _, label in picked], "id long, module long, score double")
+    # each node is one candidate, so the greedy choice is the best 30 of the best two of every module
+    c = nodes(spark, d).join(member(spark, d), "id").select(F.col("id").cast("long"), F.col("module").cast("long"), (0.35 * F.col("rank") + 0.2 * F.log1p("degree")).alias("score"))
+    two = sampling.take_ordered(c, ["module"], [F.desc("score"), F.desc("id")], 2)
+    return two.select("id", "module", "score").orderBy(F.desc("score"), "module", F.desc("id")).limit(30)
 
 
 @query("m22_path_pairs")
@@ -136,9 +137,20 @@ def q08(spark, d):
 
 @query("v10_hull_area")
 def v10(spark, d):
-    # points of a label's hull: the extremes of its first two coordinates in 64 directions bound the hull to 64 rows a label
+    # the hull of the first two coordinates: of each batch by label, then of these hulls' corners
     p = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    turns = [(float(np.cos(a)), float(np.sin(a))) for a in np.linspace(0, 2 * np.pi, 64, endpoint=False)]
-    far = p.groupBy("label").agg(F.array(*[F.max_by(F.struct("x", "y"), F.col("x") * c + F.col("y") * s) for c, s in turns]).alias("h"))
-    shoelace = F.aggregate(F.transform("h", lambda a, i: a.x * F.element_at(F.col("h"), F.when(i + 2 > F.size("h"), 1).otherwise(i + 2)).y - F.element_at(F.col("h"), F.when(i + 2 > F.size("h"), 1).otherwise(i + 2)).x * a.y), F.lit(0.0), lambda t, z: t + z)
-    return far.select("label", (shoelace / 2).alias("area"))
+
+    def corners(batches):
+        for pdf in batches:
+            for label, part in pdf.groupby("label", dropna=False):
+                h = kernels.convex_hull(part[["x", "y"]].to_numpy(float))
+                h = h if len(h) else np.full((1, 2), np.nan)  # a label stays without points too
+                yield pd.DataFrame({"label": [None if pd.isna(label) else label] * len(h), "x": h[:, 0], "y": h[:, 1]})
+
+    def area(pdf):
+        h = kernels.convex_hull(pdf[["x", "y"]].to_numpy(float))
+        x, y = h.T - h[:1].T if len(h) else h.T
+        return pd.DataFrame({"label": pdf.label.iloc[:1], "area": [float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2) if len(h) else None]})
+
+    kind = p.schema["label"].dataType.simpleString()
+    return p.mapInPandas(corners, f"label {kind}, x double, y double").groupBy("label").applyInPandas(area, f"label {kind}, area double")

@@ -79,3 +79,28 @@ def greedy_pairs(rows: list[tuple], limit: int, max_use: int) -> list[tuple]:
         if len(out) == limit:
             break
     return out
+
+
+def greedy_blocks(pairs: DataFrame, score: str, a: str, b: str, limit: int, max_use: int, block: int = 2000) -> list[tuple]:
+    """``greedy_pairs`` over all of ``pairs``, each pair once; the driver reads blocks of the best that are left.
+
+    What a block leaves out are pairs with a spent end; each block but the last yields a pick, so there are ``limit`` at most.
+    """
+    out: list[tuple] = []
+    used: dict = {}
+    rest = pairs.select(score, a, b)
+    while True:
+        spent = [x for x, n in used.items() if n >= max_use]
+        left = rest.where(~F.col(a).isin(spent) & ~F.col(b).isin(spent)) if spent else rest
+        rows = [tuple(r) for r in left.orderBy(F.desc(score), a, b).limit(block).collect()]
+        for s, x, y in rows:
+            if used.get(x, 0) < max_use and used.get(y, 0) < max_use:
+                out.append((s, x, y, (x, y)))
+                used[x], used[y] = used.get(x, 0) + 1, used.get(y, 0) + 1
+                if len(out) == limit:
+                    return out
+        if len(rows) < block:
+            return out
+        s, x, y = rows[-1]
+        later = (F.col(a) > x) | ((F.col(a) == x) & (F.col(b) > y))
+        rest = rest.where((F.col(score) < s) | ((F.col(score) == s) & later))

@@ -325,3 +325,63 @@ def test_hull_area_is_exact(spark, monkeypatch):
     got = {r.label: r.area for r in extra.v10(spark, None).collect()}
     assert got.pop("ring") == pytest.approx(500 * math.sin(2 * math.pi / 1000), rel=1e-12)
     assert got == {"square": 4.0, "line": 0.0, "none": None, None: 0.0}
+
+
+def test_motif_null_permutes_labels_over_edges(spark, monkeypatch):
+    from weft.catalog import traces
+
+    rng = random.Random(3)
+    pairs = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(60)})
+    rows = [(a, b, rng.choice("xyz"), k) for k, (a, b) in enumerate(pairs) if a != b]
+    monkeypatch.setattr(traces, "simple", lambda *_: spark.createDataFrame(rows, "src long, dst long, relation string, seq long"))
+
+    def count(labels):
+        out = {}
+        for (a, b, *_), r1 in zip(rows, labels, strict=True):
+            for (b2, c, *_), r2 in zip(rows, labels, strict=True):
+                if b == b2 and a != c:
+                    out[r1, r2] = out.get((r1, r2), 0) + 1
+        return out
+
+    real = [r[2] for r in rows]
+    code = np.array(["xyz".index(r) for r in real])
+    nulls = [count(["xyz"[k] for k in np.random.default_rng(s).permutation(code)]) for s in range(1, 201)]
+    got = {(r.r1, r.r2): r for r in traces.n04(spark, None).collect()}
+    assert {k: r.observed for k, r in got.items()} == count(real)
+    for k, r in got.items():
+        null = [n.get(k, 0) for n in nulls]
+        assert (r.null_mean, r.null_sd) == pytest.approx((np.mean(null), np.std(null)))
+        assert r.p == pytest.approx((1 + sum(n >= r.observed for n in null)) / 201)
+
+
+def test_modularity_null_swaps_edges(spark, monkeypatch):
+    from weft.catalog import traces
+
+    left, right = np.array([(a, (a + k) % 30) for a in range(30) for k in (1, 3, 7)[: 1 + a % 3]]).T
+    a, b = embedding.swapped_edges(left, right, np.random.default_rng(1))
+    assert np.array_equal(np.bincount(np.concatenate((a, b)), minlength=30), np.bincount(np.concatenate((left, right)), minlength=30))
+    assert len({frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)}) == len(left) and (a != b).all()
+    assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} != {frozenset(x) for x in zip(left.tolist(), right.tolist(), strict=True)}
+    # a complete graph has no swaps, though its stubs could be dealt anew
+    full = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    monkeypatch.setattr(traces, "links", lambda *_: spark.createDataFrame(full, "u long, v long"))
+    monkeypatch.setattr(traces, "member", lambda *_: spark.createDataFrame([(k, k % 2) for k in range(5)], "id long, module long"))
+    assert traces.n02(spark, None).first().null_mean is None
+
+
+def test_heterophily_permutes_vectors(spark, monkeypatch):
+    from weft.catalog import extra, vectors
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(a, b) for a in range(20) for b in range(a + 1, 20) if (a + 2 * b) % 7 == 0]
+    monkeypatch.setattr(extra, "vectors_of_nodes", lambda *_: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>"))
+    monkeypatch.setattr(vectors, "edges", lambda *_: None)
+    monkeypatch.setattr(vectors.graph, "links", lambda _: spark.createDataFrame(pairs, "u long, v long"))
+    monkeypatch.setattr(vectors, "table", lambda *_: spark.createDataFrame([(k, k % 3) for k in range(20)], "c_custkey long, c_nationkey long"))
+    cosine = lambda p: np.mean([x[p[a]] @ x[p[b]] for a, b in pairs])
+    nulls = [cosine(np.random.default_rng(s).permutation(20)) for s in range(1, 501)]
+    r, o = vectors.n03(spark, None).first(), cosine(np.arange(20))
+    assert (r.observed, r.null_mean, r.null_sd) == pytest.approx((o, np.mean(nulls), np.std(nulls)), abs=1e-5)
+    assert r.p == pytest.approx(2 * (1 + min(sum(n >= o for n in nulls), sum(n <= o for n in nulls))) / 501, abs=0.01)

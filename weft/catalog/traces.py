@@ -195,31 +195,26 @@ def n06(spark, d):
 
 @query("n02_modularity_null")
 def n02(spark, d):
-    # a null model works on one graph: the module-to-module counts, a bounded table, are what is shuffled
-    m = graph.modules(links(spark, d).select(F.col("u").alias("src"), F.col("v").alias("dst")), member(spark, d)).groupBy("m1", "m2").agg(F.count("*").alias("n"))
+    # edges within one graph, and the modules of its nodes: one task per block of seeds swaps them
+    own = member(spark, d)
+    e = links(spark, d).join(own.withColumnsRenamed({"id": "u", "module": "m1"}), "u").join(own.withColumnsRenamed({"id": "v", "module": "m2"}), "v")
 
     def q(pdf, rng):
-        a, b, n = pdf.m1.to_numpy(), pdf.m2.to_numpy(), pdf.n.to_numpy()
-        left, right = np.repeat(a, n), np.repeat(b, n)
-        if rng is not None:  # stubs dealt anew: every module keeps its degree
-            ends = rng.permutation(np.concatenate((left, right)))
-            left, right = ends[: len(left)], ends[len(left) :]
-        share = np.bincount(np.concatenate((left, right))) / (2 * len(left))
-        return (left == right).mean() - (share**2).sum()
+        ends = (pdf.u.to_numpy(), pdf.v.to_numpy())
+        of = dict(zip(np.concatenate(ends).tolist(), np.concatenate((pdf.m1, pdf.m2)).tolist(), strict=True))
+        ends = ends if rng is None else embedding.swapped_edges(*ends, rng)
+        if ends is None:
+            return None
+        left, right = (np.array([of[x] for x in side.tolist()]) for side in ends)
+        _, n = np.unique(np.concatenate((left, right)), return_counts=True)
+        return (left == right).mean() - ((n / (2 * len(left))) ** 2).sum()
 
-    return embedding.permutation_z(m, q, 60)
+    return embedding.permutation_z(e.select("u", "v", "m1", "m2"), q, 100)
 
 
 @query("n04_motif_null")
 def n04(spark, d):
-    paths = graph.two_paths(simple(spark, d)).groupBy("r1", "r2").agg(F.count("*").alias("n"))
-
-    def same(pdf, rng):
-        names = sorted(set(pdf.r1) | set(pdf.r2))
-        to = dict(zip(names, names if rng is None else rng.permutation(names), strict=True))
-        return (pdf.n * (pdf.r1 == pdf.r2.map(to))).sum() / pdf.n.sum()
-
-    return embedding.permutation_z(paths, same, 200)
+    return embedding.motif_z(simple(spark, d).select("src", "dst", "relation"), 200)
 
 
 @query("m06_dissonance", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) * 1.5, 6) AS score FROM e a JOIN e b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE list_dot_product(a.v, b.v) >= 0.35")

@@ -247,15 +247,28 @@ def n05(spark, d):
 
 @query("n03_heterophily")
 def n03(spark, d):
-    e = graph.links(edges(spark, d)).join(table(spark, d, "customer").select(F.col("c_custkey").alias("u"), F.col("c_nationkey").alias("m1")), "u").join(table(spark, d, "customer").select(F.col("c_custkey").alias("v"), F.col("c_nationkey").alias("m2")), "v")
-    counts = e.groupBy("m1", "m2").agg(F.count("*").alias("n"))
+    from weft.catalog.extra import vectors_of_nodes
 
-    def crossing(pdf, rng):
-        n = int(max(pdf.m1.max(), pdf.m2.max())) + 1
-        label = np.arange(n) if rng is None else rng.integers(0, n, n)
-        return (pdf.n * (label[pdf.m1] != label[pdf.m2])).sum() / pdf.n.sum()
+    v = vectors_of_nodes(spark, d).toPandas()
+    e = graph.links(edges(spark, d)).select("u", "v").toPandas()
+    return heterophily(spark, v, e, 500)
 
-    return embedding.permutation_z(counts, crossing, 200)
+
+def heterophily(spark, v, e, seeds):
+    """Mean cosine of linked pairs ``e`` (u, v) against vectors ``v`` (id, v) permuted over the nodes."""
+    x = np.stack([np.asarray(row, np.float32) for row in v.v])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    at = dict(zip(v.id.tolist(), range(len(v)), strict=True))
+    e = e[e.u.isin(at) & e.v.isin(at)]
+
+    def cosine(given, rng):
+        x, i, j = given
+        if rng is not None:
+            order = rng.permutation(len(x))
+            i, j = order[i], order[j]
+        return sum(float(np.einsum("kd,kd->k", x[i[k : k + 65536]], x[j[k : k + 65536]]).sum(dtype=float)) for k in range(0, len(i), 65536)) / len(i)
+
+    return embedding.permutation_z((x, e.u.map(at).to_numpy(), e.v.map(at).to_numpy()), cosine, seeds, spark, two_sided=True)
 
 
 @query("n07_rank_sum", "WITH c AS (SELECT o_totalprice AS v, o_orderstatus = 'F' AS g FROM orders), r AS (SELECT v, g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY v) AS t FROM c), s AS (SELECT sum(r) FILTER (WHERE g) AS ranks, count(*) FILTER (WHERE g) AS n1, count(*) FILTER (WHERE NOT g) AS n2, sum(t * t - 1.0) AS ties FROM r) SELECT n1, n2, (ranks - n1 * (n1 + 1) / 2)::DOUBLE AS u, round((ranks - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM s")

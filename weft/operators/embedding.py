@@ -127,23 +127,86 @@ def arrival_novelty(df: DataFrame, by: str, order: str, vector: str) -> DataFram
     return r.select(by, order, F.when(F.col("cc") > 0, 1 - F.col("xc") / F.sqrt(F.col("xx") * F.col("cc"))).alias("novelty"))
 
 
-def permutation_z(values: DataFrame, statistic, seeds: int, schema_value: str = "double") -> DataFrame:
+def permutation_z(values, statistic, seeds: int, spark=None, two_sided: bool = False) -> DataFrame:
     """Observed statistic, null mean and deviation, z and the empirical p, with one task per block of seeds.
 
-    ``values`` must be bounded (a graph's labels); it goes to the tasks as a broadcast variable.
+    ``values``, a table or with ``spark`` any object, is one graph: its edges go to the tasks as a broadcast variable
+    and must fit one.  A seed whose statistic is None does not count.  A two-sided p is twice the smaller one.
     """
-    spark = values.sparkSession
-    shared = spark.sparkContext.broadcast(values.toPandas())
+    spark = spark or values.sparkSession
+    shared = spark.sparkContext.broadcast(values.toPandas() if isinstance(values, DataFrame) else values)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"seed": pdf.id, "value": [float(statistic(shared.value, None if s == 0 else np.random.default_rng(s))) for s in pdf.id]})
+            found = [statistic(shared.value, None if s == 0 else np.random.default_rng(s)) for s in pdf.id]
+            yield pd.DataFrame({"seed": pdf.id, "value": pd.Series([None if v is None else float(v) for v in found], dtype=object)})
 
     out = spark.range(seeds + 1).repartition(min(8, seeds)).mapInPandas(run, "seed long, value double")
     null = F.col("seed") > 0
     g = out.agg(F.max(F.when(~null, F.col("value"))).alias("observed"), F.avg(F.when(null, F.col("value"))).alias("null_mean"), F.stddev_pop(F.when(null, F.col("value"))).alias("null_sd"), F.array_agg(F.when(null, F.col("value"))).alias("nulls"))
     above = F.size(F.filter("nulls", lambda v: v >= F.col("observed")))
-    return g.select("observed", "null_mean", "null_sd", ((F.col("observed") - F.col("null_mean")) / F.coalesce(F.nullif("null_sd", F.lit(0.0)), F.lit(1.0))).alias("z"), ((1 + above) / (1 + F.size("nulls"))).alias("p"))
+    if two_sided:
+        above = F.least(above, F.size(F.filter("nulls", lambda v: v <= F.col("observed"))))
+    return g.select("observed", "null_mean", "null_sd", ((F.col("observed") - F.col("null_mean")) / F.coalesce(F.nullif("null_sd", F.lit(0.0)), F.lit(1.0))).alias("z"), ((2 if two_sided else 1) * (1 + above) / (1 + F.size("nulls"))).alias("p"))
+
+
+def swapped_edges(left: np.ndarray, right: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray] | None:
+    """2m double-edge swaps of a simple undirected graph, every node keeping its degree; None if 30m tries don't give them."""
+    a, b, m = left.tolist(), right.tolist(), len(left)
+    edges, done = {(min(x), max(x)) for x in zip(a, b, strict=True)}, 0
+    for _ in range(30):
+        for i, j, flip in zip(*rng.integers(0, m, (2, m)).tolist(), rng.integers(0, 4, m).tolist(), strict=True):
+            u, v = (a[i], b[i]) if flip & 1 else (b[i], a[i])
+            x, y = (a[j], b[j]) if flip & 2 else (b[j], a[j])
+            if u == x or v == y:
+                continue
+            one, two = (min(u, x), max(u, x)), (min(v, y), max(v, y))
+            if one in edges or two in edges:
+                continue
+            edges -= {(min(u, v), max(u, v)), (min(x, y), max(x, y))}
+            edges |= {one, two}
+            (a[i], b[i]), (a[j], b[j]) = one, two
+            done += 1
+            if done == 2 * m:
+                return np.array(a), np.array(b)
+    return None
+
+
+def motif_z(edges: DataFrame, seeds: int) -> DataFrame:
+    """Number of paths a -> b -> c by their two relations, null mean and deviation, z and p when relations are permuted over the edges.
+
+    ``edges`` (src, dst, relation), each pair once: one graph, broadcast to one task per block of seeds.
+    """
+    spark = edges.sparkSession
+    given = edges.toPandas()
+    code, names = pd.factorize(given.relation.fillna("related_to"), sort=True)
+    ends, _ = pd.factorize(pd.concat([given.src, given.dst]))
+    graph = pd.DataFrame({"i": range(len(given)), "a": ends[: len(given)], "b": ends[len(given) :]})
+    back = graph.merge(graph.rename(columns={"a": "b", "b": "a", "i": "j"}), on=["a", "b"])
+    shared = spark.sparkContext.broadcast((graph.a.to_numpy(), graph.b.to_numpy(), code, back.i.to_numpy(), back.j.to_numpy(), len(names)))
+
+    def count(seed: int) -> dict:
+        a, b, r, i, j, k = shared.value
+        r = r if seed == 0 else np.random.default_rng(seed).permutation(r)
+        into, out = (pd.DataFrame({"b": x, name: r}).value_counts().reset_index(name=f"n_{name}") for x, name in ((b, "r1"), (a, "r2")))
+        both = into.merge(out, on="b")
+        found = (both.n_r1 * both.n_r2).groupby([both.r1, both.r2]).sum()
+        # paths that return to their start don't count
+        loops = pd.DataFrame({"r1": r[i], "r2": r[j]}).value_counts()
+        return {key: int(n) - int(loops.get(key, 0)) for key, n in found.items()}
+
+    def run(batches):
+        real = {key: n for key, n in count(0).items() if n}
+        for pdf in batches:
+            for s in pdf.id.tolist():
+                null = count(s)
+                yield pd.DataFrame([(int(x), int(y), n, float(null.get((x, y), 0))) for (x, y), n in real.items()], columns=["x", "y", "observed", "v"])
+
+    v = spark.range(1, seeds + 1).repartition(min(8, seeds)).mapInPandas(run, "x int, y int, observed long, v double")
+    g = v.groupBy("x", "y", "observed").agg(F.avg("v").alias("null_mean"), F.stddev_pop("v").alias("null_sd"), F.count_if(F.col("v") >= F.col("observed")).alias("above"), F.count("*").alias("n"))
+    label = F.array(*[F.lit(x) for x in names]) if len(names) else F.array().cast("array<string>")
+    z = (F.col("observed") - F.col("null_mean")) / F.coalesce(F.nullif("null_sd", F.lit(0.0)), F.lit(1.0))
+    return g.select(F.get(label, F.col("x")).alias("r1"), F.get(label, F.col("y")).alias("r2"), "observed", "null_mean", "null_sd", z.alias("z"), ((1 + F.col("above")) / (1 + F.col("n"))).alias("p"))
 
 
 def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -6,7 +6,8 @@ on whole texts and all rows; a null doc_id or text never fails a stage:
 
 * toxicity drops what its classifier scores 0.5 or more (null text: as empty);
 * line dedup rewrites ``text`` (null stays null) and ``n_chars`` where there is one;
-* near-dedup keeps the smallest doc_id of each group; rows without a doc_id stay;
+* near-dedup keeps the smallest doc_id of each group, one row of it where that id
+  is repeated in the group; rows without a doc_id stay;
 * decontamination drops documents with a passage of the benchmark;
 * tokens adds n_tokens, ids, ids_sha256, decoded_sha256 and exact.
 """
@@ -41,11 +42,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     groups = simhash.near_duplicates(docs, shingle=4, distance=4)
-    kept = written(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")), "kept")
+    ids = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"), F.count_if(F.col("doc_id") == F.col("component_id")).alias("__first"))
+    kept = written(ids.where("__first > 0").select("__kept", "__rows"), "kept")
     own = docs.where("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__kept"))
-    if kept.where("__rows > 1").limit(1).count():  # an id in several rows: one of them stays
-        order = Window.partitionBy("__kept").orderBy(F.xxhash64("text"), "text")
-        own = own.withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+    if kept.where("__rows > 1").limit(1).count():  # an id in several rows: each is judged by its own group, of one group one stays
+        again = simhash.with_fingerprints(own.where("__rows > 1"), "__fp", shingle=4)
+        first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__fp"), "component").distinct()
+        order = Window.partitionBy("__kept", "component").orderBy(F.xxhash64("text"), "text")
+        again = again.join(first, ["__kept", "__fp"]).withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+        own = own.where("__rows = 1").select(*docs.columns).union(again.select(*docs.columns))
     return own.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 

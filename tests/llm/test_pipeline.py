@@ -24,3 +24,10 @@ def test_stages(spark, tmp_path):
     assert sum(i in got for i in clean) > 0.9 * len(clean)
     assert sum(i in got for i, _, _, x in rows if x) < 0.2 * sum(x for *_, x in rows)
     assert got[1000].n_chars == len(base)
+
+
+def test_repeated_ids_are_judged_by_row(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(60)) for w in ("one", "two", "three"))
+    docs = [(5, one), (5, two), (5, two), (3, three), (7, three), (7, "alone " + " ".join(f"x{k}" for k in range(60))), (None, one)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(5, one), (5, two), (3, three), docs[5], (None, one)], key=str)

@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from weft.llm import textblock as tb
@@ -84,6 +85,20 @@ def fingerprint_docs(docs: DataFrame, shingle: int = 4, text: str = "text", doc_
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprints(docs: DataFrame, into: str, shingle: int = 4) -> DataFrame:
+    """``docs`` with the fingerprint of ``text`` as ``into``."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tb.iter_blocks(batches, BLOCK_BYTES):
+            found = fingerprints(*tb.text_bytes(block.column("text")), shingle)
+            columns = {c: block.column(c) for c in names} | {into: pa.array(found.view(np.int64))}
+            yield from pa.table(columns).combine_chunks().to_batches()
+
+    tb.arrow_batches(docs.sparkSession)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())]))
+
+
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     """Which pairs reach the minimum of shared positional bytes and lie within ``distance``."""
     differing = a ^ b
@@ -191,13 +206,13 @@ def links(fps: DataFrame, distance: int = 4, posting: int = POSTING) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, text: str = "text", doc_id: str = "doc_id", posting: int = POSTING) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links reach, for every row of ``docs``."""
+    """(doc_id, fp, component_id, component): the smallest doc_id that links reach and a fingerprint that names the group, for every row of ``docs``."""
     own = written(fingerprint_docs(docs, shingle, text, doc_id), "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = written(connected_components(links(distinct.select("fp"), distance, posting)).withColumnRenamed("node", "fp"), "components")
     linked = found.join(distinct, "fp")
     by = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = linked.join(by, "component").select("fp", "component_id")
+    linked = linked.join(by, "component").select("fp", "component_id", "component")
     # written, so that the join with all rows stands alone and a hot fingerprint's rows can be split
-    resolved = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "resolved")
-    return own.join(resolved, "fp").select("doc_id", "fp", "component_id")
+    resolved = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("component")), "resolved")
+    return own.join(resolved, "fp").select("doc_id", "fp", "component_id", "component")

@@ -16,7 +16,7 @@ def brute(rows, least):
     for i in range(n):
         for j in range(n):
             if i != j and ok[i] and ok[j] and len(rows[i][1]) == len(rows[j][1]):
-                a, b = np.array(rows[i][1], float), np.array(rows[j][1], float)
+                a, b = (np.array(x, float) / np.abs(x).max() for x in (rows[i][1], rows[j][1]))
                 if a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= least:
                     links[i].add(j)
     label = list(range(n))
@@ -35,6 +35,7 @@ def rows():
     base = rng.normal(size=16)
     out += [[float(np.float32(x)) for x in base + rng.normal(scale=0.05, size=16)] for _ in range(90)]
     out += [out[3], out[3], None, [], [0.0] * 16, [1.0, None] + [0.0] * 14, [float("nan")] + [1.0] * 15, [float("inf")] * 16, [1.0, 2.0], [2.0, 4.0], [3.0]]
+    out += [[1e-200, 1e-200, 0.0, 0.0, 0.0], [1e200, 1e200, 0.0, 0.0, 0.0], [1.0, 0.1, 0.0, 0.0, 0.0], [0.1, 1.0, 0.0, 0.0, 0.0], [5e-324, 0.0, 0.0, 0.0, 0.0]]
     return [(1000 - i if i % 2 else i, v) for i, v in enumerate(out)]
 
 

@@ -9,10 +9,13 @@ found with Arrow's dictionary encoding.  Nothing here loops over words.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII A-Z to a-z, every other byte unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -26,15 +29,30 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 NON_SPACE = np.ones(256, bool)
 NON_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
-#: Rows that Spark puts in one Arrow batch; texts may be long, so few.
-BATCH_ROWS = 1000
+#: Rows and bytes that Spark puts in one Arrow batch at most: texts may be long, so few.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Seconds after which a worker that neither reads nor writes is stuck and its task starts again elsewhere; a block takes a few.
+STUCK_S = 240
 
 
 def arrow_batches(spark) -> None:
-    """Keep Arrow batches small for this session: long texts must not gather in one batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) != BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Settings of Python workers for this session: small Arrow batches, and an end for workers that stand still.
+
+    Spark reads them when a plan runs, so they cannot be scoped to one plan.  Batches only get smaller.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")
+        now = int(now) if now.lstrip("-").isdecimal() else 0  # 0 or less: no bound; sizes may carry a unit
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    end_stuck(spark, STUCK_S)
+
+
+def end_stuck(spark, seconds: int) -> None:
+    """End workers of this session that neither read nor write for so long; their tasks start again."""
+    spark.conf.set("spark.sql.execution.pyspark.udf.idleTimeoutSeconds", str(seconds))
+    spark.conf.set("spark.sql.execution.pyspark.udf.killOnIdleTimeout", "true")
+    spark.conf.set("spark.sql.execution.pyspark.udf.tracebackDumpIntervalSeconds", str(seconds // 2))
 
 
 def iter_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int, text: str = "text") -> Iterator[pa.Table]:
@@ -132,3 +150,34 @@ def gather_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
     return np.arange(total, dtype=np.int64) + shift
+
+
+def map_texts(df: DataFrame, text: str, new: list[T.StructField], start: Callable[[], Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]]], max_bytes: int) -> DataFrame:
+    """Add columns computed from the whole texts of a column, block by block.
+
+    ``start`` runs once a task and returns what gives the new columns of a block
+    from its bytes and row offsets (null: empty).  All other columns pass through
+    untouched, the text once; one that is named as a new column is replaced.
+    Columns travel under numbers, so no name of theirs can clash with another.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow_batches(df.sparkSession)
+    names = {f.name for f in new}
+    at = df.columns.index(text)
+    given = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    kept = [i for i, name in enumerate(df.columns) if name not in names]
+    as_it_is = isinstance(df.schema[at].dataType, T.StringType) and at in kept
+    column = f"c{at}" if as_it_is else "t"
+    given = given.select(*[f"c{i}" for i in kept], *([] if as_it_is else [F.col(f"c{at}").cast("string").alias("t")]))
+    schema = T.StructType([*[T.StructField(f"c{i}", df.schema[i].dataType) for i in kept], *[T.StructField(f"n{j}", f.dataType) for j, f in enumerate(new)]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for block in iter_blocks(batches, max_bytes, column):
+            found = compute(*text_bytes(block.column(column)))
+            out = [*[block.column(f"c{i}") for i in kept], *[found[f.name] for f in new]]
+            yield from pa.table(out, schema=arrow).combine_chunks().to_batches()
+
+    return given.mapInArrow(run, schema).toDF(*[df.columns[i] for i in kept], *[f.name for f in new])

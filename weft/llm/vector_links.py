@@ -14,7 +14,8 @@ exact way for hot groups.  What is found is verified by cosine in double precisi
 Hot groups yield counts and spanning edges, not pairs; only queries with few links
 in a shard yield pairs, so that a link found from either side counts for both.
 Exact copies are one vector with a multiplicity from the start.  Shards hold at
-most about ``SHARD`` vectors and query blocks ``BLOCK``, whatever the input.
+most about ``SHARD`` vectors and query blocks ``BLOCK``, fewer where ``SHARD_BYTES``
+and ``BLOCK_BYTES`` ask for it, whatever the input.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of different lengths never link; equal
@@ -31,10 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm import textblock as tb
 from weft.operators.components import connected_components
 from weft.shared import written
 
 SHARD, LEAST_SHARDS, BLOCK = 65_536, 8, 8192
+#: Bytes of a shard's vectors (as doubles and floats) and of a block's (as doubles).
+SHARD_BYTES, BLOCK_BYTES = 128 << 20, 32 << 20
+#: Seconds that a shard's graph may take without a sign of life.
+STUCK_S = 3600
 LINKS, DIVERSE, RATIO = 20, 10, 16
 BEAM, BUILD_BEAM, RECALL = 32, 48, 0.98
 #: Links of one query in one shard from which on it is compared exactly and counted.
@@ -248,11 +254,17 @@ def range_search(index: ShardIndex, queries: np.ndarray, least: float, hot: int
 RESULT = "kind int, a long, b long, n long"
 
 
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """Unit vectors; divided by the largest component first, as the squares of very small or large ones are no doubles."""
+    v = np.stack(vectors.to_numpy()).astype(float)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.random.default_rng(1).permutation(len(pdf))
     pdf = pdf.sort_values("cid", kind="stable").iloc[order]
-    v = np.stack(pdf.v.to_numpy()).astype(float)
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    unit = unit_rows(pdf.v)
     blob = pickle.dumps((ShardIndex(unit.astype(np.float32)), pdf.cid.to_numpy(), pdf.n.to_numpy(), unit))
     return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "blob": [blob]})
 
@@ -263,8 +275,7 @@ def _querier(least: float, hot: int):
         if len(queries) and len(blobs):
             shard = int(queries.shard.iloc[0])
             index, cids, times, unit = pickle.loads(blobs.blob.iloc[0])
-            v = np.stack(queries.v.to_numpy()).astype(float)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            v = unit_rows(queries.v)
             own = queries.cid.to_numpy()
             order = np.argsort(cids)
             at = order[np.searchsorted(cids, own, sorter=order) % len(cids)]
@@ -296,6 +307,7 @@ def _querier(least: float, hot: int):
 
 def link_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", hot: int = HOT, shard: int = SHARD, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors``."""
+    tb.end_stuck(vectors.sparkSession, STUCK_S)
     given = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[embedding].cast("array<double>").alias("v"))
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     given = given.withColumn("ok", F.coalesce(fine, F.lit(False)))
@@ -304,7 +316,8 @@ def link_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
     members = given.where("ok").select("vec_id", "v").join(classes.select("v", "cid"), "v").select("vec_id", "cid")
     results, spark = None, vectors.sparkSession
     for dim, count in zip(total.dim.tolist(), total["count"].tolist(), strict=True):
-        shards, blocks = max(least_shards, -(-count // shard)), max(1, -(-count // BLOCK))
+        room, wide = max(64, min(shard, SHARD_BYTES // (12 * dim))), max(64, min(BLOCK, BLOCK_BYTES // (8 * dim)))
+        shards, blocks = max(least_shards, -(-count // room)), max(1, -(-count // wide))
         shards = min(shards, max(1, count // 64))
         own = classes.where(F.col("dim") == dim).select("cid", "v", "n", F.pmod(F.xxhash64("cid"), F.lit(shards)).alias("shard"))
         built = written(own.groupBy("shard").applyInPandas(_build, "shard long, blob binary"), "graphs")

@@ -6,7 +6,8 @@ laid out as one linked list of byte tokens, and an inverted index holds, for
 every rank, the positions whose token pair merges to that rank.  Ranks are
 replayed in ascending order from a heap; a merge touches only its own position
 and its two neighbours, whose new pairs enter the index.  Each distinct piece is
-thus encoded once for all its occurrences in the block.
+thus encoded once for all its occurrences in the block.  A piece that is itself a
+token is its id at once, as in the library; the replay has the others.
 
 A word table of the whole corpus would need every (document, piece) pair in a
 shuffle: rare pieces dominate web text, so that table is nearly as large as the
@@ -22,7 +23,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -286,15 +286,27 @@ def decode_ids(ids: np.ndarray, tokens: pa.Array) -> tuple[memoryview, np.ndarra
     return memoryview(taken.buffers()[2]), at
 
 
-def _encoder(shared, with_ids: bool, digests: bool, out_schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encode(df: DataFrame, ranks_path: str, pattern: str = BYTE_PATTERN, text: str = "text", with_ids: bool = True, digests: bool = False) -> DataFrame:
+    """Add ``n_tokens`` long and, as asked, ``ids`` array<int> and the digests of ids and decoded bytes.
+
+    All columns of ``df`` stay; a column of the same name as a new one is replaced.
+    ``ranks_path`` is read on the driver; its tables (a few MB, fixed by the file)
+    go to the executors as a broadcast variable.
+    """
+    new = [T.StructField("n_tokens", T.LongType())]
+    if with_ids:
+        new.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
+    if digests:
+        new += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("exact", T.BooleanType())]
+    shared = df.sparkSession.sparkContext.broadcast(Ranks.load(ranks_path, pattern))
+
+    def start():
         ranks: Ranks = shared.value
         tokens, decimals = ranks.arrays()
-        for block in tb.iter_blocks(batches, BLOCK_BYTES, "__text"):
-            data, offsets = tb.text_bytes(block.column("__text"))
+
+        def compute(data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
             ids, bounds = encode_block(data, offsets, ranks)
-            columns = {name: block.column(name) for name in block.column_names if name != "__text"}
-            columns["n_tokens"] = pa.array(np.diff(bounds))
+            columns: dict[str, pa.Array] = {"n_tokens": pa.array(np.diff(bounds))}
             if with_ids:
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             if digests:
@@ -307,34 +319,11 @@ def _encoder(shared, with_ids: bool, digests: bool, out_schema: pa.Schema):
                     backs.append(hashlib.sha256(piece).hexdigest())
                     exact.append(bytes(piece) == data[c:d].tobytes())
                 columns |= {"ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(backs, pa.string()), "exact": pa.array(exact, pa.bool_())}
-            yield from pa.table([columns[f.name] for f in out_schema], schema=out_schema).combine_chunks().to_batches()
-
-    return run
+            return columns
 
+        return compute
 
-def encode(df: DataFrame, ranks_path: str, pattern: str = BYTE_PATTERN, text: str = "text", with_ids: bool = True, digests: bool = False) -> DataFrame:
-    """Add ``n_tokens`` long and, as asked, ``ids`` array<int> and the digests of ids and decoded bytes.
-
-    All columns of ``df`` stay; a column of the same name as a new one is replaced.
-    ``ranks_path`` is read on the driver; its tables (a few MB, fixed by the file)
-    go to the executors as a broadcast variable.
-    """
-    from pyspark.sql import functions as F
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark = df.sparkSession
-    tb.arrow_batches(spark)
-    new = [T.StructField("n_tokens", T.LongType())]
-    if with_ids:
-        new.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
-    if digests:
-        new += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("exact", T.BooleanType())]
-    names = {f.name for f in new}
-    kept = [f for f in df.schema.fields if f.name not in names]
-    schema = T.StructType([*kept, *new])
-    shared = spark.sparkContext.broadcast(Ranks.load(ranks_path, pattern))
-    given = df.select(*[df[f.name] for f in kept], F.col(text).cast("string").alias("__text"))
-    return given.mapInArrow(_encoder(shared, with_ids, digests, to_arrow_schema(schema)), schema)
+    return tb.map_texts(df, text, new, start, BLOCK_BYTES)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

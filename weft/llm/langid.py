@@ -18,18 +18,19 @@ if nothing can be learned every text is ``und``; null languages are not learned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm import sampling
 from weft.llm import textblock as tb
 
 PER_LANG, SAMPLE = 900, 3600
+#: Bytes of all training texts.
+LANG_BYTES = 32 << 20
 BUCKETS, SIZE = 1 << 16, 16
 GRAMS = (2, 3, 4, 5)
 PRECISION = 0.99
@@ -177,22 +178,18 @@ def has_letter(text: str | None) -> bool:
 
 
 def train(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = PER_LANG, sample: int = SAMPLE) -> SubwordSoftmax:
-    """Fit on text and non-null lang of a bounded sample outside the held-out fold."""
+    """Fit on text and non-null lang of a bounded sample outside the held-out fold: the first ids of every language in hash order."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~sampling.in_fold(F.col("doc_id"), modulus, held))
-    langs = [r.lang for r in own.select("lang").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()]
-    each = min(per_lang, max(1, sample // max(1, len(langs))))
-    ids = own.select("doc_id", "lang")
-    picked = []
-    for start in range(0, len(langs), 16):
-        parts = [sampling.hashed_first(ids.where(F.col("lang") == x), each) for x in langs[start : start + 16]]
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.union(p)
-        picked.append(union.select("doc_id").toPandas())
-    if not picked:
+    langs = [r.lang for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()]
+    if not langs:
         return SubwordSoftmax()
-    chosen = docs.sparkSession.createDataFrame(pd.concat(picked).drop_duplicates(), "doc_id long")
-    rows = own.join(F.broadcast(chosen), "doc_id", "left_semi").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("text")
+    each = min(per_lang, max(1, sample // len(langs)))
+    # the limit by rank is taken within each task before rows meet by language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*sampling.hash_order()))
+    known = docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string")
+    picked = own.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= each).join(F.broadcast(known), "lang", "left_semi").select("doc_id").distinct()
+    chosen = docs.sparkSession.createDataFrame(sampling.frame(picked), "doc_id long")
+    rows = sampling.frame(sampling.texts_of(own, chosen, [], max_bytes=LANG_BYTES)).sort_values("doc_id", kind="stable").drop_duplicates("text")
     return SubwordSoftmax().fit(rows[rows.text.map(has_letter)].reset_index(drop=True))
 
 
@@ -201,20 +198,12 @@ def identify(docs: DataFrame, model: SubwordSoftmax, text: str = "text") -> Data
 
     All other columns stay; one of the same name is replaced.
     """
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark = docs.sparkSession
-    tb.arrow_batches(spark)
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    kept = [f for f in docs.schema.fields if f.name not in {x.name for x in new}]
-    schema = T.StructType([*kept, *new])
-    arrow, shared = to_arrow_schema(schema), spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         own = shared.value
-        for block in tb.iter_blocks(batches, BLOCK_BYTES, "__text"):
-            data, offsets = tb.text_bytes(block.column("__text"))
+
+        def compute(data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
             ascii_letters = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))))
             letter = (ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]) & bool(own.langs)
             if own.langs:
@@ -224,11 +213,13 @@ def identify(docs: DataFrame, model: SubwordSoftmax, text: str = "text") -> Data
                 best, sure = p.argmax(1), np.where(letter, p.max(1), 0.0)
             else:
                 best, sure = np.zeros(len(letter), int), np.zeros(len(letter))
-            new = {
+            return {
                 "lang_pred": pa.array([own.langs[b] if x else "und" for b, x in zip(best.tolist(), letter.tolist(), strict=True)], pa.string()),
                 "score": pa.array(sure.astype(float)),
                 "rejected": pa.array(~letter | (sure < own.limit)),
             }
-            yield from pa.table([new[f.name] if f.name in new else block.column(f.name) for f in arrow], schema=arrow).combine_chunks().to_batches()
 
-    return docs.select(*[docs[f.name] for f in kept], docs[text].cast("string").alias("__text")).mapInArrow(run, schema)
+        return compute
+
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return tb.map_texts(docs, text, new, start, BLOCK_BYTES)

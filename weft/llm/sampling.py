@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a text that may be a training row, and of all training texts of a class.
+MAX_TEXT, MAX_BYTES = 256 << 10, 24 << 20
+
 
 def in_fold(doc_id: Column, modulus: int, fold: int) -> Column:
     """Whether crc32 of the id as text has this remainder; false for a null id."""
@@ -17,13 +20,34 @@ def frame(df: DataFrame) -> pd.DataFrame:
     return df.toArrow().to_pandas()
 
 
+def hash_order(key: str = "doc_id") -> list[Column]:
+    """An order that any table with these keys gives alike."""
+    return [F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.col(key)]
+
+
 def hashed_first(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """``n`` rows, the first in hash order of the key: the same ones for the same table."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(7)), key).limit(n)
+    return df.orderBy(*hash_order(key)).limit(n)
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, by: list[str], max_text: int = MAX_TEXT, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``chosen`` (doc_id and the columns ``by``; few rows) with ``text`` and ``lang``: one text an id, bounded in bytes.
+
+    Of an id that repeats, one text is taken, whatever the number of its rows.
+    Texts above ``max_text`` bytes are left out whole; of the others those enter,
+    in hash order of their ids, that fit into ``max_bytes`` for each value of ``by``.
+    """
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("own_lang")).where(F.octet_length("text") <= max_text)
+    one = F.min(F.struct(F.xxhash64("text"), F.octet_length("text").alias("size"), F.col("text"), F.col("own_lang").alias("lang"))).alias("m")
+    found = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *by).agg(one)
+    # a window over as many rows as were chosen
+    fits = F.sum("m.size").over(Window.partitionBy(*by).orderBy(*hash_order()))
+    return found.withColumn("sum", fits).where(F.col("sum") <= max_bytes).select("doc_id", *by, "m.text", "m.lang")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int) -> pd.DataFrame:
-    """(doc_id, text, lang, y) of at most ``per_class`` training rows of each label 0 and 1.
+    """(doc_id, text, lang, y) of at most ``per_class`` training rows of each label 0 and 1, of ``MAX_BYTES`` each.
 
     Rows of the held-out fold never enter.  The ids are chosen among the labels,
     whose bounded pick is then joined with the documents by broadcast.
@@ -34,9 +58,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held:
     if not len(rows):
         return pd.DataFrame({"doc_id": [], "text": [], "lang": [], "y": []})
     chosen = docs.sparkSession.createDataFrame(rows, "doc_id long, y int")
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang)
-    return frame(own.join(F.broadcast(chosen), "doc_id")).sort_values(["doc_id", "y"], kind="stable").drop_duplicates("text").reset_index(drop=True)
+    return frame(texts_of(docs, chosen, ["y"])).sort_values(["doc_id", "y"], kind="stable").drop_duplicates("text").reset_index(drop=True)
 
 
 class Adam:

@@ -24,14 +24,12 @@ get equal scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm import sampling
 from weft.llm import textblock as tb
@@ -292,19 +290,11 @@ def score(docs: DataFrame, model: TextCNN, text: str = "text", into: str = "scor
 
 
 def add_scores(docs: DataFrame, model, text: str, into: str) -> DataFrame:
-    """Add ``model.scores`` of every whole text as a double column, block by block."""
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark = docs.sparkSession
-    tb.arrow_batches(spark)
-    kept = [f for f in docs.schema.fields if f.name != into]
-    schema = T.StructType([*kept, T.StructField(into, T.DoubleType())])
-    arrow, shared = to_arrow_schema(schema), spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tb.iter_blocks(batches, BLOCK_BYTES, "__text"):
-            found = pa.array(shared.value.scores(*tb.text_bytes(block.column("__text"))).astype(float))
-            yield from pa.table([found if f.name == into else block.column(f.name) for f in arrow], schema=arrow).combine_chunks().to_batches()
-
-    return docs.select(*[docs[f.name] for f in kept], F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    """Add ``model.scores`` of every whole text as a double column, block by block; a column of that name is replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        own = shared.value
+        return lambda data, offsets: {into: pa.array(np.asarray(own.scores(data, offsets), float))}
+
+    return tb.map_texts(docs, text, [T.StructField(into, T.DoubleType())], start, BLOCK_BYTES)

@@ -15,8 +15,11 @@ shuffle, so a passage that a third of the documents share costs what any other
 text costs.
 
 Defined cases: null or empty texts have no words; items without words have no
-windows; an item shorter than the window is one window; items with a null id are
-left out; repeated items count once by id; empty tables give empty or clean results.
+windows; an item shorter than the window is one window; an item with a null id
+hits as any other and is only left out of the lists of ids; repeated items count
+once by id; an item longer than a part is cut into pieces that overlap by a window
+less a word; empty tables give empty or clean results; an input column named as a
+new one is replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ from weft.llm import textblock as tb
 
 PART_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What stands between words, after lower-casing.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 class TestSuffixes:
@@ -167,7 +173,8 @@ def _scanner(shared, first: bool, out_schema: pa.Schema):
                 item = tests.places[tb.gather_ranges(tests.begins[pw], each), 0]
                 ri = np.unique(np.repeat(pr, each) * np.int64(len(tests.items)) + item)
                 for r, i in zip((ri // len(tests.items)).tolist(), (ri % len(tests.items)).tolist(), strict=True):
-                    items[r].append(tests.items[i])
+                    if tests.items[i] is not None:
+                        items[r].append(tests.items[i])
                 for r, (size, p, i) in _longest(at, length, window, tests, row).items():
                     if size > long[r][0]:
                         long[r] = (size, p - int(bounds[r]), tests.items[i])
@@ -185,6 +192,15 @@ def _scanner(shared, first: bool, out_schema: pa.Schema):
     return run
 
 
+def _pieces(items: DataFrame, window: int, part_bytes: int) -> DataFrame:
+    """Items (i, t), those above ``part_bytes`` as pieces of their words that hold every window of the item."""
+    step = max(1, part_bytes // 16)
+    words = F.array_remove(F.split(F.translate("t", UPPER, UPPER.lower()), GAP), "")
+    long = F.octet_length("t") > part_bytes
+    cut = items.where(long).withColumn("w", words).withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - F.lit(window), F.lit(0)), F.lit(step))))
+    return items.where(~long).union(cut.select("i", F.array_join(F.slice("w", F.col("k") + 1, F.lit(step + window - 1)), " ").alias("t")))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Add to every document what of the benchmark it holds.
 
@@ -197,19 +213,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
 
     spark = docs.sparkSession
     tb.arrow_batches(spark)
-    items = benchmark.select(benchmark[item_id].cast("string").alias("i"), F.coalesce(benchmark[item_text].cast("string"), F.lit("")).alias("t")).where("i IS NOT NULL")
+    items = _pieces(benchmark.select(benchmark[item_id].cast("string").alias("i"), F.coalesce(benchmark[item_text].cast("string"), F.lit("")).alias("t")), window, part_bytes)
     size = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     parts = max(1, -(-int(size) // part_bytes))
-    names = {f.name for f in NEW} | {"n_hit", "spans"}
-    kept = [f for f in docs.schema.fields if f.name not in names]
-    now = docs.select(*[docs[f.name] for f in kept], docs[text].cast("string").alias("__text"))
+    new = ["n_words", "n_hit", "spans", "items", "longest_match", "longest_word", "longest_item"]
+    kept = [i for i, name in enumerate(docs.columns) if name not in new]
+    now = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    now = now.select(*[f"c{i}" for i in kept], F.col(f"c{docs.columns.index(text)}").cast("string").alias("__text"))
+    own = [T.StructField(f"c{i}", docs.schema[i].dataType) for i in kept]
     for k in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        tests = TestSuffixes(sorted((r.i, r.t) for r in part.collect()), window)
-        schema = T.StructType([*kept, T.StructField("__text", T.StringType()), *NEW])
+        tests = TestSuffixes(sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1])), window)
+        schema = T.StructType([*own, *([T.StructField("__text", T.StringType())] if k < parts - 1 else []), *NEW])
         now = now.mapInArrow(_scanner(spark.sparkContext.broadcast(tests), k == 0, to_arrow_schema(schema)), schema)
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: x - s)  # ends minus starts: signs alternate
-    return now.select(*[F.col(f"`{f.name}`") for f in kept], "n_words", F.when(F.size("__spans") > 0, hit).otherwise(F.lit(0)).cast("long").alias("n_hit"), F.col("__spans").alias("spans"), "items", "longest_match", "longest_word", "longest_item")
+    found = now.select(*[f.name for f in own], "n_words", F.when(F.size("__spans") > 0, hit).otherwise(F.lit(0)).cast("long").alias("n_hit"), "__spans", "items", "longest_match", "longest_word", "longest_item")
+    return found.toDF(*[docs.columns[i] for i in kept], *new)
 
 
 def items_digest(items) -> str:

@@ -180,15 +180,14 @@ def has_letter(text: str | None) -> bool:
 def train(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = PER_LANG, sample: int = SAMPLE) -> SubwordSoftmax:
     """Fit on text and non-null lang of a bounded sample outside the held-out fold: the first ids of every language in hash order."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~sampling.in_fold(F.col("doc_id"), modulus, held))
-    langs = [r.lang for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()]
+    known, langs = sampling.held_here(own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).select("lang"))
     if not langs:
         return SubwordSoftmax()
-    each = min(per_lang, max(1, sample // len(langs)))
+    each = min(per_lang, max(1, sample // langs))
     # the limit by rank is taken within each task before rows meet by language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*sampling.hash_order()))
-    known = docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string")
     picked = own.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= each).join(F.broadcast(known), "lang", "left_semi").select("doc_id").distinct()
-    chosen = docs.sparkSession.createDataFrame(sampling.frame(picked), "doc_id long")
+    chosen, _ = sampling.held_here(picked)
     rows = sampling.frame(sampling.texts_of(own, chosen, [], max_bytes=LANG_BYTES)).sort_values("doc_id", kind="stable").drop_duplicates("text")
     return SubwordSoftmax().fit(rows[rows.text.map(has_letter)].reset_index(drop=True))
 

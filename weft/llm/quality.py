@@ -1,27 +1,31 @@
 """Quality by positive-unlabelled learning with a non-negative risk.
 
 A small network over counts of the whole text (byte classes, punctuation, word
-and line repetition, lengths) is trained in numpy on *trusted positives* and
-*unlabelled* web text.  With the class prior p the risk is
+and line repetition, lengths, shares of hashed words) is trained in numpy on
+*trusted positives* and *unlabelled* web text; labels 0 are never looked at.  With
+the class prior p the risk is
 
     p E+[l(z)] + max(0, Eu[l(-z)] - p E+[l(-z)]),
 
-the sigmoid loss for l; where the second part falls below zero, its gradient is
-reversed as in non-negative PU learning.  The prior is the share of positives
-among labelled training rows; with no negative among them it is estimated from
-the two samples instead (the mean probability, over unlabelled text, of a
-classifier that tells the samples apart, over its mean on positives).  A logistic
-map fitted on labelled training rows turns the output into a probability.
-
-Training takes at most ``2 * per_class`` labelled and ``unlabelled`` other rows;
-scoring is a single pass without a shuffle.  Defined cases: null and empty texts
-have zero counts and a score like any text; without positives every score is 0.
+the logistic loss for l, so that the logistic of the output z is itself the
+probability of quality and the score; where the second part falls below zero, its
+gradient is reversed as in non-negative PU learning.  The prior is estimated from
+the two samples: a classifier that tells them apart is trained on one half, and on
+the other half the share of unlabelled over the share of positive texts above a
+threshold is smallest where hardly any text above it is negative; that least ratio,
+with a bound for chance, is the share of positives in unlabelled text.
+
+Training takes at most ``per_class`` positives and ``unlabelled`` other rows, of
+bounded bytes; scoring is a single pass without a shuffle.  Defined cases: null and
+empty texts have zero counts and a score like any text; without positives every
+score is 0; repeated rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from weft.llm.toxicity import add_scores
 PER_CLASS = 2500
 UNLABELLED = 5000
 HIDDEN = 24
+#: Hashed words whose shares are features.
+WORDS = 64
 
 _PUNCT = [b for b in range(33, 127) if not chr(b).isalnum()]
 _COLUMNS = np.full(256, 6 + len(_PUNCT), np.int64)  # non-ASCII last
@@ -73,6 +79,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     caps, alpha = upper[ends] - upper[starts], letters[ends] - letters[starts]
     length = ends - starts
     marks = length - alpha  # bytes of a word that are no letters
+    bucket = word_buckets(distinct)[which]
+    shares = np.bincount(word_row * WORDS + bucket, minlength=n * WORDS).reshape(n, WORDS)
     count = lambda mask: np.bincount(word_row[mask], minlength=n)
     cols = [
         np.log1p(size) / 5,
@@ -88,25 +96,35 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         _ratio(classes[:, 4], words) * 5,
         (words == 0).astype(float),
     ]
-    return np.concatenate((np.stack(cols, 1), np.sqrt(_ratio(classes, size[:, None]))), 1)
+    return np.concatenate((np.stack(cols, 1), np.sqrt(_ratio(classes, size[:, None])), np.sqrt(_ratio(shares, words[:, None]))), 1)
+
+
+def word_buckets(words: pa.Array) -> np.ndarray:
+    """Hash of each distinct word."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) % WORDS for w in words.to_pylist()), np.int64, len(words))
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class PUNet:
-    """One hidden layer on standardised features, and the logistic map of its output."""
+    """One hidden layer on standardised features; the logistic of its output is the score."""
 
     def __init__(self) -> None:
         self.w: dict = {}
-        self.a, self.b = 1.0, 0.0
-
-    def _raw(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(x @ self.w["h"] + self.w["hb"]) @ self.w["o"] + self.w["ob"][0]
+        self.prior = 0.0
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability of quality for every text of a block."""
         if not self.w:
             return np.zeros(len(offsets) - 1)
-        z = self._raw(np.clip((features(data, offsets) - self.mean) / self.sd, -6, 6))
-        return 1 / (1 + np.exp(-np.clip(self.a * z + self.b, -30, 30)))
+        return self.of_features(features(data, offsets))
+
+    def of_features(self, x: np.ndarray) -> np.ndarray:
+        """Probability of quality for rows of features."""
+        x = np.clip((x - self.mean) / self.sd, -6, 6)
+        return _logistic(np.tanh(x @ self.w["h"] + self.w["hb"]) @ self.w["o"] + self.w["ob"][0])
 
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 40, seed: int = 3) -> PUNet:
         """Minimise the non-negative risk over rows of features."""
@@ -124,77 +142,64 @@ class PUNet:
                 x = np.concatenate((xp, xu))
                 hidden = np.tanh(x @ self.w["h"] + self.w["hb"])
                 z = np.clip(hidden @ self.w["o"] + self.w["ob"][0], -30, 30)
-                s = 1 / (1 + np.exp(-z))  # sigmoid loss: l(z) = 1 - s, l(-z) = s
-                slope = s * (1 - s)
-                zp, zu = slice(0, len(xp)), slice(len(xp), None)
-                negative = s[zu].mean() - prior * s[zp].mean()
-                d = np.zeros(len(x))
-                if negative >= 0:
-                    d[zp] = -prior * slope[zp] / len(xp)
-                    sign = 1.0
-                else:
-                    sign = -1.0
-                d[zu] += sign * slope[zu] / len(xu)
-                d[zp] -= sign * prior * slope[zp] / len(xp)
+                d, _ = risk_slope(z, len(xp), prior)
                 back = d[:, None] * self.w["o"] * (1 - hidden**2)
-                adam.step({"o": hidden.T @ d, "ob": np.array([d.sum()]), "h": x.T @ back + 1e-5 * self.w["h"], "hb": back.sum(0)})
+                adam.step({"o": hidden.T @ d + 1e-4 * self.w["o"], "ob": np.array([d.sum()]), "h": x.T @ back + 1e-4 * self.w["h"], "hb": back.sum(0)})
         return self
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        """Logistic map from output to probability by Newton steps; needs both classes."""
-        if len(set(y.tolist())) < 2:
-            self.a = 4.0
-            return
-        z = self._raw(np.clip((x - self.mean) / self.sd, -6, 6))
-        design = np.stack((z, np.ones(len(z))), 1)
-        beta = np.array([1.0, 0.0])
-        for _ in range(25):
-            q = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-            grad = design.T @ (weight * (q - y)) + 1e-3 * beta * len(z) / 100
-            hess = (design * (weight * q * (1 - q))[:, None]).T @ design + 1e-3 * len(z) / 100 * np.eye(2)
-            beta = beta - np.linalg.solve(hess, grad)
-        self.a, self.b = float(beta[0]), float(beta[1])
-
-
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives in unlabelled rows from a logistic regression that tells the two samples apart."""
+
+def risk_slope(z: np.ndarray, n_positive: int, prior: float) -> tuple[np.ndarray, float]:
+    """Slope of the non-negative risk by each output (positives first), and the part that must not fall below zero."""
+    zp, zu = slice(0, n_positive), slice(n_positive, None)
+    s = _logistic(z)  # l(z) = log(1 + e^-z) has slope s - 1, l(-z) = log(1 + e^z) has slope s
+    softplus = np.logaddexp(0, z)
+    negative = float(softplus[zu].mean() - prior * softplus[zp].mean())
+    d = np.zeros(len(z))
+    sign = 1.0 if negative >= 0 else -1.0
+    if negative >= 0:
+        d[zp] = prior * (s[zp] - 1) / n_positive
+    d[zu] += sign * s[zu] / (len(z) - n_positive)
+    d[zp] -= sign * prior * s[zp] / n_positive
+    return d, negative
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 0.1) -> float:
+    """Share of positives in unlabelled rows: the least ratio of tails of a classifier that tells the samples apart."""
     mean, sd = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    x = np.clip((np.concatenate((positive, unlabelled)) - mean) / sd, -6, 6)
-    x = np.concatenate((x, np.ones((len(x), 1))), 1)
-    y = np.concatenate((np.ones(len(positive)), np.zeros(len(unlabelled))))
+    p, u = (np.clip((x - mean) / sd, -6, 6) for x in (positive, unlabelled))
+    half = lambda x, k: np.concatenate((x[k::2], np.ones((len(x[k::2]), 1))), 1)
+    x, y = np.concatenate((half(p, 0), half(u, 0))), np.repeat([1.0, 0.0], [len(p[::2]), len(u[::2])])
     beta = np.zeros(x.shape[1])
     for _ in range(15):
-        q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        beta -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(len(beta)), x.T @ (q - y) + beta)
-    q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-    odds = q / (1 - q)
-    top = max(np.quantile(odds[y == 1], 0.5), 1e-9)
-    return float(np.clip(np.minimum(odds[y == 0] / top, 1).mean(), 0.05, 0.98))
+        q = _logistic(x @ beta)
+        beta -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 10 * np.eye(len(beta)), x.T @ (q - y) + 10 * beta)
+    zp, zu = np.sort(half(p, 1) @ beta), np.sort(half(u, 1) @ beta)
+    if not len(zp) or not len(zu):
+        return 0.5
+    tail_p = 1 - np.arange(len(zp)) / len(zp)
+    tail_u = 1 - np.searchsorted(zu, zp) / len(zu)
+    chance = np.sqrt(np.log(4 / sure) / 2 / len(zu)) + np.sqrt(np.log(4 / sure) / 2 / len(zp))
+    best = int(np.argmin((tail_u + chance) / tail_p))
+    return float(np.clip(tail_u[best] / tail_p[best], 0.01, 0.99))
 
 
 def _matrix(texts: list[str]) -> np.ndarray:
     parts = [features(*tb.text_bytes(pa.array(texts[i : i + 500], pa.string()))) for i in range(0, len(texts), 500)]
-    return np.concatenate(parts) if parts else np.zeros((0, 12 + N_CLASSES))
+    return np.concatenate(parts) if parts else np.zeros((0, 12 + N_CLASSES + WORDS))
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, per_class: int = PER_CLASS, unlabelled: int = UNLABELLED) -> PUNet:
-    """Fit on labels outside the held-out fold and on unlabelled text outside it."""
-    known = sampling.labelled(docs, labels, "quality", modulus, held, per_class)
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~sampling.in_fold(F.col("doc_id"), modulus, held))
-    share = usable.agg(F.avg("y"), F.min("y")).first()
-    ids = sampling.hashed_first(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~sampling.in_fold(F.col("doc_id"), modulus, held)), unlabelled)
-    web = sampling.frame(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")).sort_values("doc_id", kind="stable")
+    """Fit on the positives among the labels outside the held-out fold and on text outside it, whatever its label."""
+    known = sampling.labelled(docs, labels.where(F.col("quality").cast("int") == 1), "quality", modulus, held, per_class)
+    fold = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~sampling.in_fold(F.col("doc_id"), modulus, held))
+    # ids that repeat stand together in hash order: some more are drawn, then each once
+    ids, _ = sampling.held_here(sampling.hashed_first(sampling.hashed_first(fold, 4 * unlabelled).distinct(), unlabelled))
+    web = sampling.frame(sampling.texts_of(docs, ids, [])).sort_values("doc_id", kind="stable")
     model = PUNet()
-    if not (known.y == 1).any() or not len(web):
+    if not len(known) or not len(web):
         return model
-    x, y = _matrix(known.text.tolist()), known.y.to_numpy(float)
-    u = _matrix(web.text.tolist())
-    prior = float(share[0]) if share[1] == 0 else estimate_prior(x[y == 1], u)
-    model.fit(x[y == 1], u, min(prior, 0.99))
-    ones = max(y.sum(), 1)
-    weight = np.where(y == 1, prior / ones, (1 - prior) / max((1 - y).sum(), 1)) * len(y)
-    model.calibrate(x, y, weight)
-    return model
+    p, u = _matrix(known.text.tolist()), _matrix(web.text.tolist())
+    return model.fit(p, u, estimate_prior(p, u))
 
 
 def score(docs: DataFrame, model: PUNet, text: str = "text", into: str = "score") -> DataFrame:

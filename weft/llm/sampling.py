@@ -20,6 +20,12 @@ def frame(df: DataFrame) -> pd.DataFrame:
     return df.toArrow().to_pandas()
 
 
+def held_here(df: DataFrame) -> tuple[DataFrame, int]:
+    """A bounded result as a local table, and its rows: joined by broadcast without running its plan again, no Python worker needed."""
+    rows = df.toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema), rows.num_rows
+
+
 def hash_order(key: str = "doc_id") -> list[Column]:
     """An order that any table with these keys gives alike."""
     return [F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.col(key)]
@@ -54,10 +60,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held:
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~in_fold(F.col("doc_id"), modulus, held)).distinct()
     picked = hashed_first(usable.where("y = 1"), per_class).union(hashed_first(usable.where("y = 0"), per_class))
-    rows = frame(picked)
-    if not len(rows):
+    chosen, n = held_here(picked)
+    if not n:
         return pd.DataFrame({"doc_id": [], "text": [], "lang": [], "y": []})
-    chosen = docs.sparkSession.createDataFrame(rows, "doc_id long, y int")
     return frame(texts_of(docs, chosen, ["y"])).sort_values(["doc_id", "y"], kind="stable").drop_duplicates("text").reset_index(drop=True)
 
 

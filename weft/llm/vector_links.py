@@ -327,7 +327,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
         part = written(part.withColumn("shards", F.lit(shards)), "links")
         results = part if results is None else results.union(part)
     if results is None:
-        results = spark.createDataFrame([], RESULT + ", shards int")
+        results = spark.range(0).select(*[F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in (RESULT + ", shards int").split(", "))])
     pairs = results.where("kind = 0").select("a", "b", "shards")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shards")).distinct()
     both = both.withColumn("shard", F.pmod(F.xxhash64("b"), F.col("shards")))

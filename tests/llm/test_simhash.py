@@ -77,6 +77,36 @@ def test_tight_cluster_in_blocks(spark):
         assert union(len(fps), [(at[a], at[b]) for a, b in edges]) == want
 
 
+def test_count_filter_rejects_pairs_of_a_posting():
+    rnd = random.Random(9)
+    assert simhash.indexed(4) == 3 and [simhash.indexed(d) for d in (0, 6, 7)] == [7, 1, 1]
+    base = rnd.getrandbits(64)
+    flip = [sum(rnd.randrange(1, 256) << (8 * p) for p in rnd.sample(range(8), k)) for k in range(9) for _ in range(30)]
+    differing = np.array(flip, np.uint64)
+    shared = simhash.tally(differing)
+    assert shared.tolist() == [8 - k for k in range(9) for _ in range(30)]
+    # those that share three bytes meet in a posting and the tally turns them away unverified
+    seen = []
+    count, simhash.np.bitwise_count = np.bitwise_count, lambda x: seen.append(len(x)) or count(x)
+    try:
+        near = simhash._near(np.full(len(flip), base, np.uint64), np.array([base ^ f for f in flip], np.uint64), 4)
+    finally:
+        simhash.np.bitwise_count = count
+    assert seen == [5 * 30] and near.tolist() == [f.bit_count() <= 4 for f in flip]
+
+
+def test_postings_meet_all_that_can_link(spark):
+    rnd = random.Random(11)
+    fps = [rnd.getrandbits(64) for _ in range(150)]
+    for f in fps[:60]:
+        fps.append(f ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 7))))
+    df = spark.createDataFrame([(int(np.array([f], np.uint64).view(np.int64)[0]),) for f in sorted(set(fps))], "fp long")
+    at = {f: i for i, f in enumerate(sorted(set(fps)))}
+    for distance in (0, 2, 4, 6, 7):
+        edges = [(at[r.a & (2**64 - 1)], at[r.b & (2**64 - 1)]) for r in simhash.links(df, distance=distance).collect()]
+        assert union(len(at), edges) == brute(sorted(at), distance)
+
+
 def test_long_text_is_chunked(monkeypatch):
     import pyarrow as pa
 

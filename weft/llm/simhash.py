@@ -2,17 +2,19 @@
 
 Fingerprints of 64 bits are eight positional bytes.  Two that differ in at most k
 bits share at least 8 - k positional bytes; with k = 4 the guaranteed minimum is
-four.  The index posts each distinct fingerprint under every choice of that many
-positions together with the bytes there, so every pair that reaches the minimum
-meets in some posting and (unlike postings of single bytes, which would tally a
-64th of all pairs) hardly any other pair does.  In a posting, shared positional
-bytes are tallied, pairs below the minimum leave, and the rest are verified by
-Hamming distance.
+four.  The index posts each distinct fingerprint under every choice of three
+positions (one less than the minimum) together with the bytes there, so every pair
+that reaches the minimum meets in some posting.  (Postings of single bytes would
+tally a 64th of all pairs, those of two bytes a 2,300th, and both counts grow with
+the square of the corpus before any pair is known to be near.)  In a posting, the
+shared positional bytes of each pair are tallied; pairs that share the three of the
+posting alone are below the minimum and leave; the rest are verified by Hamming distance.
 
 Only components are asked for, so a posting yields a spanning star for each group
 of linked members, never its pairs.  A posting larger than ``POSTING`` is cut into
 blocks, and every pair of blocks is compared as a task of its own; no task holds
-more than two blocks.  Exact copies are one fingerprint from the start.
+more than two blocks.  Exact copies are one fingerprint from the start.  Postings
+are dealt to as many partitions as their measured number asks for (``PART_ROWS``).
 
 Defined cases: no words (null, empty, white space): fingerprint zero, linked as
 any other; fewer words than a shingle: the whole sequence is one; a null doc_id
@@ -39,6 +41,8 @@ from weft.shared import written
 SEED = 42
 #: Fingerprints of one posting that are compared at once.
 POSTING = 4096
+#: Rows of the index in one partition.
+PART_ROWS = 2_000_000
 #: Text handled at once in fingerprinting, and shingles whose bits are unpacked at once.
 BLOCK_BYTES, CHUNK = 2 << 20, 1 << 18
 
@@ -99,11 +103,17 @@ def with_fingerprints(docs: DataFrame, into: str, shingle: int = 4) -> DataFrame
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())]))
 
 
+def tally(differing: np.ndarray) -> np.ndarray:
+    """Shared positional bytes of pairs, from the bits in which they differ."""
+    return (differing.view(np.uint8).reshape(*differing.shape, 8) == 0).sum(-1)
+
+
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     """Which pairs reach the minimum of shared positional bytes and lie within ``distance``."""
     differing = a ^ b
-    shared = (differing.view(np.uint8).reshape(*differing.shape, 8) == 0).sum(-1)
-    return (shared >= 8 - distance) & (np.bitwise_count(differing) <= distance)
+    near = tally(differing) >= 8 - distance
+    near[near] = np.bitwise_count(differing[near]) <= distance
+    return near
 
 
 def spanning(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,17 +189,23 @@ def _postings(masks: list[int], distance: int, limit: int):
     return run
 
 
+def indexed(distance: int) -> int:
+    """Positional bytes of a posting: one less than a pair within ``distance`` shares at least."""
+    return max(1, 7 - distance)
+
+
 def links(fps: DataFrame, distance: int = 4, posting: int = POSTING) -> DataFrame:
     """(a, b) edges whose components are those of all links within ``distance`` among the distinct ``fps.fp``."""
-    least = 8 - distance
-    if not 1 <= least <= 8:
+    if not 0 <= distance <= 7:
         raise ValueError("the byte index needs a distance of 0 to 7 bits")
-    masks = [sum(0xFF << (8 * p) for p in at) for at in combinations(range(8), least)]
-    signed = [int(np.array([m], np.uint64).view(np.int64)[0]) for m in masks]
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("posting", "key")).select(F.col("posting").cast("short").alias("posting"), "fp", "key")
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    # the key stays in the sort alone: Python computes it from the fingerprint
-    dealt = keyed.repartition(parts, "posting", "key").sortWithinPartitions("posting", "key").select("posting", "fp")
+    masks = [sum(0xFF << (8 * p) for p in at) for at in combinations(range(8), indexed(distance))]
+    signed = F.array(*[F.lit(int(np.array([m], np.uint64).view(np.int64)[0])) for m in masks])
+    posted = fps.select("fp", F.explode(F.array(*[F.lit(k).cast("short") for k in range(len(masks))])).alias("posting"))
+    spark = fps.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * len(masks) // PART_ROWS))
+    # the key is dealt and sorted by but never carried: it follows from the fingerprint
+    key = F.col("fp").bitwiseAND(F.get(signed, F.col("posting").cast("int")))
+    dealt = posted.repartition(parts, "posting", key).withColumn("key", key).sortWithinPartitions("posting", "key").select("posting", "fp")
     found = written(dealt.mapInArrow(_postings(masks, distance, posting), "big boolean, posting short, a long, b long"), "postings")
     edges = found.where("NOT big").select("a", "b")
     big = found.where("big").select("posting", F.col("a").alias("key"), F.col("b").alias("fp"))

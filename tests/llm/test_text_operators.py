@@ -42,7 +42,7 @@ def test_line_dedup(spark, room):
 
 
 def test_line_index_is_reversible(spark, tmp_path):
-    index = line_dedup.LineIndex(spark, str(tmp_path), min_docs=3, shards=4)
+    index = line_dedup.LineIndex(spark, str(tmp_path), min_docs=3)
     a = spark.createDataFrame([("x\ny",), ("x\nz",), (None,)], "text string")
     b = spark.createDataFrame([("x",), ("y\nx",), ("y",)], "text string")
     index.insert(a)
@@ -57,6 +57,61 @@ def test_line_index_is_reversible(spark, tmp_path):
     assert index.apply(a).where("n_dropped > 0").count() == 0
     with pytest.raises(ValueError):
         index.delete(b)
+    assert sorted(index.counts().collect()) == before
+    again = line_dedup.LineIndex.open(spark, str(tmp_path))
+    assert (again.version, again.min_docs) == (index.version, 3)
+    again.insert(b)
+    assert [r.kept_text for r in again.apply(a).collect()] == ["", "z", ""]
+    with pytest.raises(ValueError):
+        line_dedup.LineIndex.open(spark, str(tmp_path / "none"))
+
+
+def test_line_index_doubles_its_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    index = line_dedup.LineIndex(spark, str(tmp_path), min_docs=2)
+    for part in (range(6), range(30), range(60)):
+        index.insert(spark.createDataFrame([("\n".join(f"l{k}" for k in part),)] * 2, "text string"))
+    assert index.shards == 8 and index.filters().count() == 8
+    text = spark.createDataFrame([("l0\nl59\nnew\nl31",)], "text string")
+    for room in (1 << 20, 500, 0):  # keys and filters held, filters alone, neither
+        assert [r.kept_text for r in index.apply(text, broadcast_bytes=room).collect()] == ["new"]
+
+
+@pytest.mark.parametrize("room", [1 << 20, 0])
+def test_line_dedup_of_odd_texts(spark, room, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(line_dedup, "FLUSH", 20)
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice(["\n", "\n", "a", "B", " ", "\t", "é", "\r", "b", "\x1c", "x" * 90]) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    texts += [None, "", "\n\n", "y" * 100_000 + "\na\n" + "y" * 100_000, *["same\ntwice\nsame"] * 60]
+    df = spark.createDataFrame([(i % 50, t, "k", b"r", 1.5) for i, t in enumerate(texts)], "doc_id long, text string, kept_text string, __text binary, t double")
+    out = line_dedup.dedup_lines(df, min_docs=3, broadcast_bytes=room)
+    assert out.columns == ["doc_id", "text", "__text", "t", "n_lines", "n_dropped", "kept_text"]
+    got = sorted((r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out.collect())
+    assert got == sorted(plain_dedup(texts, 3))
+
+
+def test_hot_keys_are_as_large_as_said():
+    import pickle
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (70_000, 100_000):
+        keys = rng.integers(-(2**62), 2**62, (n, 2))
+        shards = line_dedup.shards_for(n)
+        made = {s: line_dedup.CuckooFilter(line_dedup.SHARD_KEYS) for s in range(shards)}
+        for a, b in keys[:2000].tolist():
+            made[a & (shards - 1)].insert(a, b)
+        state = (shards, {s: f.to_row() for s, f in made.items()}, keys[np.lexsort((keys[:, 1], keys[:, 0]))])
+        assert len(pickle.dumps(state)) <= n * line_dedup.KEY_BYTES
+        prober = line_dedup._Prober(*state)
+        assert prober.dropped(keys[:2000]).all() and not prober.dropped(keys[2000:] ^ 5).any()
+    twins = np.array([[1, 5], [1, 9], [7, 2]])
+    f = line_dedup.CuckooFilter(8)
+    for k in twins.tolist():
+        f.insert(*k)
+    assert line_dedup._Prober(1, {0: f.to_row()}, twins).dropped(np.array([[1, 9], [1, 7], [7, 2], [9, 9], [1, 5]])).tolist() == [True, False, True, False, True]
 
 
 def test_cuckoo_filter_holds_what_it_got():
@@ -126,7 +181,7 @@ def plain_scan(texts, items, window=10):
                 if (k := tuple(w[p : p + n])) in windows:
                     hit |= set(range(p, p + n))
                     found |= windows[k]
-        out.append((len(w), len(hit), tuple(sorted(found))))
+        out.append((len(w), len(hit), tuple(sorted(found - {None}))))
     return out
 
 
@@ -138,13 +193,15 @@ def test_decontamination(spark, part):
     items = [(i, text(rnd.choice([2, 4, 14, 25]))) for i in range(25)] + [(90, None), (91, "--"), (92, "Ä"), (93, text(12))]
     items.append((94, items[2][1]))
     texts = [None, "", "?!", "ä"] + [f"{text(9)} {rnd.choice(items)[1] or ''}. {text(5)} {(rnd.choice(items)[1] or '').upper()}" for _ in range(60)]
-    bench = spark.createDataFrame([*[(i, t, "e") for i, t in items], (None, "w1 w2", "e")], "item_id long, text string, n_hit string")
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, items string")
+    items += [(None, "w1 w2"), (None, text(14)), (95, text(400)), (96, text(9) + " " + "w3 " * 40)]
+    texts += [f"{text(3)} {items[k][1]} {text(2)}" for k in (-4, -3, -1)] + [items[-2][1][300:900], "aa w1 w2 bb"]
+    bench = spark.createDataFrame([(i, t, "e") for i, t in items], "item_id long, text string, n_hit string")
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, items string, __text string")
     got = {r.doc_id: r for r in decontam.scan(df, bench, part_bytes=part).collect()}
-    want = plain_scan(texts, [(str(i), t) for i, t in items])
+    want = plain_scan(texts, [(i if i is None else str(i), t) for i, t in items])
     for i in range(len(texts)):
         assert (got[i].n_words, got[i].n_hit, tuple(got[i].items)) == want[i]
-        if want[i][1]:
+        if want[i][1] and got[i].longest_item:
             p, n = got[i].longest_word, got[i].longest_match
             piece = " ".join(WORD.findall(texts[i].translate(UPPER))[p : p + n])
             item = " ".join(WORD.findall(dict((str(a), b) for a, b in items)[got[i].longest_item].translate(UPPER)))
@@ -153,40 +210,75 @@ def test_decontamination(spark, part):
     assert decontam.scan(df, empty).where("n_hit > 0").count() == 0
 
 
-def test_licence_scan(spark):
-    texts = [None, "", "CC BY", "cc by cc-by", "see the GNU General Public License, version 3, all rights reserved", "This is licensed under the GNU General Public License, version 3.", "released under the mit license", "Licence: MIT", "the Kelvin K ccé by", "x " * 4000 + "All  rights\nreserved", "Licensed under CC BY-NC 4.0"]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, labels int")
-    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+def plain_licences(text, templates=None, base=None, enough=0.8):
+    """All base places and notice alignments, every template tried at every place."""
+    w = WORD.findall((text or "").translate(UPPER))
+    base = license_scan.BASE if base is None else base
+    hits = [(k, label) for phrase, label in base.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+    places = set()
+    for label, notice, key in license_scan.TEMPLATES if templates is None else templates:
+        n, k = notice.split(), key.split()
+        shift = next(j for j in range(len(n)) if n[j : j + len(k)] == k)
+        for d in range(-len(n), len(w)):
+            if d + shift >= 0 and w[d + shift : d + shift + len(k)] == k:
+                part = sum(0 <= d + j < len(w) and w[d + j] == x for j, x in enumerate(n)) / len(n)
+                if part >= enough:
+                    places.add((label, d, part))
+    labels = {h[1] for h in hits}
+    first, last = min((h[0] for h in hits), default=None), max((h[0] for h in hits), default=None)
+    score = max([1.0 if hits else 0.0, *(p[2] for p in places)])
+    return (len(w), len(hits), first, last, ",".join(sorted(labels)), ",".join(sorted(labels | {p[0] for p in places})), score), places
+
+
+def same_licences(spark, texts, **given):
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, labels int, words string")
+    out = license_scan.scan(df, **given)
+    assert out.columns[:3] == ["doc_id", "text", "words"]
+    got = {r.doc_id: r for r in out.collect()}
     for i, t in enumerate(texts):
-        w = WORD.findall((t or "").translate(UPPER))
-        hits = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
-        assert (got[i].n_words, got[i].n_base) == (len(w), len(hits))
-        assert got[i].base_labels == ",".join(sorted({h[1] for h in hits}))
-        assert got[i].first_word == min((h[0] for h in hits), default=None) and got[i].last_word == max((h[0] for h in hits), default=None)
-        assert {h[1] for h in hits} <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
+        row, places = plain_licences(t, given.get("templates"), given.get("base"))
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == row, t
+        assert {tuple(x) for x in r.places} == places and len(r.places) == len(places)
+    return got
+
+
+def test_licence_scan(spark):
+    texts = [None, "", "CC BY", "cc by cc-by", "see the GNU General Public License, version 3, all rights reserved", "This is licensed under the GNU General Public License, version 3.", "released under the mit license", "Licence: MIT", "the Kelvin \u212a ccé by", "x " * 4000 + "All  rights\nreserved", "Licensed under CC BY-NC 4.0", "a\u212abc \u0130CC BY cc by\u0130", "license " * 3000 + "mit license " * 40]
+    texts += ["The MIT License (MIT)\nCopyright (c) 2020", "SPDX-License-Identifier: MIT", "Apache License\nVersion 2.0, January 2004", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "cc by"]
+    got = same_licences(spark, texts)
     assert got[5].labels == "gpl,gpl-3.0" and got[6].labels == "mit" and got[10].labels == "cc-by,cc-by-nc-4.0"
-    assert license_scan.scan(df.where("doc_id < 0")).collect() == []
+    assert [got[i].labels for i in (13, 14, 15, 16)] == ["mit", "mit", "apache-2.0", "gpl,gpl-2.0"]
+    assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def test_licence_variants(spark):
     texts = ["Licensed under the MIT License", "MIT License", "it is distributed under the MIT license", "no words of the mit license here"]
-    for notice, _ in license_scan.TEMPLATES.values():
+    for _, notice, _ in license_scan.NOTICES[::3]:
         w = notice.split()
         texts += [" ".join(["a", *w[:i], "other", *w[i + 1 :], "b"]) for i in range(len(w))] + [" ".join(w[i:]) for i in range(3)]
-    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    for i, t in enumerate(texts):
-        w, want = WORD.findall(t.translate(UPPER)), set()
-        for label, (notice, key) in license_scan.TEMPLATES.items():
-            n, k = notice.split(), key.split()
-            shift = next(j for j in range(len(n)) if n[j : j + len(k)] == k)
-            for d in range(-len(n), len(w)):
-                part = sum(0 <= d + j < len(w) and w[d + j] == x for j, x in enumerate(n)) / len(n)
-                if d + shift >= 0 and w[d + shift : d + shift + len(k)] == k and part >= 0.8:
-                    want.add((label, d, part))
-        assert {tuple(x) for x in got[i].places} == want
+    got = same_licences(spark, texts)
     assert got[0].labels == got[2].labels == "mit" and got[1].labels == ""
 
 
+def test_licence_index_against_every_place(spark):
+    rnd = random.Random(12)
+    words = [f"k{i}" for i in range(6)]
+    own = []
+    for i in range(40):
+        n = [rnd.choice(words) for _ in range(rnd.randint(2, 7))]
+        a = rnd.randrange(len(n) - 1)
+        own.append((f"l{i % 9}", " ".join(n), " ".join(n[a : a + rnd.randint(1, len(n) - a)])))
+    texts = [" ".join(rnd.choice([*words, "z"]) for _ in range(rnd.randint(0, 60))) for _ in range(80)]
+    same_licences(spark, texts + texts[:3], templates=own, base={"k1 k1": "twice", "k0": "one"})
+
+
+def test_licence_index_posts_the_rarest_key_words():
+    known = [license_scan.template("a", "x common rare odd y", "common rare odd"), license_scan.template("b", "common common rare", "common common rare")]
+    index = license_scan.postings(known, 100, {"common": 90, "rare": 2, "odd": 1}, anchors=2)
+    assert index == {"odd": [(0, 3)], "rare": [(0, 2), (1, 2)], "common": [(1, 0)]}
+
+
 def test_html(spark):
     page = """<html><head><title>no</title><style>p{}</style></head><body><h1>Head</h1><p>One <b>two</b>three<p>Four<br>five
 <ul><li>a<li>b<ul><li>c</ul></ul><ol start=3><li>x<li>y</ol><table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td>b<td>22</table>

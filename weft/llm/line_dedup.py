@@ -6,25 +6,29 @@ exactly, in how many documents each key occurs.  *Cuckoo filters*, one per shard
 of the key space, hold the keys whose count has reached the limit.  Inserting or
 deleting documents adds signed counts; a key that crosses the limit enters or
 leaves its shard's filter, so any batch of documents can be taken out again and
-the state is what it was.
+the state is what it was.  Shards are doubled as hot keys grow, so that each holds
+about ``SHARD_KEYS`` at most.  One corpus is deduplicated as one insertion into an
+empty index.
 
 A document's lines are tested against the filters first; only lines that hit
-look up the exact counts.  Filters and the hot keys behind them go to the
-executors as a broadcast variable while their measured size is within
-``BROADCAST_BYTES``; above it, lines are joined with the hot keys instead.
+look up the exact counts.  Filters and the hot keys behind them, as sorted arrays
+of longs (``KEY_BYTES`` a key at most, together), go to the executors as a
+broadcast variable while they are within ``BROADCAST_BYTES``; above it, lines that
+hit the filters (or all, where even those are too large) are joined with the hot keys.
 
-Shuffles carry 24 bytes per distinct key of a partition, summed before the
-shuffle, so a line that a third of all documents share costs one row a task.
+Texts are taken in blocks of ``BLOCK_BYTES``: lines are found, stripped, compared
+and put together again as byte ranges, one call a line for its hash alone.
+Shuffles carry 24 bytes per distinct key of a task, summed before the shuffle,
+so a line that a third of all documents share costs one row a task.
 
 Defined cases: a null or empty text is one empty line; empty keys are never
 dropped; each row counts as a document even where doc_id repeats or is null; an
-empty table gives an empty result.
+empty table gives an empty result; an input column named as a new one is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +41,11 @@ from pyspark.sql import types as T
 
 from weft.llm import textblock as tb
 
-SPACE = b" \t\n\x0b\x0c\r"
 #: Hot keys and filters are broadcast up to this size.
 BROADCAST_BYTES = 64 << 20
+#: Two longs a hot key, and its share of the filters: 2.5 to 5 bytes while a filter is 0.4 to 0.8 full.
+KEY_BYTES, FILTER_BYTES = 24, 6
+BLOCK_BYTES = 4 << 20
 #: Keys a task counts before it hands them on.
 FLUSH = 200_000
 #: Hot keys that a shard's filter is planned for.
@@ -47,15 +53,41 @@ SHARD_KEYS = 1 << 16
 SLOTS, KICKS = 4, 500
 
 
-def line_keys(text: str | None) -> list[bytes]:
-    """Key of every line, in order."""
-    return [line.strip(SPACE) for line in (text or "").encode().lower().split(b"\n")]
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all lines of a block, and the number of each row's first line, with the total at the end."""
+    breaks = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
+    ends = np.sort(np.concatenate((breaks, offsets[1:])))
+    return starts, ends, np.searchsorted(breaks, offsets) + np.arange(len(offsets))
 
 
-def key_hash(key: bytes) -> tuple[int, int]:
-    """128 bits as two signed longs."""
-    h = xxhash.xxh3_128_digest(key)
-    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+def line_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the lines whose key is not empty, and the 128 bits of each key as two longs."""
+    solid = np.flatnonzero(tb.NON_SPACE[data])
+    low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    full = np.flatnonzero(high > low)
+    text, digest = tb.LOWER[data].tobytes(), xxhash.xxh3_128_digest
+    raw = b"".join([digest(text[a:b]) for a, b in zip(solid[low[full]].tolist(), (solid[high[full] - 1] + 1).tolist(), strict=True)]) if len(full) else b""
+    return full, np.frombuffer(raw, "<i8").reshape(-1, 2)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (rows of two longs) in order, and the sum of ``n`` of each."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys, n = keys[order], n[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]).any(1)
+    cut = np.flatnonzero(fresh)
+    return keys[cut], np.add.reduceat(n, cut) if len(cut) else n
+
+
+def by_document(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Keys without repeats within a row."""
+    order = np.lexsort((keys[:, 1], keys[:, 0], row))
+    keys, row = keys[order], row[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]).any(1) | (row[1:] != row[:-1])
+    return keys[fresh]
 
 
 class CuckooFilter:
@@ -124,21 +156,35 @@ FILTERS = "shard long, buckets long, table binary, stash array<long>"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
-    def rows():
-        keys = [key_hash(k) for k in seen]
-        batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(seen.values(), pa.int64())], ["h1", "h2", "n"])
-        seen.clear()
-        return batch
+    def rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n)], ["h1", "h2", "n"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            seen.update({k for k in line_keys(text.as_py()) if k})
-            if len(seen) >= FLUSH:
-                yield rows()
-    if seen:
-        yield rows()
+    for block in tb.iter_blocks(batches, BLOCK_BYTES):
+        data, offsets = tb.text_bytes(block.column("text"))
+        starts, ends, bounds = lines_of(data, offsets)
+        full, keys = line_hashes(data, starts, ends)
+        if not len(full):
+            continue
+        keys = by_document(keys, np.searchsorted(bounds, full, "right"))
+        held.append(summed(keys, np.ones(len(keys), np.int64)))
+        if sum(len(n) for _, n in held) >= FLUSH:
+            keys, n = merged()
+            held = [(keys, n)]
+            if len(n) >= FLUSH // 2:
+                yield rows(keys, n)
+                held = []
+    if held:
+        yield rows(*merged())
+
+
+def _none(spark, schema: str) -> DataFrame:
+    """An empty table."""
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))])
 
 
 def reference_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -153,18 +199,6 @@ def shard_of(shards: int) -> Column:
     return F.col("h1").bitwiseAND(F.lit(shards - 1))
 
 
-def build_filters(hot: DataFrame, shards: int) -> DataFrame:
-    """One cuckoo filter per shard over the keys in ``hot``; a group holds a shard's keys, planned at SHARD_KEYS."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = CuckooFilter(len(pdf))
-        for a, b in zip(pdf.h1.tolist(), pdf.h2.tolist(), strict=True):
-            made.insert(a, b)
-        return pd.DataFrame([(int(pdf.shard.iloc[0]), *made.to_row())], columns=["shard", "buckets", "table", "stash"])
-
-    return hot.withColumn("shard", shard_of(shards)).groupBy("shard").applyInPandas(build, FILTERS)
-
-
 def shards_for(n_keys: int) -> int:
     """Shards, a power of two, for so many hot keys."""
     return 1 << max(0, int(np.ceil(np.log2(max(1, n_keys) / SHARD_KEYS))))
@@ -173,104 +207,151 @@ def shards_for(n_keys: int) -> int:
 class _Prober:
     """Filters by shard and the exact hot keys behind them, on an executor."""
 
-    def __init__(self, shards: int, filters: dict[int, tuple], hot: set[tuple[int, int]]) -> None:
+    def __init__(self, shards: int, filters: dict[int, tuple], hot: np.ndarray | None) -> None:
         self.shards, self.hot = shards, hot
         self.filters = {k: CuckooFilter.of_row(*row) for k, row in filters.items()}
+        same = np.flatnonzero(np.diff(hot[:, 0]) == 0) if hot is not None and len(hot) else []
+        self.run = 1 + len(same)  # keys that share a first half stand together
 
-    def dropped(self, keys: list[bytes]) -> np.ndarray:
-        """Which of a document's lines go."""
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys the filters let through."""
         out = np.zeros(len(keys), bool)
-        full = [i for i, k in enumerate(keys) if k]
-        if not full:
-            return out
-        pairs = [key_hash(keys[i]) for i in full]
-        a, b = (np.array([p[j] for p in pairs], np.int64) for j in (0, 1))
-        maybe = np.zeros(len(full), bool)
-        shard = a & (self.shards - 1)
+        shard = keys[:, 0] & (self.shards - 1)
         for s in np.unique(shard).tolist():
             if s in self.filters:
                 own = np.flatnonzero(shard == s)
-                maybe[own] = self.filters[s].contains(a[own], b[own])
-        for i in np.flatnonzero(maybe).tolist():
-            out[full[i]] = pairs[i] in self.hot
+                out[own] = self.filters[s].contains(keys[own, 0], keys[own, 1])
         return out
 
+    def dropped(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys are hot: the filters first, then the exact keys."""
+        out = self.maybe(keys)
+        own = np.flatnonzero(out)
+        at = np.searchsorted(self.hot[:, 0], keys[own, 0])
+        hit = np.zeros(len(own), bool)
+        for k in range(self.run):
+            place = np.minimum(at + k, len(self.hot) - 1)
+            hit |= (self.hot[place] == keys[own]).all(1)
+        out[own] = hit
+        return out
 
-def _applier(out_schema: pa.Schema, shared, digest: bool, by_row: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None if by_row else _Prober(*shared.value)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
-            hots = batch.column(batch.schema.get_field_index("__hot")) if by_row else None
-            n_lines, n_dropped, kept = [], [], []
-            for i, value in enumerate(texts):
-                text = value.as_py() or ""
-                keys = line_keys(text)
-                if by_row:
-                    hot = {(x["h1"], x["h2"]) for x in hots[i].as_py() or ()}
-                    gone = [bool(k) and key_hash(k) in hot for k in keys]
-                else:
-                    gone = state.dropped(keys)
-                n = int(sum(gone))
-                n_lines.append(len(keys))
-                n_dropped.append(n)
-                kept.append("\n".join(line for line, g in zip(text.split("\n"), gone, strict=True) if not g) if n else text)
-            new = {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
-            if digest:
-                new["kept_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept], pa.string())
-            else:
-                new["kept_text"] = pa.array(kept, pa.string())
-            yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else batch.column(batch.schema.get_field_index(f.name)) for f in out_schema], schema=out_schema)
-
-    return run
-
-
-def drop_lines(docs: DataFrame, hot: DataFrame, text: str = "text", digest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Drop every line whose key is in ``hot`` (h1, h2).
+
+def _without(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, gone: np.ndarray, digest: bool) -> dict[str, pa.Array]:
+    """New columns of a block whose lines ``gone`` go."""
+    n_lines, dropped = np.diff(bounds), np.zeros(len(gone) + 1, np.int64)
+    np.cumsum(gone, out=dropped[1:])
+    n_dropped = np.diff(dropped[bounds])
+    text = data.tobytes()
+    kept: list = []
+    # lines that stay and stand together are one range of bytes
+    stay = np.flatnonzero(~gone)
+    row = np.searchsorted(bounds, stay, "right") - 1
+    first = np.ones(len(stay), bool)
+    first[1:] = (np.diff(stay) > 1) | (row[1:] != row[:-1])
+    begin = np.flatnonzero(first)
+    last = np.append(begin[1:], len(stay)) - 1 if len(stay) else begin
+    a, b = starts[stay[begin]].tolist(), ends[stay[last]].tolist()
+    run = np.searchsorted(row[begin], np.arange(len(n_lines) + 1)).tolist()
+    for r in range(len(n_lines)):
+        kept.append(b"\n".join([text[a[k] : b[k]] for k in range(run[r], run[r + 1])]))
+    new = {"n_lines": pa.array(n_lines), "n_dropped": pa.array(n_dropped)}
+    if digest:
+        return new | {"kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+    return new | {"kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
+
+
+def _fields(digest: bool) -> list[T.StructField]:
+    return [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256" if digest else "kept_text", T.StringType())]
+
+
+def drop_lines(docs: DataFrame, hot: DataFrame, filters: DataFrame, shards: int, text: str = "text", digest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Drop every line whose key is in ``hot`` (h1, h2); ``filters`` has the cuckoo filter of each shard of these keys.
 
     Adds n_lines, n_dropped, and kept_text (or kept_sha256 if ``digest``); all
     other columns stay, one of the same name as a new one is replaced.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     spark = docs.sparkSession
-    tb.arrow_batches(spark)
-    new = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256" if digest else "kept_text", T.StringType())]
-    names = {f.name for f in new}
-    kept = [f for f in docs.schema.fields if f.name not in names]
-    schema = T.StructType([*kept, *new])
-    given = docs.select(*[docs[f.name] for f in kept], docs[text].cast("string").alias("__text"))
     n_hot = hot.count()
-    if n_hot * 48 <= broadcast_bytes:  # two longs, filter slots and overhead
-        shards = shards_for(n_hot)
-        rows = hot.select("h1", "h2").toPandas()
-        filters = {r.shard: (r.buckets, bytes(r.table), list(r.stash)) for r in build_filters(hot, shards).toPandas().itertuples()}
-        shared = spark.sparkContext.broadcast((shards, filters, set(zip(rows.h1.tolist(), rows.h2.tolist(), strict=True))))
-        return given.mapInArrow(_applier(to_arrow_schema(schema), shared, digest, False), schema)
+    small = n_hot * KEY_BYTES <= broadcast_bytes
+    rows = {r.shard: (r.buckets, bytes(r.table), list(r.stash)) for r in filters.toPandas().itertuples()} if small or n_hot * FILTER_BYTES <= broadcast_bytes else None
+    if small:
+        keys = hot.select("h1", "h2").toPandas().to_numpy(np.int64).reshape(-1, 2)
+        shared = spark.sparkContext.broadcast((shards, rows, keys[np.lexsort((keys[:, 1], keys[:, 0]))]))
+
+        def start():
+            prober = _Prober(*shared.value)
+
+            def compute(data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
+                starts, ends, bounds = lines_of(data, offsets)
+                full, found = line_hashes(data, starts, ends)
+                gone = np.zeros(len(starts), bool)
+                gone[full] = prober.dropped(found)
+                return _without(data, offsets, starts, ends, bounds, gone, digest)
+
+            return compute
+
+        return tb.map_texts(docs, text, _fields(digest), start, BLOCK_BYTES)
+    return _by_join(docs, hot, spark.sparkContext.broadcast((shards, rows, None)) if rows is not None else None, text, digest)
+
+
+def _by_join(docs: DataFrame, hot: DataFrame, shared, text: str, digest: bool) -> DataFrame:
+    """``drop_lines`` with hot keys that no executor holds: equal texts have equal hot lines, so rows meet them by the hash of their text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    tb.arrow_batches(docs.sparkSession)
+    new = _fields(digest)
+    kept = [i for i, name in enumerate(docs.columns) if name not in {f.name for f in new}]
+    given = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    given = given.select(*[f"c{i}" for i in kept], F.coalesce(F.col(f"c{docs.columns.index(text)}").cast("string"), F.lit("")).alias("t")).withColumn("r", F.sha2("t", 256))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, h1, h2 = [], [], []
-            for row, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for a, b in {key_hash(k) for k in line_keys(value.as_py()) if k}:
-                    rows.append(row)
-                    h1.append(a)
-                    h2.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["__row", "h1", "h2"])
-
-    digest_of = F.sha2(F.col("__text"), 256)  # equal texts have equal hot lines
-    lines = given.select(digest_of.alias("__row"), "__text").mapInArrow(keys, "__row string, h1 long, h2 long")
-    found = lines.join(hot.select("h1", "h2"), ["h1", "h2"]).groupBy("__row").agg(F.collect_set(F.struct("h1", "h2")).alias("__hot"))
-    joined = given.withColumn("__row", digest_of).join(found, "__row", "left").drop("__row")
-    return joined.mapInArrow(_applier(to_arrow_schema(schema), None, digest, True), schema)
+        prober = None if shared is None else _Prober(*shared.value)
+        for block in tb.iter_blocks(batches, BLOCK_BYTES, "t"):
+            data, offsets = tb.text_bytes(block.column("t"))
+            starts, ends, bounds = lines_of(data, offsets)
+            full, found = line_hashes(data, starts, ends)
+            row = np.searchsorted(bounds, full, "right") - 1
+            if prober is not None:
+                hit = prober.maybe(found)
+                row, found = row[hit], found[hit]
+            yield pa.RecordBatch.from_arrays([block.column("r").combine_chunks().take(pa.array(row)), pa.array(found[:, 0]), pa.array(found[:, 1])], ["r", "h1", "h2"])
+
+    lines = given.select("r", "t").mapInArrow(keys, "r string, h1 long, h2 long")
+    found = lines.join(hot.select("h1", "h2"), ["h1", "h2"]).groupBy("r").agg(F.collect_set(F.struct("h1", "h2")).alias("h"))
+    joined = given.join(found, "r", "left")
+    schema = T.StructType([*[T.StructField(f"c{i}", docs.schema[i].dataType) for i in kept], *[T.StructField(f"n{j}", f.dataType) for j, f in enumerate(new)]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tb.iter_blocks(batches, BLOCK_BYTES, "t"):
+            data, offsets = tb.text_bytes(block.column("t"))
+            starts, ends, bounds = lines_of(data, offsets)
+            full, own = line_hashes(data, starts, ends)
+            row = np.searchsorted(bounds, full, "right") - 1
+            gone = np.zeros(len(starts), bool)
+            for r, pairs in enumerate(block.column("h").to_pylist()):
+                if pairs:
+                    a, b = np.searchsorted(row, [r, r + 1])
+                    some = {(x["h1"], x["h2"]) for x in pairs}
+                    gone[full[a:b]] = [tuple(k) in some for k in own[a:b].tolist()]
+            added = _without(data, offsets, starts, ends, bounds, gone, digest)
+            yield from pa.table([*[block.column(f"c{i}") for i in kept], *[added[f.name] for f in new]], schema=arrow).combine_chunks().to_batches()
+
+    return joined.mapInArrow(run, schema).toDF(*[docs.columns[i] for i in kept], *[f.name for f in new])
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", digest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Drop all lines whose key occurs in at least ``min_docs`` rows of ``docs``; columns as ``drop_lines``."""
-    from weft.shared import written
+    """Drop all lines whose key occurs in at least ``min_docs`` rows of ``docs``; columns as ``drop_lines``.
 
-    hot = written(reference_counts(docs, text).where(F.col("n") >= min_docs).select("h1", "h2"), "hot_lines")
-    return drop_lines(docs, hot, text, digest, broadcast_bytes)
+    The corpus is inserted into a fresh ``LineIndex`` in the shared folder.
+    """
+    import uuid
+
+    from weft.shared import shared_dir
+
+    index = LineIndex(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/lines-{uuid.uuid4().hex}", min_docs)
+    index.insert(docs, text)
+    return index.apply(docs, text, digest, broadcast_bytes)
 
 
 class LineIndex:
@@ -278,26 +359,38 @@ class LineIndex:
 
     ``insert`` and ``delete`` take document batches; deleting a batch that was
     inserted restores counts and filter membership.  Deleting documents that were
-    never inserted is an error, found by a count below zero.
+    never inserted is an error, found by a count below zero, and changes nothing.
+    A version counts once its ``meta`` is there; ``open`` goes on from the last one.
+    The version before the last stays for readers under way, older ones are removed.
     """
 
-    def __init__(self, spark, path: str, min_docs: int = 10, shards: int = 16) -> None:
-        self.spark, self.path, self.min_docs, self.shards, self.version = spark, path, min_docs, shards, 0
-        self._write(spark.createDataFrame([], COUNTS), spark.createDataFrame([], FILTERS))
+    def __init__(self, spark, path: str, min_docs: int = 10) -> None:
+        self.spark, self.path, self.min_docs, self.shards, self.version = spark, path, min_docs, 1, 0
 
-    def _write(self, counts: DataFrame, filters: DataFrame) -> None:
-        at = f"{self.path}/v{self.version + 1}"
-        counts.write.mode("overwrite").parquet(f"{at}/counts")
-        filters.write.mode("overwrite").parquet(f"{at}/filters")
-        self.version += 1
+    @classmethod
+    def open(cls, spark, path: str) -> LineIndex:
+        """The index at ``path`` as its last complete change left it."""
+        own = cls(spark, path)
+        marks = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/meta/_SUCCESS")
+        found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+        done = [int(s.getPath().getParent().getParent().getName()[1:]) for s in found or ()]
+        if not done:
+            raise ValueError(f"no index at {path}")
+        own.version = max(done)
+        own.min_docs, own.shards = spark.read.parquet(f"{path}/v{own.version}/meta").first()
+        return own
 
     def counts(self) -> DataFrame:
         """(h1, h2, n) of every key in use."""
-        return self.spark.read.parquet(f"{self.path}/v{self.version}/counts")
+        return self.spark.read.schema(COUNTS).parquet(f"{self.path}/v{self.version}/counts") if self.version else _none(self.spark, COUNTS)
 
     def filters(self) -> DataFrame:
-        """One filter per shard that has hot keys."""
-        return self.spark.read.parquet(f"{self.path}/v{self.version}/filters")
+        """One filter per shard that has, or had, hot keys."""
+        return self.spark.read.schema(FILTERS).parquet(f"{self.path}/v{self.version}/filters") if self.version else _none(self.spark, FILTERS)
+
+    def hot(self) -> DataFrame:
+        """(h1, h2) of the keys that have reached the limit."""
+        return self.counts().where(F.col("n") >= self.min_docs).select("h1", "h2")
 
     def insert(self, docs: DataFrame, text: str = "text") -> None:
         """Add documents."""
@@ -308,14 +401,28 @@ class LineIndex:
         self._change(reference_counts(docs, text).withColumn("n", -F.col("n")))
 
     def _change(self, delta: DataFrame) -> None:
-        old = self.counts()
-        both = old.withColumnRenamed("n", "was").join(delta.withColumnRenamed("n", "by"), ["h1", "h2"], "full_outer").select("h1", "h2", F.coalesce("was", F.lit(0)).alias("was"), (F.coalesce("was", F.lit(0)) + F.coalesce("by", F.lit(0))).alias("n"))
-        at = f"{self.path}/v{self.version + 1}.changed"
-        both.write.mode("overwrite").parquet(at)
-        both = self.spark.read.parquet(at)
-        if both.where("n < 0").limit(1).count():
-            raise ValueError("documents are deleted that were never inserted")
-        crossing = both.where((F.col("was") >= self.min_docs) != (F.col("n") >= self.min_docs)).select(shard_of(self.shards).alias("shard"), "h1", "h2", (F.col("n") >= self.min_docs).alias("up"))
+        at = f"{self.path}/v{self.version + 1}"
+        if self.version:
+            old = self.counts().withColumnRenamed("n", "was")
+            both = old.join(delta.withColumnRenamed("n", "by"), ["h1", "h2"], "full_outer").select("h1", "h2", F.coalesce("was", F.lit(0)).alias("was"), (F.coalesce("was", F.lit(0)) + F.coalesce("by", F.lit(0))).alias("n"))
+            both.write.mode("overwrite").parquet(f"{at}.changed")
+            both = self.spark.read.parquet(f"{at}.changed")
+            if both.where("n < 0").limit(1).count():
+                self._remove(f"{at}.changed")
+                raise ValueError("documents are deleted that were never inserted")
+            both.where("n > 0").select("h1", "h2", "n").write.mode("overwrite").parquet(f"{at}/counts")
+            crossing = both.where((F.col("was") >= self.min_docs) != (F.col("n") >= self.min_docs)).select("h1", "h2", (F.col("n") >= self.min_docs).alias("up"))
+        else:
+            delta.write.mode("overwrite").parquet(f"{at}/counts")
+            delta = self.spark.read.schema(COUNTS).parquet(f"{at}/counts")
+            if delta.where("n < 0").limit(1).count():
+                self._remove(at)
+                raise ValueError("documents are deleted that were never inserted")
+            crossing = delta.where(F.col("n") >= self.min_docs).select("h1", "h2", F.lit(True).alias("up"))
+        now = self.spark.read.schema(COUNTS).parquet(f"{at}/counts").where(F.col("n") >= self.min_docs)
+        shards, filters = max(self.shards, shards_for(now.count())), self.filters()
+        if shards > self.shards:  # every key moves: the filters are built anew from the exact counts
+            crossing, filters = now.select("h1", "h2", F.lit(True).alias("up")), filters.limit(0)
 
         def change(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
             shard = int((filters if len(filters) else keys).shard.iloc[0])
@@ -324,9 +431,18 @@ class LineIndex:
                 (made.insert if up else made.delete)(a, b)
             return pd.DataFrame([(shard, *made.to_row())], columns=["shard", "buckets", "table", "stash"])
 
-        filters = self.filters().groupBy("shard").cogroup(crossing.groupBy("shard")).applyInPandas(change, FILTERS)
-        self._write(both.where("n > 0").select("h1", "h2", "n"), filters)
+        changed = filters.groupBy("shard").cogroup(crossing.withColumn("shard", shard_of(shards)).groupBy("shard")).applyInPandas(change, FILTERS)
+        changed.write.mode("overwrite").parquet(f"{at}/filters")
+        self.spark.range(1).select(F.lit(self.min_docs).cast("long").alias("min_docs"), F.lit(shards).cast("long").alias("shards")).write.mode("overwrite").parquet(f"{at}/meta")
+        self._remove(f"{at}.changed", f"{self.path}/v{self.version - 1}")
+        self.shards, self.version = shards, self.version + 1
+
+    def _remove(self, *paths: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for path in paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
-    def apply(self, docs: DataFrame, text: str = "text") -> DataFrame:
+    def apply(self, docs: DataFrame, text: str = "text", digest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """Documents without the lines that are hot now; columns as ``drop_lines``."""
-        return drop_lines(docs, self.counts().where(F.col("n") >= self.min_docs).select("h1", "h2"), text)
+        return drop_lines(docs, self.hot(), self.filters(), self.shards, text, digest, broadcast_bytes)

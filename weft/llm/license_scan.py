@@ -1,149 +1,214 @@
 """Licence scan through a positional index of rare words, in DataFrame expressions alone.
 
-Templates of licence notices are posted by word and position.  An alignment counts
-if the template's mandatory key phrase stands at its place and enough template
-words do; nothing else decides.  So each alignment has every word of the key
-phrase: the document frequency of these is counted over the whole corpus, the one
-of highest IDF is looked up in each file, and every place found gives the place
-where the template would start.  Which word that is changes the cost, never the
-result.  Base phrases are counted at every place where their words stand consecutively.
-
-Only rows whose text has an anchor word of a phrase or template pay for word
-positions.  Nothing is shuffled but one count per template word and task, and the
-driver receives at most one row per template word (some sixty).
+Templates (headings, grants, notices and identifiers of licences, with the base
+phrases among them) are posted by word and position.  Every template has a
+mandatory key phrase.  The document frequency of all key words is counted over the
+whole corpus; the index posts, for each template, the ``ANCHORS`` key words of
+highest IDF.  In a file, these words are looked up wherever they stand, each
+posting implies the place where its template would start, and places that all
+posted words of a template agree on stay.  Since an alignment must hold the whole
+key phrase, this intersection loses nothing, whichever words are rare.  Then the
+key phrase is verified at its place, and of a notice at least ``ENOUGH`` of the words.
+
+The templates are data: the plan is the same for ten and for a thousand of them.
+Only rows that have a posted word pay for word positions.  Nothing is shuffled but
+one count per key word and task, and the driver receives one row per key word.
 
 Defined cases: null and empty texts have no words, no places and score 0; rows
-and ids may repeat or be null; an empty table gives an empty result.
+and ids may repeat or be null; an empty table gives an empty result; an input
+column named as a new one is replaced.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes between words; capitals are words too, so that cutting needs no lower-casing.
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, after lower-casing.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label: (notice, mandatory key phrase inside it)
-TEMPLATES = {
-    "mit": ("released under the mit license", "mit license"),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge to any person"),
-    "apache-2.0": ("licensed under the apache license version 2 0", "apache license version 2 0"),
-    "gpl-3.0": ("licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    "gpl-2.0": ("licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    "lgpl": ("licensed under the gnu lesser general public license", "lesser general public license"),
-    "agpl": ("licensed under the gnu affero general public license", "affero general public license"),
-    "cc-by-nc-4.0": ("licensed under cc by nc 4 0", "cc by nc 4 0"),
-    "cc-by-sa-4.0": ("licensed under cc by sa 4 0", "cc by sa 4 0"),
-    "cc-by-4.0": ("licensed under cc by 4 0", "cc by 4 0"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose", "use copy modify and or distribute"),
-}
-#: The part of a template's words that must match.
+#: label, notice, mandatory key phrase inside it
+NOTICES = [
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "the mit license mit copyright c", "the mit license mit"),
+    ("mit", "mit license copyright c", "mit license copyright"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge to any person"),
+    ("mit-text", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "without warranty of any kind express or implied"),
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("apache-2.0", "apache license version 2 0 january 2004", "apache license version 2 0 january 2004"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "use this file except in compliance with the license"),
+    ("apache-2.0", "www apache org licenses license 2 0", "apache org licenses license 2 0"),
+    ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", "version 3 29 june 2007"),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", "version 2 june 1991"),
+    ("gpl", "it under the terms of the gnu general public license as published by the free software foundation", "general public license as published by the free software foundation"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", "copy of the gnu general public license"),
+    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
+    ("lgpl", "gnu library general public license version 2 june 1991", "gnu library general public license"),
+    ("agpl", "licensed under the gnu affero general public license", "affero general public license"),
+    ("fdl", "under the terms of the gnu free documentation license", "gnu free documentation license"),
+    ("cc-by-nc-nd-4.0", "licensed under cc by nc nd 4 0", "cc by nc nd 4 0"),
+    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", "cc by nc sa 4 0"),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
+    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd 4 0"),
+    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
+    ("cc-by-sa-3.0", "licensed under cc by sa 3 0", "cc by sa 3 0"),
+    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
+    ("cc-by-3.0", "licensed under cc by 3 0", "cc by 3 0"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
+    ("cc0-1.0", "cc0 1 0 universal public domain dedication", "cc0 1 0 universal"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "names of its contributors may be used to endorse"),
+    ("bsd-3-clause", "bsd 3 clause license", "bsd 3 clause"),
+    ("bsd-2-clause", "bsd 2 clause license", "bsd 2 clause"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", "use copy modify and or distribute"),
+    ("isc", "isc license copyright c", "isc license copyright"),
+    ("epl-2.0", "eclipse public license v 2 0", "eclipse public license v 2 0"),
+    ("epl-1.0", "eclipse public license v 1 0", "eclipse public license v 1 0"),
+    ("cddl-1.0", "common development and distribution license cddl version 1 0", "common development and distribution license"),
+    ("eupl-1.2", "european union public licence v 1 2", "european union public licence"),
+    ("artistic-2.0", "the artistic license 2 0", "artistic license 2 0"),
+    ("bsl-1.0", "boost software license version 1 0 august 17th 2003", "boost software license version 1 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "in no event will the authors be held liable"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("wtfpl", "do what the fuck you want to public license", "what the fuck you want to public license"),
+    ("ofl-1.1", "sil open font license version 1 1", "sil open font license"),
+    ("odbl", "open data commons open database license", "open database license"),
+    ("python-2.0", "python software foundation license version 2", "python software foundation license"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee", "modify and distribute this software and its documentation for any purpose"),
+    ("ms-pl", "microsoft public license ms pl", "microsoft public license"),
+    ("public-domain", "released into the public domain", "into the public domain"),
+]
+#: Identifiers behind "SPDX-License-Identifier:"; each is its own label.
+SPDX = """0bsd afl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 artistic-2.0 bsd-2-clause bsd-3-clause bsd-4-clause
+bsl-1.0 cc-by-3.0 cc-by-4.0 cc-by-nc-4.0 cc-by-nc-sa-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 ecl-2.0 epl-1.0 epl-2.0
+eupl-1.2 gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later isc lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later
+lgpl-3.0-only lgpl-3.0-or-later mit mit-0 mpl-1.1 mpl-2.0 ms-pl ncsa odbl-1.0 ofl-1.1 openssl php-3.01 postgresql psf-2.0 unlicense
+upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1""".split()
+#: The part of a notice's words that must match.
 ENOUGH = 0.8
+#: Key words of a template that the index posts.
+ANCHORS = 3
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, GAP), "")
+class Template(NamedTuple):
+    """A phrase to find: its words, and where in it how many mandatory words stand."""
 
+    label: str
+    words: list[str]
+    first: int
+    size: int
+    base: bool
 
-def vocabulary(templates: dict[str, tuple[str, str]] = TEMPLATES) -> list[str]:
-    """All words of the templates' key phrases."""
-    return sorted({w for _, key in templates.values() for w in key.split()})
+    @property
+    def key(self) -> list[str]:
+        """The mandatory words."""
+        return self.words[self.first : self.first + self.size]
+
+
+def template(label: str, notice: str, key: str, base: bool = False) -> Template:
+    """A template from its text; the key phrase counts where it first stands."""
+    words, phrase = notice.split(), key.split()
+    return Template(label, words, next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase), len(phrase), base)
+
+
+def spdx_notice(identifier: str) -> tuple[str, str, str]:
+    """Label, notice and key phrase of an identifier."""
+    words = "".join(c if c.isalnum() else " " for c in identifier)
+    return identifier, f"spdx license identifier {words}", f"license identifier {words}"
+
+
+TEMPLATES = [*NOTICES, *map(spdx_notice, SPDX)]
+
+
+def vocabulary(templates: list[Template]) -> list[str]:
+    """All words of the key phrases."""
+    return sorted({w for t in templates for w in t.key})
+
+
+def lowered(text: Column) -> Column:
+    """Lower case in which ASCII words are those of A-Z lowered alone: of other letters only the Kelvin sign has an ASCII lower case."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u212b")))
+
+
+def words_of(text: Column) -> Column:
+    """Words of a text."""
+    return F.array_remove(F.split(lowered(text), GAP), "")
 
 
 def document_frequency(docs: DataFrame, words: list[str], text: str = "text") -> tuple[int, dict[str, int]]:
     """Rows of ``docs``, and in how many each word occurs."""
-    found = F.array_intersect(_words(F.lower(F.coalesce(F.col(text), F.lit("")))), F.array(*map(F.lit, words)))
+    found = F.array_intersect(words_of(F.col(text)), F.array(*map(F.lit, words)))
     counted = docs.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("w")).groupBy("w").count()
     rows = {r.w: r["count"] for r in counted.collect()}
     return rows.get("", 0), {w: rows.get(w, 0) for w in words}
 
 
-def key_place(notice: str, key: str) -> int:
-    """The word of a notice at which its key phrase begins."""
-    words, phrase = notice.split(), key.split()
-    return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-
-
-def rare_words(templates: dict[str, tuple[str, str]], n: int, df: dict[str, int]) -> dict[str, tuple[str, int]]:
-    """By label, the word of highest IDF in its key phrase and its place in the notice; ties by the word."""
-    out = {}
-    for label, (notice, key) in templates.items():
-        phrase = key.split()
-        word = min(phrase, key=lambda w: (-math.log((n + 1) / (df.get(w, 0) + 1)), w))
-        out[label] = (word, key_place(notice, key) + phrase.index(word))
-    return out
+def postings(templates: list[Template], n: int, df: dict[str, int], anchors: int = ANCHORS) -> dict[str, list[tuple[int, int]]]:
+    """By word, (template, place in it) of the index; by template, its key words of highest IDF, ties by word and place."""
+    index: dict[str, list[tuple[int, int]]] = {}
+    for k, t in enumerate(templates):
+        idf = lambda i, t=t: (-math.log((n + 1) / (df.get(t.words[i], 0) + 1)), t.words[i], i)
+        for i in sorted(range(t.first, t.first + t.size), key=idf)[:anchors]:
+            index.setdefault(t.words[i], []).append((k, i))
+    return index
 
 
-def scan(docs: DataFrame, text: str = "text", base: dict[str, str] = BASE, templates: dict[str, tuple[str, str]] = TEMPLATES, enough: float = ENOUGH) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", base: dict[str, str] = BASE, templates: list[tuple[str, str, str]] = TEMPLATES, enough: float = ENOUGH) -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels, score and ``places``.
 
-    ``places`` array<struct<label, word, part>> has every template alignment: its
-    first word and the part of the template's words that match.  All other
-    columns stay; one of the same name is replaced.
+    ``places`` array<struct<label, word, part>> has every alignment of a notice: its
+    first word (below zero where it would begin before the text) and the part of
+    the notice's words that match.  All other columns stay; one of the same name is replaced.
     """
+    known = [*[template(label, phrase, phrase, True) for phrase, label in base.items()], *[template(*t) for t in dict.fromkeys(templates)]]
     own = docs.select(docs[text].cast("string").alias("text"))
-    rare = rare_words(templates, *document_frequency(own, vocabulary(templates)))
+    index = postings(known, *document_frequency(own, vocabulary(known)))
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
-    kept = [c for c in docs.columns if c not in new]
-    given = docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias("__text"))
-    given = given.withColumn("__words", _words(F.coalesce("__text", F.lit(""))))
-
-    anchors = {max(p.split(), key=len) for p in base} | {w for w, _ in rare.values()}
-    lowered = F.lower(F.col("__text"))
-    has = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in sorted(anchors)])
-    asked = {w for p in base for w in p.split()} | {w for w, _ in rare.values()}
-    exact = F.when(F.coalesce(has, F.lit(False)), _words(F.translate("__text", UPPER, LOWER)))
-    given = given.withColumn("__lower", F.coalesce(exact, F.array().cast("array<string>")))
-    at = F.filter(F.transform("__lower", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s.w.isin(*sorted(asked)))
-    given = given.withColumn("__at", at)
-
-    def places(word: str, shift: int) -> Column:
-        return F.transform(F.filter("__at", lambda s: s.w == word), lambda s: s.i - shift)
-
-    def stands(start: Column, phrase: list[str]) -> Column:
-        return F.slice("__lower", start + 1, F.lit(len(phrase))) == F.array(*map(F.lit, phrase))
-
-    def base_places(phrase: str, label: str) -> Column:
-        words = phrase.split()
-        found = F.filter(places(words[0], 0), lambda i: stands(i, words))
-        return F.transform(found, lambda i: F.struct(F.lit(label).alias("label"), i.alias("i")))
-
-    given = given.withColumn("__base", F.concat(*[base_places(*x) for x in base.items()]))
-
-    def alignments(label: str, notice: str, key: str) -> Column:
-        words, phrase = notice.split(), key.split()
-        shift = key_place(notice, key)
-        # an alignment may begin before the text does: only the key phrase and enough words must stand
-        sure = F.filter(places(*rare[label]), lambda d: F.when(d + shift >= 0, stands(d + shift, phrase)).otherwise(False))
-
-        def part(d: Column) -> Column:
-            there = lambda i: (d + i >= 0) & (d + i < F.size("__lower"))
-            same = F.transform(F.array(*map(F.lit, words)), lambda w, i: F.when(there(i), F.get("__lower", d + i) == w).otherwise(False))
-            return F.size(F.filter(same, lambda x: x)) / F.lit(float(len(words)))
-
-        scored = F.transform(sure, lambda d: F.struct(F.lit(label).alias("label"), d.cast("long").alias("word"), part(d).alias("part")))
-        return F.filter(scored, lambda s: s.part >= enough)
-
-    aligned = [alignments(label, *x) for label, x in templates.items()]
-    given = given.withColumn("places", F.concat(*aligned))
-    base_labels = F.array_distinct(F.transform("__base", lambda s: s.label))
-    return given.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.size("__words").cast("long").alias("n_words"),
-        F.size("__base").cast("long").alias("n_base"),
-        F.array_min(F.transform("__base", lambda s: s.i)).cast("long").alias("first_word"),
-        F.array_max(F.transform("__base", lambda s: s.i)).cast("long").alias("last_word"),
+    kept = [i for i, c in enumerate(docs.columns) if c not in new]
+    given = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    given = given.select(*[f"c{i}" for i in kept], words_of(F.col(f"c{docs.columns.index(text)}").cast("string")).alias("words"))
+
+    strings = lambda xs: F.array(*map(F.lit, xs))
+    posted = F.create_map(*[x for w in sorted(index) for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(i).alias("i")) for k, i in index[w]]))])
+    table = F.array(*[F.struct(F.lit(t.label).alias("label"), strings(t.words).alias("words"), strings(t.key).alias("key"), F.lit(t.first).alias("first"), F.lit(min(t.size, ANCHORS)).alias("anchors"), F.lit(t.base).alias("base")) for t in known])
+    of = lambda c: F.get(table, c.t)
+
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s.w.isin(*sorted(index)))
+    given = given.withColumn("at", F.when(F.arrays_overlap("words", strings(sorted(index))), placed))
+    implied = F.flatten(F.transform("at", lambda s: F.transform(F.element_at(posted, s.w), lambda p: F.struct(p.t.alias("t"), (s.i - p.i).alias("start")))))
+    given = given.withColumn("implied", F.array_sort(implied))
+    # equal starts stand together: those that all posted words of the template imply stay, each once
+    agreed = F.filter("implied", lambda c, i: (F.get(F.col("implied"), i + of(c).anchors - 1) == c) & ((i == 0) | (F.get(F.col("implied"), i - 1) != c)))
+    sure = F.filter(agreed, lambda c: F.when(c.start + of(c).first >= 0, F.slice("words", c.start + of(c).first + 1, F.size(of(c).key)) == of(c).key).otherwise(False))
+    given = given.withColumn("sure", F.coalesce(sure, F.array().cast("array<struct<t:int,start:int>>")))
+
+    def part(c: Column) -> Column:
+        there = lambda i: (c.start + i >= 0) & (c.start + i < F.size("words"))
+        same = F.transform(of(c).words, lambda w, i: F.when(there(i), F.get("words", c.start + i) == w).otherwise(False))
+        return F.size(F.filter(same, lambda x: x)) / F.size(of(c).words)
+
+    scored = F.transform(F.filter("sure", lambda c: ~of(c).base), lambda c: F.struct(of(c).label.alias("label"), c.start.cast("long").alias("word"), part(c).alias("part")))
+    given = given.withColumn("places", F.filter(scored, lambda s: s.part >= enough)).withColumn("base", F.filter("sure", lambda c: of(c).base))
+    base_labels = F.array_distinct(F.transform("base", lambda c: of(c).label))
+    found = given.select(
+        *[f"c{i}" for i in kept],
+        F.size("words").cast("long").alias("n_words"),
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda c: c.start)).cast("long").alias("first_word"),
+        F.array_max(F.transform("base", lambda c: c.start)).cast("long").alias("last_word"),
         F.concat_ws(",", F.array_sort(base_labels)).alias("base_labels"),
         F.concat_ws(",", F.array_sort(F.array_union(base_labels, F.transform("places", lambda s: s.label)))).alias("labels"),
-        F.greatest(F.when(F.size("__base") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("places", lambda s: s.part)), F.lit(0.0))).alias("score"),
+        F.greatest(F.when(F.size("base") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("places", lambda s: s.part)), F.lit(0.0))).alias("score"),
         "places",
     )
+    return found.toDF(*[docs.columns[i] for i in kept], *new)

@@ -8,14 +8,16 @@ and inline ``display:none`` or ``visibility:hidden`` give nothing) and emits *al
 visible text: navigation and footers too.  White space collapses except in
 ``pre`` and ``textarea``; blocks begin on new lines, paragraphs and headings stand
 between blank lines; list items carry a bullet or number and an indent by depth;
-table cells are padded to the width of their column and joined by two blanks.
+table cells are padded to the width of their column and joined by two blanks; cells
+that span columns or rows keep their places.
 Formulas and the text of drawings are visible.  Elements may nest to any depth: the
 tree is walked with an explicit stack, open elements are found by tag.
 
 One page is one row: a single pass without a shuffle, memory bounded by a batch.
 Defined cases: a null page gives null text; an empty page or one without visible
 text gives an empty string; broken markup is text or is skipped, never an error; a
-colspan above 1000 is 1000, as the HTML standard reads it.
+colspan above 1000 is 1000 and a rowspan of 0 reaches to the end of its row group, as
+the HTML standard reads them; an empty table of pages gives an empty result.
 """
 
 from __future__ import annotations
@@ -213,16 +215,36 @@ def _run(step: Step) -> object:
     return value
 
 
-def _span(cell: Node) -> int:
-    digits = cell.attrs.get("colspan", "")
-    digits = digits.lstrip("0") if digits.isdecimal() else ""
-    return 1000 if len(digits) > 4 else max(1, min(1000, int(digits or 1)))
+def _span(cell: Node, name: str, most: int) -> int:
+    digits = cell.attrs.get(name, "")
+    digits = digits if digits.isascii() and digits.isdecimal() else "1"
+    return most if len(digits.lstrip("0")) > 5 else min(most, int(digits))
+
+
+def _placed(rows: list[tuple[int, list]]) -> Iterator[list[list[str]]]:
+    """Cells of every row by column; a cell that spans rows keeps its columns in the next ones of its row group."""
+    group, taken = -1, {}
+    for own, row in rows:
+        if own != group:
+            group, taken = own, {}
+        out: list[list[str]] = []
+        fresh: dict[int, int] = {}
+        for lines, wide, high in row:
+            while taken.get(len(out)):
+                out.append([""])
+            for k in range(wide):
+                if high > 1:
+                    fresh[len(out)] = high - 1
+                out.append([""] if k else lines)
+        taken = {j: n - 1 for j, n in taken.items() if n > 1} | fresh
+        yield out
 
 
 def _table(node: Node, pre: bool) -> Step:
-    rows, captions = [], []
+    rows, captions, groups = [], [], 0
 
-    def collect(at: Node) -> Step:
+    def collect(at: Node, group: int) -> Step:
+        nonlocal groups
         for child in at.children:
             if isinstance(child, str) or child.hidden():
                 if isinstance(child, str) and child.strip():
@@ -233,25 +255,27 @@ def _table(node: Node, pre: bool) -> Step:
                 for c in child.children:
                     if isinstance(c, str):
                         if c.strip():
-                            row.append([_SPACE.sub(" ", c).strip()])
+                            row.append(([_SPACE.sub(" ", c).strip()], 1, 1))
                     elif not c.hidden():
-                        row.append((yield _render(c, pre)).lines or [""])
-                        row += [[""]] * (_span(c) - 1)
-                rows.append(row)
+                        lines = (yield _render(c, pre)).lines or [""]
+                        row.append((lines, max(1, _span(c, "colspan", 1000)), _span(c, "rowspan", 65534) or 65534))
+                rows.append((group, row))
             elif child.tag in ("thead", "tbody", "tfoot"):
-                yield collect(child)
+                groups += 1
+                yield collect(child, groups)
             else:
                 captions.extend((yield _render(child, pre)).lines)
 
-    yield collect(node)
+    yield collect(node, 0)
     width: list[int] = []
-    for row in rows:
+    cells = list(_placed(rows))
+    for row in cells:
         for j, cell in enumerate(row):
             if j == len(width):
                 width.append(0)
             width[j] = max(width[j], *map(len, cell))
     out = captions
-    for row in rows:
+    for row in cells:
         for k in range(max(map(len, row), default=0)):
             line = "  ".join((cell[k] if k < len(cell) else "").ljust(width[j]) for j, cell in enumerate(row)).rstrip()
             if line or k == 0:

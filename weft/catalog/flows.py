@@ -193,12 +193,6 @@ def f39(spark, d):
     return graph.signature_cosine(w, 0.0, 1).withColumn("cosine", F.round("cosine", 8))
 
 
-@query("f40_relation_quality", f"{E} SELECT src, dst, CASE WHEN relation LIKE '1%' THEN 1.0 WHEN relation LIKE '2%' THEN 0.65 WHEN relation LIKE '3%' THEN 0.25 ELSE 0.2 END::DOUBLE AS quality FROM simple")
-def f40(spark, d):
-    r = F.col("relation")
-    return simple(spark, d).select("src", "dst", F.when(r.startswith("1"), 1.0).when(r.startswith("2"), 0.65).when(r.startswith("3"), 0.25).otherwise(0.2).alias("quality"))
-
-
 @query("s02_jsonl_round_trip", "SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events GROUP BY 1")
 def s02(spark, d):
     at = f"{shared_dir(spark)}/events-{spark.sparkContext.applicationId}.jsonl"

@@ -233,24 +233,6 @@ def f42(spark, d):
     return table(spark, d, "events").select("event_id", measures.clamped_score((F.get_json_object("props", "$.k").try_cast("double") / 10).cast("string")).alias("score"))
 
 
-@query("p05_noise_flags", r"SELECT doc_id, concat_ws(',', CASE WHEN trim(l) = '' THEN 'empty' END, CASE WHEN length(l) > 60 THEN 'long' END, CASE WHEN regexp_full_match(l, '[0-9 ]+') THEN 'digits' END, CASE WHEN regexp_matches(l, '(?i)https?://') THEN 'url' END, CASE WHEN regexp_matches(l, '[<>{}]') THEN 'markup' END, CASE WHEN regexp_matches(l, '[%$#&*]{2}') THEN 'symbols' END, CASE WHEN regexp_full_match(l, '[^a-z]*[A-Z][^a-z]*') THEN 'shout' END) AS flags FROM (SELECT doc_id, string_split(text, chr(10))[1] AS l FROM documents)")
-def p05(spark, d):
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_remove(text.noise_flags(line), "repeat"), ",").alias("flags"))
-
-
-@query("p07_specificity", "SELECT p_partkey, round(0.2::DOUBLE * len(string_split(p_name, ' ')) + 0.05 * least(8, length(p_name)) + CASE WHEN p_size > 25 THEN 0.1 ELSE 0 END, 6)::DOUBLE AS score, round(0.2::DOUBLE * len(string_split(p_name, ' ')) + 0.05 * least(8, length(p_name)) + CASE WHEN p_size > 25 THEN 0.1 ELSE 0 END, 6) >= 0.55 AS specific FROM part")
-def p07(spark, d):
-    s = F.round(0.2 * F.size(F.split("p_name", " ")) + 0.05 * F.least(F.lit(8), F.length("p_name")) + F.when(F.col("p_size") > 25, 0.1).otherwise(0.0), 6)
-    return table(spark, d, "part").select("p_partkey", s.alias("score"), (s >= 0.55).alias("specific"))
-
-
-@query("p08_rejection_reason", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 3 THEN 'short' WHEN l_partkey % 100 = l_suppkey THEN 'same' WHEN l_discount > 0.08 THEN 'generic' END AS reason FROM lineitem")
-def p08(spark, d):
-    rules = [("short", F.col("l_quantity") < 3), ("same", F.col("l_partkey") % 100 == F.col("l_suppkey")), ("generic", F.col("l_discount") > 0.08)]
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.truth_first(rules).alias("reason"))
-
-
 @query("p13_rebuilt_think", "SELECT p_partkey, concat('<think>', chr(10), p_name, chr(10), p_brand, chr(10), p_type, chr(10), '</think>') AS think FROM part")
 def p13(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat_ws("\n", F.lit("<think>"), "p_name", "p_brand", "p_type", F.lit("</think>")).alias("think"))

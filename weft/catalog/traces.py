@@ -134,19 +134,6 @@ def f38(spark, d):
     return x.select("doc_id", measures.semantic_distance(F.col("quality") / 2.0, (F.col("doc_id") % 5).cast("double")).alias("distance"))
 
 
-@query("p06_bad_labels", "SELECT p_partkey, p_name = '' OR regexp_matches(p_name, '^[0-9]+$') OR lower(p_name) IN ('big widget', 'red ring') AS bad FROM part")
-def p06(spark, d):
-    return table(spark, d, "part").select("p_partkey", ((F.col("p_name") == "") | F.col("p_name").rlike("^[0-9]+$") | F.lower("p_name").isin("big widget", "red ring")).alias("bad"))
-
-
-@query("p09_clean_paths", "SELECT l_orderkey, count(*) FILTER (WHERE l_quantity >= 20) >= 2 AND count(*) FILTER (WHERE l_discount < 0.01) <= 1 AND count(*) FILTER (WHERE l_quantity < 2) = 0 AS clean FROM lineitem GROUP BY 1")
-def p09(spark, d):
-    q = F.array_agg(F.struct("l_quantity", "l_discount"))
-    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(q.alias("q"))
-    n = lambda f: F.size(F.filter("q", f))
-    return s.select("l_orderkey", ((n(lambda x: x.l_quantity >= 20) >= 2) & (n(lambda x: x.l_discount < 0.01) <= 1) & (n(lambda x: x.l_quantity < 2) == 0)).alias("clean"))
-
-
 @query("u02_subset_checks", "WITH s AS (SELECT l_orderkey, list(DISTINCT l_returnflag) FILTER (WHERE l_linestatus = 'F') AS a, list(DISTINCT l_returnflag) AS b FROM lineitem GROUP BY 1) SELECT l_orderkey, coalesce(list_has_all(b, a), true) AS subset, len(coalesce(a, [])) = len(b) AS equal FROM s")
 def u02(spark, d):
     s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linestatus") == "F", F.col("l_returnflag"))).alias("a"), F.collect_set("l_returnflag").alias("b"))

@@ -111,21 +111,6 @@ def path_text(nodes: Column, relations: Column, forward: Column) -> Column:
     return F.concat(nodes[0], F.array_join(steps, ""))
 
 
-def noise_flags(c: Column) -> Column:
-    """Names of the label rules that a text breaks."""
-    rules = {
-        "empty": F.trim(c) == "",
-        "long": F.length(c) > 60,
-        "digits": c.rlike("^[0-9 ]+$"),
-        "url": c.rlike("(?i)https?://"),
-        "markup": c.rlike("[<>{}]"),
-        "symbols": c.rlike("[%$#&*]{2}"),
-        "repeat": c.rlike(r"\b([A-Za-z]+) \1\b"),
-        "shout": c.rlike("^[^a-z]*[A-Z][^a-z]*$"),
-    }
-    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]))
-
-
 def truth_first(rules: list[tuple[str, Column]]) -> Column:
     """Name of the first rule that holds, null if none does."""
     out = None

@@ -96,16 +96,6 @@ def m05(spark, d):
     return iterative.simple_cycles(sessions(spark, d), 4).groupBy("graph_id", F.size("path").alias("length")).agg(F.count("*").alias("loops"))
 
 
-@query("m07_broker_ideas")
-def m07(spark, d):
-    s = sessions(spark, d)
-    bet = kernels.per_graph(s, kernels.betweenness, "id string, betweenness double")
-    com = kernels.per_graph(s, kernels.communities, "id string, module long")
-    near = s.select("graph_id", F.col("src").alias("id"), F.col("dst").alias("o")).union(s.select("graph_id", "dst", "src")).join(com.withColumnRenamed("id", "o"), ["graph_id", "o"])
-    span = near.groupBy("graph_id", "id").agg(F.size(F.collect_set("module")).alias("span"))
-    return bet.join(span, ["graph_id", "id"]).select("graph_id", "id", (F.col("betweenness") * (1 + F.col("span"))).alias("score"))
-
-
 @query("m08_module_paths", f"WITH RECURSIVE {EDGE_SQL}, {MEMBER}, r AS (SELECT module, min(id) AS id FROM member JOIN deg USING (id) GROUP BY 1), w(source, id, dist) AS (SELECT id, id, 0 FROM r UNION SELECT source, b, dist + 1 FROM w JOIN both_ ON a = w.id WHERE dist < 2) SELECT source, w.id AS target, min(dist)::INT AS dist FROM w JOIN r ON r.id = w.id WHERE source < w.id GROUP BY 1, 2")
 def m08(spark, d):
     linked = graph.both(links(spark, d)).select(F.col("a").alias("id")).distinct()
@@ -150,13 +140,6 @@ def m23(spark, d):
     return s.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.concat("relation", F.lit(":"), F.col("dst").cast("string")).alias("t")))), lambda x: x.t), "; ").alias("block"))
 
 
-@query("m25_recombinations", f"{E}, w AS (SELECT least(x.dst, y.dst) AS u, greatest(x.dst, y.dst) AS v, min(greatest(x.iter, y.iter)) AS iter FROM simple x JOIN simple y ON x.src = y.src AND x.dst < y.dst GROUP BY 1, 2) SELECT iter, count(*) AS n FROM w WHERE (u, v) NOT IN (SELECT u, v FROM link) GROUP BY 1")
-def m25(spark, d):
-    s = simple(spark, d).select("src", "dst", "iter")
-    w = s.join(s.select("src", F.col("dst").alias("d2"), F.col("iter").alias("i2")), "src").where("dst < d2").groupBy(F.col("dst").alias("u"), F.col("d2").alias("v")).agg(F.min(F.greatest("iter", "i2")).alias("iter"))
-    return w.join(links(spark, d), ["u", "v"], "left_anti").groupBy("iter").agg(F.count("*").alias("n"))
-
-
 @query("w17_recombination_edges", f"{E}, b AS (SELECT id, min(seq) AS born FROM (SELECT src AS id, seq FROM simple UNION ALL SELECT dst, seq FROM simple) GROUP BY id) SELECT iter, count(*) AS n FROM simple JOIN b x ON x.id = src AND x.born < seq JOIN b y ON y.id = dst AND y.born < seq GROUP BY iter")
 def w17(spark, d):
     s = simple(spark, d)

@@ -172,16 +172,6 @@ def c01(spark, d):
     return iterative.pagerank(simple(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("c02_betweenness")
-def c02(spark, d):
-    return kernels.per_graph(sessions(spark, d), kernels.betweenness, "id string, value double")
-
-
-@query("c03_closeness")
-def c03(spark, d):
-    return kernels.per_graph(sessions(spark, d), kernels.closeness, "id string, value double")
-
-
 @query("c04_eigenvector")
 def c04(spark, d):
     return iterative.eigenvector(links(spark, d)).select("id", F.round("value", 8).alias("value"))
@@ -256,11 +246,6 @@ def c14(spark, d):
     return top.union(per).groupBy("id").agg(F.min("place").alias("place"))
 
 
-@query("m02_latent_links", f"{E}, w AS (SELECT x.b AS u, y.b AS v, x.a AS mid FROM both_ x JOIN both_ y ON x.a = y.a AND x.b < y.b) SELECT u, v, count(*) AS common, round(sum(1 / ln(d)), 6) AS aa FROM w JOIN deg ON id = mid WHERE (u, v) NOT IN (SELECT u, v FROM link) GROUP BY 1, 2")
-def m02(spark, d):
-    return graph.adamic_adar(links(spark, d)).withColumn("aa", F.round("aa", 6))
-
-
 @query("m03_open_triads", f"{E}, p AS (SELECT x.src AS a, x.dst AS b, y.dst AS c, x.seq AS s1, y.seq AS s2 FROM simple x JOIN simple y ON x.dst = y.src AND x.src <> y.dst) SELECT a, arg_min(b, (s1, s2)) AS b, c, count(*) AS paths FROM p WHERE (a, c) NOT IN (SELECT src, dst FROM simple) GROUP BY a, c")
 def m03(spark, d):
     return graph.open_triads(simple(spark, d))
@@ -285,14 +270,6 @@ def m12(spark, d):
     return graph.signature_cosine(w, 0.55, 2).withColumn("cosine", F.round("cosine", 6))
 
 
-@query("m13_brokers", f"{E}, {MEMBER} SELECT id, degree, modules, round(modules / sqrt(degree), 6) AS score FROM (SELECT a AS id, count(*) AS degree, count(DISTINCT y.module) FILTER (WHERE y.module <> x.module) AS modules FROM both_ JOIN member x ON x.id = a JOIN member y ON y.id = b GROUP BY a)")
-def m13(spark, d):
-    m = member(spark, d)
-    n = graph.both(links(spark, d)).join(m.select(F.col("id").alias("a"), F.col("module").alias("m1")), "a").join(m.select(F.col("id").alias("b"), F.col("module").alias("m2")), "b")
-    per = n.groupBy("a", "m2").agg(F.count("*").alias("c"), F.max((F.col("m1") != F.col("m2")).cast("int")).alias("x"))
-    return per.groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("degree"), F.sum("x").cast("long").alias("modules")).withColumn("score", F.round(F.col("modules") / F.sqrt("degree"), 6))
-
-
 _WL = f"{S}, bw AS (SELECT graph_id, src AS id, dst AS o, concat('>', relation) AS r FROM hop UNION ALL SELECT graph_id, dst, src, concat('<', relation) FROM hop), c0 AS (SELECT DISTINCT graph_id, id, sha1('') AS c FROM bw)" + "".join(f", n{i} AS (SELECT bw.graph_id, bw.id, string_agg(concat(r, ':', c), ',' ORDER BY concat(r, ':', c)) AS n FROM bw JOIN c{i - 1} k ON k.graph_id = bw.graph_id AND k.id = bw.o GROUP BY 1, 2), c{i} AS (SELECT k.graph_id, k.id, sha1(concat(c, '|', n)) AS c FROM c{i - 1} k JOIN n{i} USING (graph_id, id))" for i in (1, 2, 3))
 
 
@@ -306,16 +283,6 @@ def m17(spark, d):
     return kernels.per_graph(sessions(spark, d), kernels.automorphisms, "automorphisms long")
 
 
-@query("m20_bridge_scores", f"{E}, {MEMBER}, x AS (SELECT a AS id, count(*) FILTER (WHERE p.module <> q.module) AS crossing, count(DISTINCT q.module) AS span, count(*) AS d FROM both_ JOIN member p ON p.id = a JOIN member q ON q.id = b GROUP BY a), t AS (SELECT max(d) AS m FROM x) SELECT id, round(0.18 * d / m + 0.12 * least(1, crossing / 4) + 0.06 * least(1, span / 5), 6) AS score FROM x, t")
-def m20(spark, d):
-    m = member(spark, d)
-    n = graph.both(links(spark, d)).join(m.select(F.col("id").alias("a"), F.col("module").alias("m1")), "a").join(m.select(F.col("id").alias("b"), F.col("module").alias("m2")), "b")
-    x = n.groupBy(F.col("a").alias("id")).agg(F.count_if(F.col("m1") != F.col("m2")).alias("crossing"), F.size(F.collect_set("m2")).alias("span"), F.count("*").alias("d"))
-    top = x.agg(F.max("d").alias("m"))
-    score = 0.18 * F.col("d") / F.col("m") + 0.12 * F.least(F.lit(1.0), F.col("crossing") / 4) + 0.06 * F.least(F.lit(1.0), F.col("span") / 5)
-    return x.crossJoin(F.broadcast(top)).select("id", F.round(score, 6).alias("score"))
-
-
 @query("e02_graph_merge", f"{E} SELECT id, min(iter) AS iter, min(depth) AS depth FROM node GROUP BY id")
 def e02(spark, d):
     e = edges(spark, d)

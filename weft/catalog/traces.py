@@ -204,29 +204,6 @@ def n04(spark, d):
     return embedding.motif_z(simple(spark, d).select("src", "dst", "relation"), 200)
 
 
-@query("m06_dissonance", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) * 1.5, 6) AS score FROM e a JOIN e b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE list_dot_product(a.v, b.v) >= 0.35")
-def m06(spark, d):
-    e = table(spark, d, "embeddings")
-    p = embedding.pairs_above(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.35)
-    lab = e.select("vec_id", "label")
-    p = p.join(lab.select(F.col("vec_id").alias("a"), F.col("label").alias("l1")), "a").join(lab.select(F.col("vec_id").alias("b"), F.col("label").alias("l2")), "b")
-    return p.where("l1 <> l2").select("a", "b", F.round(F.col("similarity") * 1.5, 6).alias("score"))
-
-
-@query("m09_long_range_paths", f"WITH RECURSIVE {EDGE_SQL}, src_ AS (SELECT min(c_custkey) AS id FROM customer GROUP BY c_mktsegment), w(source, id, dist) AS (SELECT id, id, 0 FROM src_ UNION SELECT source, dst, dist + 1 FROM w JOIN simple ON src = w.id WHERE dist < 4) SELECT source, dist, count(*) AS n FROM (SELECT source, id, min(dist)::INT AS dist FROM w GROUP BY 1, 2) GROUP BY 1, 2")
-def m09(spark, d):
-    seeds = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.min("c_custkey").alias("id"))
-    n = simple(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return iterative.bfs(n, seeds, 4).groupBy("source", "dist").agg(F.count("*").alias("n"))
-
-
-@query("m10_short_bridges", f"{E}, {MEMBER} SELECT x.module AS m1, z.module AS m2, count(*) AS n FROM simple p JOIN simple q ON p.dst = q.src AND p.src <> q.dst JOIN member x ON x.id = p.src JOIN member z ON z.id = q.dst WHERE x.module <> z.module GROUP BY 1, 2")
-def m10(spark, d):
-    m = member(spark, d)
-    p = graph.two_paths(simple(spark, d)).select("a", "c").join(m.select(F.col("id").alias("a"), F.col("module").alias("m1")), "a").join(m.select(F.col("id").alias("c"), F.col("module").alias("m2")), "c")
-    return p.where("m1 <> m2").groupBy("m1", "m2").agg(F.count("*").alias("n"))
-
-
 @query("m16_module_isomorphism")
 def m16(spark, d):
     # graphs with equal colour signatures are compared with their bucket's representatives

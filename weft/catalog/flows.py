@@ -140,24 +140,6 @@ def m23(spark, d):
     return s.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.concat("relation", F.lit(":"), F.col("dst").cast("string")).alias("t")))), lambda x: x.t), "; ").alias("block"))
 
 
-@query("w17_recombination_edges", f"{E}, b AS (SELECT id, min(seq) AS born FROM (SELECT src AS id, seq FROM simple UNION ALL SELECT dst, seq FROM simple) GROUP BY id) SELECT iter, count(*) AS n FROM simple JOIN b x ON x.id = src AND x.born < seq JOIN b y ON y.id = dst AND y.born < seq GROUP BY iter")
-def w17(spark, d):
-    s = simple(spark, d)
-    born = s.select(F.col("src").alias("id"), "seq").union(s.select("dst", "seq")).groupBy("id").agg(F.min("seq").alias("born"))
-    x = s.join(born.select(F.col("id").alias("src"), F.col("born").alias("b1")), "src").join(born.select(F.col("id").alias("dst"), F.col("born").alias("b2")), "dst")
-    return x.where("b1 < seq AND b2 < seq").groupBy("iter").agg(F.count("*").alias("n"))
-
-
-@query("w19_scaling", f"{E}, c AS (SELECT unnest([10, 20, 40, 80]) AS k) SELECT k AS iter, (SELECT count(*) FROM node WHERE node.iter <= k) AS ideas, (SELECT count(*) FROM simple WHERE simple.iter <= k) AS edges FROM c")
-def w19(spark, d):
-    e = edges(spark, d)
-    n = e.select(F.col("src").alias("id"), "iter").union(e.select("dst", "iter")).groupBy("id").agg(F.min("iter").alias("iter"))
-    marks = F.explode(F.filter(F.array(*map(F.lit, [10, 20, 40, 80])), lambda k: F.col("iter") <= k)).alias("k")
-    a = n.select(marks).groupBy("k").agg(F.count("*").alias("ideas"))
-    b = graph.fold(e).select(marks).groupBy("k").agg(F.count("*").alias("edges"))
-    return a.join(b, "k", "full_outer").select(F.col("k").alias("iter"), F.coalesce("ideas", F.lit(0)).alias("ideas"), F.coalesce("edges", F.lit(0)).alias("edges"))
-
-
 @query("n08_link_homophily", f"{E}, {MEMBER}, s AS (SELECT avg((x.module = y.module)::INT) AS linked FROM link JOIN member x ON x.id = u JOIN member y ON y.id = v), b AS (SELECT sum(n * n)::DOUBLE AS s2, sum(n)::DOUBLE AS n FROM (SELECT count(*) AS n FROM member GROUP BY module)) SELECT round(linked, 8) AS linked, round((s2 - n) / (n * (n - 1)), 8) AS random, round(linked - (s2 - n) / (n * (n - 1)), 8) AS delta FROM s, b")
 def n08(spark, d):
     e = graph.modules(links(spark, d).select(F.col("u").alias("src"), F.col("v").alias("dst")), member(spark, d)).agg(F.avg((F.col("m1") == F.col("m2")).cast("int")).alias("linked"))
@@ -288,14 +270,3 @@ def k06(spark, d):
 def k07(spark, d):
     deg = graph.both(links(spark, d)).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
     return deg.orderBy("degree", "id").limit(10).select("id", "degree", F.round(1.0 / (1 + F.col("degree")), 6).alias("priority"), F.concat(F.lit("Expand on customer "), F.col("id").cast("string")).alias("question"))
-
-
-@query("k11_closest_source", "WITH s AS (SELECT doc_id, crc, CASE WHEN a >= b THEN 'first' ELSE 'second' END AS closest FROM (SELECT doc_id, 0 AS crc, length(text) % 97 AS a, doc_id % 97 AS b FROM documents)) SELECT closest, count(*) AS n FROM s GROUP BY 1")
-def k11(spark, d):
-    v = F.array(F.length("text") % 97, (F.col("doc_id") % 97).cast("int"))
-    return table(spark, d, "documents").groupBy(F.element_at(F.array(F.lit("first"), F.lit("second")), F.array_position(v, F.array_max(v)).cast("int")).alias("closest")).agg(F.count("*").alias("n"))
-
-
-@query("k12_ablation_means", "SELECT l_returnflag, l_linestatus, round(avg(l_discount), 6) AS mech, round(avg(l_tax), 6) AS token, count(*) AS n FROM lineitem GROUP BY 1, 2")
-def k12(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.avg("l_discount"), 6).alias("mech"), F.round(F.avg("l_tax"), 6).alias("token"), F.count("*").alias("n"))

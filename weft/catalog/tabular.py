@@ -194,16 +194,6 @@ def j05(spark, d):
     return joins.unfinished(o.select("o_orderkey", "o_custkey"), o.where("o_orderstatus = 'F'"), ["o_orderkey"])
 
 
-@query("j06_left_merge_summary", "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
-def j06(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "lang", "quality", "toxic")
-
-
-@query("j07_mean_std_merge", "SELECT event_type, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std FROM events GROUP BY 1")
-def j07(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("value_mean"), F.round(F.stddev_samp("value"), 6).alias("value_std"))
-
-
 @query("j13_run_difference", "WITH a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE year(l_shipdate) < 1998), b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE year(l_shipdate) >= 1998) SELECT 'shared' AS side, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'left_only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'right_only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def j13(spark, d):
     x = table(spark, d, "lineitem").withColumn("y", F.year("l_shipdate"))

@@ -115,19 +115,6 @@ def f18(spark, d):
     return table(spark, d, "part").select("p_partkey", text.display_label(F.regexp_replace("p_brand", "#", "_")).alias("title"), text.strip_header(header).alias("body"), text.strip_category(labelled).alias("bare"))
 
 
-@query("f33_token_support", "SELECT p_partkey, round(len(list_intersect(string_split(p_name, ' '), string_split(concat(lower(p_type), ' red ring'), ' '))) / len(list_distinct(string_split(p_name, ' '))), 6) AS support FROM part")
-def f33(spark, d):
-    graph_words, answer = F.array_distinct(F.split("p_name", " ")), F.split(F.concat(F.lower("p_type"), F.lit(" red ring")), " ")
-    return table(spark, d, "part").select("p_partkey", F.round(F.size(F.array_intersect(graph_words, answer)) / F.size(graph_words), 6).alias("support"))
-
-
-@query("f34_edge_corruption", "WITH s AS (SELECT l_orderkey, list(DISTINCT concat(l_partkey, '>', l_suppkey)) AS c, list(DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN concat(l_partkey, '>', l_suppkey) ELSE concat(l_suppkey, '>', l_partkey) END) AS k FROM lineitem GROUP BY 1) SELECT l_orderkey, round(2 * len(list_intersect(c, k)) / (len(c) + len(k)), 6) AS f1 FROM s")
-def f34(spark, d):
-    fwd, back = F.concat_ws(">", "l_partkey", "l_suppkey"), F.concat_ws(">", "l_suppkey", "l_partkey")
-    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(fwd).alias("c"), F.collect_set(F.when(F.col("l_linenumber") % 2 == 0, fwd).otherwise(back)).alias("k"))
-    return s.select("l_orderkey", F.round(2 * F.size(F.array_intersect("c", "k")) / (F.size("c") + F.size("k")), 6).alias("f1"))
-
-
 @query("f38_mixed_distance", "SELECT doc_id, greatest(0, least(2, coalesce(1 - quality / 2.0, doc_id % 5)))::DOUBLE AS distance FROM documents LEFT JOIN labels USING (doc_id)")
 def f38(spark, d):
     x = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -296,17 +283,3 @@ def s13(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
     o.where("o_orderkey % 3 = 0").write.mode("overwrite").parquet(at)
     return readers.resume(o, at, ["o_orderkey"])
-
-
-@query("c07_small_world")
-def c07(spark, d):
-    def sigma(es):
-        near = kernels._adjacency(es, False)
-        n, m = len(near), sum(map(len, near.values())) / 2
-        c = sum(2 * sum(b in near[a] for i, a in enumerate(near[x]) for b in near[x][:i]) / (len(near[x]) * (len(near[x]) - 1)) for x in near if len(near[x]) > 1) / n
-        mean = kernels.extent(es)[0][3]
-        k = 2 * m / n
-        c0, l0 = k / n, np.log(n) / np.log(k) if k > 1 else 1.0
-        return [(float(c), float(mean), float((c / c0) / (mean / l0)) if mean and c0 else 0.0)]
-
-    return kernels.per_graph(sessions(spark, d), sigma, "clustering double, mean_distance double, sigma double")

@@ -212,13 +212,6 @@ def v06(spark, d):
     return m.join(v, "id").groupBy(F.col("ord").cast("int").alias("label")).agg(F.round(F.avg((F.col("similarity") < 0.3).cast("int")), 6).alias("exclusive"))
 
 
-@query("v07_ood_distance", "WITH m AS (SELECT a.vec_id, a.label, max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT label, round(avg(1 - s), 6) AS ood, round(max(1 - s), 6) AS farthest FROM m GROUP BY 1")
-def v07(spark, d):
-    v = vectors(spark, d)
-    m = embedding.best_matches(v, v, lambda a, b: (a == a) & (b == b)).join(v, "id")
-    return m.groupBy(F.col("ord").cast("int").alias("label")).agg(F.round(F.avg(1 - F.col("similarity")), 6).alias("ood"), F.round(F.max(1 - F.col("similarity")), 6).alias("farthest"))
-
-
 @query("v09_principal_variance")
 def v09(spark, d):
     from pyspark.ml.feature import PCA

@@ -75,3 +75,42 @@ def clamped_score(c: Column, low: float = 0.0, high: float = 5.0) -> Column:
 def stable_hash(*parts: Column) -> Column:
     """First 16 hex digits of the sha1 of the parts."""
     return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 16)
+
+
+#: Words that tell of causes and mechanisms.
+MECHANISM_TERMS = [
+    "causes", "cause", "mechanism", "mechanisms", "due", "results", "leads", "because",
+    "therefore", "consequently", "induces", "drives", "enables", "inhibits", "increases",
+    "decreases", "affects", "mediates", "modulates", "triggers", "pathway", "via",
+    "through", "activates", "suppresses", "regulates", "controls", "determines",
+]
+
+
+def set_f1(a: Column, b: Column) -> Column:
+    """F1 of two arrays of distinct values, to four places; 0 where either is empty."""
+    shared = F.size(F.array_intersect(a, b))
+    p, r = shared / F.size(a), shared / F.size(b)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.round(2 * p * r / (p + r + 1e-9), 4))
+
+
+def mechanism_words(c: Column) -> Column:
+    """Distinct words of a text that tell of a mechanism."""
+    return F.array_intersect(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w+\b"), F.lit(0)), F.array(*map(F.lit, MECHANISM_TERMS)))
+
+
+def mechanism_f1(a: Column, b: Column) -> Column:
+    """F1 of two texts over the words that tell of a mechanism."""
+    return set_f1(mechanism_words(a), mechanism_words(b))
+
+
+def graph_support(answer: Column, graph_text: Column) -> Column:
+    """Part of a graph's words of two letters and more that an answer has, to four places; 0 for a graph without words."""
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b[A-Za-z]\w+\b"), F.lit(0)))
+    asked = tokens(graph_text)
+    return F.when(F.size(asked) > 0, F.round(F.size(F.array_intersect(asked, tokens(answer))) / F.size(asked), 4)).otherwise(0.0)
+
+
+def entity_overlap(clean: Column, corrupt: Column) -> Column:
+    """Part of the ends of clean edges ``a|r|b`` that the corrupt ones have too, whatever their direction, to four places."""
+    ends = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda e: F.array(F.substring_index(e, "|", 1), F.substring_index(e, "|", -1)))))
+    return F.round(F.size(F.array_intersect(ends(clean), ends(corrupt))) / (F.size(ends(clean)) + 1e-9), 4)

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 REQUIRED_COLUMNS = ["source_index", "variant_index", "mode", "condition", "x0", "fixed_node_ids", "fixed_edge_keys", "x0_graph_json", "x1_graph_json"]
 
 
+#: Splits in the order of their seeds.
+SPLITS = ["train", "validation", "test"]
+
+
 def load_completion_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Train and test splits of a folder of Parquet; a missing split or column is an error."""
     out = {}
@@ -189,3 +193,48 @@ def cached_embeddings(labels: DataFrame, path: str, model: str, embed) -> DataFr
     fresh = resume(keyed, path, ["key"])
     embed(fresh.dropDuplicates(["key"])).select("key", "label", "vector").write.mode("append").parquet(path)
     return keyed.join(labels.sparkSession.read.parquet(path).select("key", "vector"), "key").drop("key")
+
+
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines behind those that ``path`` has; a task's file counts once its whole commit does, so a failed run adds nothing."""
+    df.write.mode("append").option("ignoreNullFields", False).json(path)
+
+
+def overwrite(df: DataFrame, path: str, kind: str = "json") -> None:
+    """``df`` in place of what ``path`` has, as json, csv (with a header) or parquet."""
+    if kind not in ("json", "csv", "parquet"):
+        raise ValueError(f"no sink of kind {kind}")
+    df.write.mode("overwrite").options(**({"header": True} if kind == "csv" else {"ignoreNullFields": False} if kind == "json" else {})).format(kind).save(path)
+
+
+def tail(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The last ``n`` rows of a growing series, oldest first."""
+    return df.orderBy(F.desc(order)).limit(n).orderBy(order)
+
+
+def read_while_written(spark: SparkSession, path: str, reader, tries: int = 3, wait: float = 0.2):
+    """What ``reader(path)`` makes of a file that another process may be rewriting: tried again after a pause, the last error stands."""
+    import time
+
+    for left in range(tries - 1, -1, -1):
+        try:
+            nodes, edges = reader(path)
+            nodes.limit(1).count()
+            edges.limit(1).count()
+            return nodes, edges
+        except Exception:
+            if not left:
+                raise
+            time.sleep(wait)
+    raise ValueError("no tries asked for")
+
+
+def prepare_split(df: DataFrame, split: str, key: str, seed: int = 42, limit: int | None = None) -> DataFrame:
+    """One reference split: its groups in the order of a hash of seed, seed + 1 or seed + 2 for train, validation or test, the first ``limit`` of them whole."""
+    if split not in SPLITS:
+        raise ValueError(f"unknown split {split}")
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed + SPLITS.index(split))), F.col(key).cast("string")), 256)
+    if limit is None:
+        return df.withColumn("place", order)
+    groups = df.select(key).distinct().withColumn("place", order).orderBy("place").limit(limit)
+    return df.join(F.broadcast(groups), key)

@@ -67,3 +67,13 @@ def concept_upsert(stream: DataFrame, graph_id: str, order: str, vector: str, th
 def windowed_counts(stream: DataFrame, ts: str, by: str, width: str, late: str) -> DataFrame:
     """Counts by tumbling event-time window and key behind a watermark (an extension: the traces have no event time)."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
+
+
+def emit_steps(stream: DataFrame, path: str, state: str):
+    """A row a step, appended to JSON lines at ``path`` as steps arrive; ``state`` holds what is done, so a restart emits no step twice.  Returns the running query."""
+    return stream.writeStream.format("json").option("checkpointLocation", state).option("path", path).outputMode("append").trigger(availableNow=True).start()
+
+
+def tailed(spark: SparkSession, folder: str, schema, kind: str = "json", files_per_trigger: int = 1) -> DataFrame:
+    """Rows of a folder of CSV or JSON lines as a stream that goes on with what is added."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).options(**({"header": True} if kind == "csv" else {})).format(kind).load(folder)

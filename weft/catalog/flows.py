@@ -11,7 +11,7 @@ from weft.catalog.graphs import MEMBER, links, member, simple
 from weft.catalog.scores import LONG_SQL, tasks
 from weft.functions import measures
 from weft.operators import embedding, graph, iterative, joins, kernels, retrieval, sampling, scoring, series, summarize
-from weft.shared import shared_dir, written
+from weft.shared import fresh_path, written
 from weft.sources import readers
 from weft.streaming import incremental
 
@@ -160,7 +160,7 @@ def f39(spark, d):
 
 @query("s02_jsonl_round_trip", "SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events GROUP BY 1")
 def s02(spark, d):
-    at = f"{shared_dir(spark)}/events-{spark.sparkContext.applicationId}.jsonl"
+    at = fresh_path(spark, "events")
     table(spark, d, "events").select("event_id", "user_id", "event_type").write.mode("overwrite").json(at)
     schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType())])
     return readers.read_jsonl_strict(spark, at, schema).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
@@ -168,7 +168,7 @@ def s02(spark, d):
 
 @query("s06_growth_tail", "SELECT iter, count(*) AS n_nodes FROM (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) AS iter FROM events) GROUP BY 1 ORDER BY iter DESC LIMIT 5")
 def s06(spark, d):
-    at = f"{shared_dir(spark)}/growth-{spark.sparkContext.applicationId}.csv"
+    at = fresh_path(spark, "growth")
     g = table(spark, d, "events").groupBy(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("iter")).agg(F.count("*").alias("n_nodes"))
     zero = [F.lit(0).cast("long").alias(c) for c in ("n_edges", "new_nodes", "tokens", "cum_tokens")]
     g.select("iter", F.lit(0).cast("long").alias("depth"), "n_nodes", *zero, F.lit(0.5).alias("diversity")).write.mode("overwrite").option("header", True).csv(at)

@@ -49,7 +49,7 @@ def g02b(spark, d):
     return sums.crossJoin(F.broadcast(loops)).crossJoin(F.broadcast(alone)).select("nodes", "edges", F.round(m / (n * (n - 1)), 8).alias("density"), F.round(2 * m / n, 6).alias("avg_degree"), "loops", "isolates")
 
 
-@query("g03_components")
+@query("g03_components", f"{RE}, w(id, label) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT b, label FROM w JOIN both_ ON a = id WHERE label <= b) SELECT id, min(label) AS component FROM w GROUP BY 1")
 def g03(spark, d):
     e = links(spark, d).select(F.col("u").alias("a"), F.col("v").alias("b"))
     return connected_components(e).select(F.col("node").alias("id"), "component")
@@ -112,7 +112,9 @@ def g11(spark, d):
 
 @query("g12_cut_points")
 def g12(spark, d):
-    return kernels.per_graph(sessions(spark, d), kernels.cut_points, "kind string, a string, b string, fragments long")
+    # the graphs of single months are sparse: they have bridges
+    months = simple(spark, d).select(F.col("iter").alias("graph_id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "relation")
+    return kernels.per_graph(months, kernels.cut_points, "kind string, a string, b string, fragments long")
 
 
 @query("g13_extent")

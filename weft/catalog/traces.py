@@ -266,9 +266,9 @@ def v12(spark, d):
 def s03(spark, d):
     from pyspark.sql import types as T
 
-    from weft.shared import shared_dir
+    from weft.shared import fresh_path
 
-    at = f"{shared_dir(spark)}/lenient-{spark.sparkContext.applicationId}"
+    at = fresh_path(spark, "lenient")
     good = table(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type")).alias("value"))
     good.union(table(spark, d, "nation").select(F.concat(F.lit("{broken "), "n_name"))).write.mode("overwrite").text(at)
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType())])
@@ -277,9 +277,9 @@ def s03(spark, d):
 
 @query("s13_resume_partial", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0")
 def s13(spark, d):
-    from weft.shared import shared_dir
+    from weft.shared import fresh_path
 
-    at = f"{shared_dir(spark)}/partial-{spark.sparkContext.applicationId}"
+    at = fresh_path(spark, "partial")
     o = table(spark, d, "orders").select("o_orderkey")
     o.where("o_orderkey % 3 = 0").write.mode("overwrite").parquet(at)
     return readers.resume(o, at, ["o_orderkey"])

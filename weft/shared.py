@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _names = itertools.count()
 _own: dict[str, str] = {}
+_here = threading.local()  # tables that this thread made, so that no sweep touches another's
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,10 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="weft-"))
 
 
+def _made() -> list[str]:
+    return _here.__dict__.setdefault("made", [])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: a cut in lineage that lost executors don't undo."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{next(_names)}-{uuid.uuid4().hex[:12]}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,5 +43,27 @@ def remove(df: DataFrame) -> None:
     if not files:
         return
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    _delete(spark, jvm.org.apache.hadoop.fs.Path(files[0]).getParent())
+
+
+def _delete(spark: SparkSession, folder) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other table has; ``sweep`` removes it like those of ``written``."""
+    path = f"{shared_dir(spark)}/{name}-{next(_names)}-{uuid.uuid4().hex[:12]}"
+    _made().append(path)
+    return path
+
+
+def mark() -> int:
+    """How many tables this thread has made so far, for ``sweep``."""
+    return len(_made())
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete all tables that this thread made since a mark but the last, which holds what they were made for."""
+    for path in _made()[since:-1]:
+        _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    del _made()[since:-1]

@@ -345,11 +345,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", digest:
 
     The corpus is inserted into a fresh ``LineIndex`` in the shared folder.
     """
-    import uuid
+    from weft.shared import fresh_path
 
-    from weft.shared import shared_dir
-
-    index = LineIndex(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/lines-{uuid.uuid4().hex}", min_docs)
+    index = LineIndex(docs.sparkSession, fresh_path(docs.sparkSession, "lines"), min_docs)
     index.insert(docs, text)
     return index.apply(docs, text, digest, broadcast_bytes)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, decontam, line_dedup, simhash, toxicity
-from weft.shared import written
+from weft.shared import mark, remove, sweep, written
 
 #: SQL cannot express the classifier, the fingerprints or the tokenizer.
 ORACLE_SQL = None
@@ -89,8 +89,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written in the shared folder and read again; what a stage needed on the way is removed once it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        since = mark()
+        after = written(stage(spark, docs, sf_dir), name)
+        sweep(spark, since)
+        if before is not None:
+            remove(before)
+        docs = before = after
     return STAGES[-1][1](spark, docs, sf_dir)

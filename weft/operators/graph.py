@@ -60,10 +60,15 @@ def adamic_adar(undirected: DataFrame) -> DataFrame:
 
 
 def triangles(undirected: DataFrame) -> DataFrame:
-    """Triangles u < v < w: each is found once, from its smallest node."""
-    e = undirected
-    open_ = e.select("u", "v").join(e.select("u", F.col("v").alias("w")), "u").where("v < w")
-    return open_.join(e.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi").select("u", "v", "w")
+    """Triangles u < v < w, each found once, from its node of lowest (degree, id): there a hub of any degree opens few pairs."""
+    d = both(undirected).groupBy("a").agg(F.count("*").alias("d"))
+    ends = undirected.join(d.select(F.col("a").alias("u"), F.col("d").alias("du")), "u").join(d.select(F.col("a").alias("v"), F.col("d").alias("dv")), "v")
+    one, two = F.struct(F.col("du").alias("d"), F.col("u").alias("id")), F.struct(F.col("dv").alias("d"), F.col("v").alias("id"))
+    e = ends.select(F.least(one, two)["id"].alias("x"), F.greatest(one, two).alias("y"))
+    open_ = e.select("x", "y").join(e.select("x", F.col("y").alias("z")), "x").where("y < z").select("x", F.col("y.id").alias("y"), F.col("z.id").alias("z"))
+    closed = open_.join(e.select(F.col("x").alias("y"), F.col("y.id").alias("z")), ["y", "z"], "left_semi")
+    t = closed.select(F.array_sort(F.array("x", "y", "z")).alias("t"))
+    return t.select(F.col("t")[0].alias("u"), F.col("t")[1].alias("v"), F.col("t")[2].alias("w"))
 
 
 def clustering(undirected: DataFrame) -> DataFrame:

@@ -187,6 +187,47 @@ def test_recombinations(spark, world):
     assert got == want and want
 
 
+def test_graph_leads(spark, world):
+    edges, near, _, vec, f = world
+    query = [1.0, 0.0, 0.0, 0.0]
+    sims = {n: v[0] for n, v in vec.items() if len(L_NORMAL[NAMES[n % 8]]) > 2}
+    seeds = sorted(sims, key=lambda n: (-sims[n], n))[:3]
+    top = max(len(x) for x in near.values())
+    best = {}
+    for n in sims:
+        d = [walk(near, s)[0].get(n, 99) for s in seeds]
+        if n not in seeds and min(d) <= 2:
+            s = 0.35 * sims[n] + 0.3 * (1 - sims[n]) + 0.25 * 0.65 + 0.1 / (1 + min(d)) - 0.2 * math.log1p(len(near[n])) / math.log1p(top)
+            best[NAMES[n % 8]] = max(best.get(NAMES[n % 8], (-99,)), (s, -n, seeds[d.index(min(d))], min(d)))
+    got = {r.id: (r.score, r.seed, r.hop) for r in mining.graph_leads(f["simple"], f["names"], f["vectors"], query).collect()}
+    assert got == {-n: (pytest.approx(s), seed, hop) for s, n, seed, hop in best.values()} and got
+    r = mining.graph_leads(f["simple"], f["names"], f["vectors"], query, defaults=f["vectors"].where("id IN (0, 20)")).first()
+    assert r.ood == pytest.approx(1 - max(cosine(vec, r.id, 0), cosine(vec, r.id, 20)))
+
+
+L_NORMAL = {n: "".join(c for c in n.lower() if c.isalnum()) for n in NAMES}
+
+
+def test_path_pairs(spark, world):
+    edges, near, _, _, f = world
+    spec = {"CatecholCrosslink": 1.9, "alginate matrix": 1.3, "collagen": 0.95, "silk fibers": 0.7, "enzyme": 0.7}
+    anchor = {"CatecholCrosslink": 2, "alginate matrix": 2, "collagen": 1, "silk fibers": 2, "enzyme": 1, "AB": 0, "mechanism": 0, "Q1": 0}
+    words = {n: set(x) for n, x in {"CatecholCrosslink": ["catechol", "crosslink"], "alginate matrix": ["alginate", "matrix"], "collagen": ["collagen"], "silk fibers": ["silk", "fibers"], "enzyme": ["enzyme"]}.items()}
+    name = {n: NAMES[n % 8] for n in near}
+    got = {(r.source, r.target): r for r in mining.path_pairs(f["simple"], f["names"], "another topic", bridge_anchors=1, generic_bridges=1).collect()}
+    assert got
+    for (a, b), r in got.items():
+        path = list(r.path)
+        dist, paths = walk(near, a)
+        inner = path[1:-1]
+        assert path in paths[b] and 2 <= r.hops == dist[b] <= 6 and name[a] in spec and name[b] in spec
+        assert not any(name[x] == "Q1" for x in path) and sum(name[x] == "mechanism" for x in path) <= 1 and sum(anchor[name[x]] for x in inner) >= 1
+        apart = 1 - len(words[name[a]] & words[name[b]]) / len(words[name[a]] | words[name[b]])
+        generic = sum(name[x] == "mechanism" for x in inner)
+        score = 1.2 * sum(anchor[name[x]] for x in path) + 0.8 * sum(anchor[name[x]] for x in inner) + 0.8 * 0.75 + 0.6 * apart + 0.2 * r.hops + 0.25 * (spec[name[a]] + spec[name[b]]) - 1.4 * generic - 0.15 * sum(math.log1p(len(near[x])) for x in inner) / len(inner)
+        assert r.score == pytest.approx(score)
+
+
 def test_label_rules_one_by_one(spark):
     cases = {
         "": ["empty", "too_short", "low_alpha"], "AB": ["too_short", "short_acronym"], "Abc": ["too_short", "short_fragment"], "12/3": ["too_short", "numeric_artifact", "low_alpha"], "DNA": [], "x" * 91: ["very_long"],

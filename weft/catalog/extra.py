@@ -6,10 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from weft.catalog.core import edges, query, sessions, table
+from weft.catalog.core import EDGE_SQL, edges, query, sessions, table
 from weft.catalog.flows import nodes
 from weft.catalog.graphs import links, member, simple
-from weft.functions import text
 from weft.operators import graph, iterative, kernels, retrieval, sampling
 from weft.operators.components import connected_components
 
@@ -82,17 +81,7 @@ def l08(spark, d):
     return two.select("id", "module", "score").orderBy(F.desc("score"), "module", F.desc("id")).limit(30)
 
 
-@query("m22_path_pairs")
-def m22(spark, d):
-    # ends from a top-k of candidates that pass the rejection rules, then their paths
-    c = nodes(spark, d).withColumn("reason", text.truth_first([("isolated", F.col("degree") == 0), ("poor", F.col("rank") < 0)])).where("reason IS NULL")
-    ends = c.orderBy(F.desc("rank"), "id").limit(12).select("id")
-    pairs = ends.select(F.col("id").alias("source")).join(ends.select(F.col("id").alias("target")), F.col("source") < F.col("target"))
-    p = iterative.shortest_paths(graph.both(links(spark, d)), pairs, 6)
-    return p.select("source", "target", F.col("dist").alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), (1 - 1 / (1 + F.col("dist"))).alias("score"))
-
-
-@query("m24_context_blocks", None)
+@query("m24_context_blocks", f"WITH {EDGE_SQL}, t AS (SELECT src, concat('- ', src, ' --', relation, '--> ', dst) AS line FROM simple QUALIFY row_number() OVER (PARTITION BY src ORDER BY multiplicity DESC, seq) <= 3) SELECT src, string_agg(line, chr(10) ORDER BY line) AS block FROM t GROUP BY src")
 def m24(spark, d):
     s = sampling.take_ordered(simple(spark, d), ["src"], [F.desc("multiplicity"), "seq"], 3)
     lines = s.select("src", F.concat(F.lit("- "), F.col("src").cast("string"), F.lit(" --"), "relation", F.lit("--> "), F.col("dst").cast("string")).alias("line"))

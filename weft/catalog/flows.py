@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.catalog.core import EDGE_SQL, MODES, PRED_SQL, SESSION_SQL, edges, predictions, query, sessions, table
+from weft.catalog.core import EDGE_SQL, MODES, PRED_SQL, SESSION_SQL, edges, query, sessions, table
 from weft.catalog.graphs import MEMBER, links, member, simple
 from weft.catalog.scores import LONG_SQL, tasks
 from weft.functions import measures
-from weft.operators import embedding, graph, iterative, joins, kernels, retrieval, sampling, scoring, series, summarize
+from weft.operators import graph, iterative, kernels, retrieval, sampling, scoring, summarize
 from weft.shared import fresh_path, written
 from weft.sources import readers
 from weft.streaming import incremental
@@ -73,16 +73,6 @@ def l11(spark, d):
     return retrieval.truncated(nodes(spark, d).withColumn("seed", F.col("id") % 100 == 0), 60).select("id", "degree")
 
 
-@query("q07_graph_leads", f"WITH RECURSIVE {EDGE_SQL}, {NODES}, w(id, hop) AS (SELECT min(c_custkey), 0 FROM customer UNION SELECT b, hop + 1 FROM w JOIN both_ ON a = id WHERE hop < 2), h AS (SELECT id, min(hop) AS hop FROM w GROUP BY id HAVING min(hop) > 0) SELECT h.id, round(0.35 * rank + 0.30 * (1 - rank) + 0.25 * 0.65 + 0.10 / (1 + hop) - 0.20 * ln(1 + degree) / ln(1 + (SELECT max(degree) FROM nd)), 6) AS score FROM h JOIN nd ON nd.id = h.id")
-def q07(spark, d):
-    n = nodes(spark, d)
-    seed = n.agg(F.min("id").alias("id"))
-    hops = iterative.bfs(graph.both(links(spark, d)), seed, 2).where("dist > 0").select("id", F.col("dist").alias("hop"))
-    top = n.agg(F.max("degree").alias("m"))
-    s = retrieval.lead_score(F.col("rank"), 1 - F.col("rank"), F.lit(0.65), F.col("hop"), F.col("degree"), F.col("m"))
-    return hops.join(n, "id").crossJoin(F.broadcast(top)).select("id", F.round(s, 6).alias("score"))
-
-
 @query("l07_greedy_pairs")
 def l07(spark, d):
     # the greedy choice goes through all candidates, best first, a block at a time; the report is small

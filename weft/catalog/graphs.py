@@ -150,15 +150,6 @@ def p10(spark, d):
     return table(spark, d, "part").groupBy(F.lower("p_name").alias("label"), "p_brand").agg(F.count("*").alias("c")).groupBy("label").agg(F.sum("c").alias("n"), F.count("*").alias("brands")).where("n > 1")
 
 
-@query("p11_quality_flags", f"{E} SELECT 'self_loop' AS flag, count(*) AS n FROM edge WHERE src = dst UNION ALL SELECT 'isolate', count(*) FROM customer WHERE c_custkey NOT IN (SELECT id FROM deg) UNION ALL SELECT 'weak_relation', count(*) FROM edge WHERE relation IN ('4-NOT SPECIFIED', '5-LOW')")
-def p11(spark, d):
-    e = edges(spark, d)
-    deg = graph.both(graph.links(e)).select(F.col("a").alias("c_custkey")).distinct()
-    alone = table(spark, d, "customer").join(deg, "c_custkey", "left_anti").agg(F.count("*").alias("isolate"))
-    flags = e.agg(F.count_if(F.col("src") == F.col("dst")).alias("self_loop"), F.count_if(F.col("relation").isin("4-NOT SPECIFIED", "5-LOW")).alias("weak_relation"))
-    return flags.crossJoin(F.broadcast(alone)).select(F.explode(F.array(*[F.struct(F.lit(c).alias("flag"), F.col(c).alias("n")) for c in ("self_loop", "isolate", "weak_relation")])).alias("x")).select("x.flag", "x.n")
-
-
 @query("j08_two_paths", f"{E} SELECT x.relation AS r1, y.relation AS r2, count(*) AS n FROM simple x JOIN simple y ON x.dst = y.src AND x.src <> y.dst GROUP BY 1, 2")
 def j08(spark, d):
     return graph.two_paths(simple(spark, d)).groupBy("r1", "r2").agg(F.count("*").alias("n"))

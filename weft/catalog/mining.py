@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.catalog.core import EDGE_SQL, edges, query, table
 from weft.catalog.graphs import links, member, simple
-from weft.catalog.rules import LABELS, pick
+from weft.catalog.rules import LABEL_SQL, LABELS, TOPIC, pick, quoted
 from weft.catalog.vectors import vectors
-from weft.operators import centrality, mining
+from weft.functions import labels
+from weft.operators import centrality, mining, sampling
+from weft.operators.graph import both
+from weft.operators.graph import links as graph_links
 from weft.shared import written
 
 E = f"WITH {EDGE_SQL}"
@@ -101,3 +105,44 @@ def m25(spark, d):
     e = edges(spark, d)
     born = e.select(F.col("src").alias("id"), "iter").union(e.select("dst", "iter")).groupBy("id").agg(F.min("iter").alias("iter"))
     return mining.recombinations(e, born, concept_vectors(spark, d)).withColumn("z", F.round("z", 5))
+
+
+@query("q07_graph_leads")
+def q07(spark, d):
+    v = concept_vectors(spark, d)
+    asked = v.orderBy("id").limit(1).first()["v"]
+    return mining.graph_leads(written(simple(spark, d), "simple"), names(spark, d), v, [float(x) for x in asked]).select("id", "seed", "hop", F.round("score", 6).alias("score"))
+
+
+@query("m22_path_pairs")
+def m22(spark, d):
+    # scored paths, then the greedy pick: label pairs once, each end twice at most
+    p = written(mining.path_pairs(written(simple(spark, d), "simple"), names(spark, d), TOPIC), "pairs")
+    best = F.row_number().over(Window.partitionBy("label_pair").orderBy(F.desc("score"), "source", "target"))
+    once = written(p.withColumn("rn", best).where("rn = 1"), "once")
+    picked = sampling.greedy_blocks(once, "score", "source", "target", 20, 2)
+    chosen = [(int(a), int(b)) for _, a, b, _ in picked]
+    rows = once.where(F.struct("source", "target").isin(*[F.struct(F.lit(a).cast("long"), F.lit(b).cast("long")) for a, b in chosen])) if chosen else once.limit(0)
+    return rows.select("source", "target", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "p11_quality_flags",
+    f"""{E}, {LABEL_SQL}, nm AS (SELECT c_custkey AS id, lab.* FROM customer JOIN lab ON i = c_custkey % {len(LABELS)}) SELECT 'self_loop' AS flag, count(*) AS n FROM edge WHERE src = dst UNION ALL SELECT 'isolate', count(*) FROM customer WHERE c_custkey NOT IN (SELECT id FROM deg)
+UNION ALL SELECT 'weak_relation', count(*) FROM edge WHERE relation IN ('4-NOT SPECIFIED', '5-LOW') UNION ALL SELECT 'duplicate_label', coalesce(sum(c), 0)::BIGINT FROM (SELECT count(*) AS c FROM nm WHERE norm <> '' GROUP BY norm HAVING count(*) > 1) UNION ALL SELECT 'generic_label', count(*) FROM nm WHERE s IN ({quoted(labels.GENERIC)}) OR norm IN ({quoted(labels.GENERIC)})""",
+)
+def p11(spark, d):
+    e = edges(spark, d)
+    linked = both(graph_links(e)).select(F.col("a").alias("c_custkey")).distinct()
+    n = names(spark, d)
+    flags = [
+        e.agg(F.count_if(F.col("src") == F.col("dst")).alias("n")).select(F.lit("self_loop").alias("flag"), "n"),
+        table(spark, d, "customer").join(linked, "c_custkey", "left_anti").agg(F.count("*").alias("n")).select(F.lit("isolate"), "n"),
+        e.agg(F.count_if(F.col("relation").isin("4-NOT SPECIFIED", "5-LOW")).alias("n")).select(F.lit("weak_relation"), "n"),
+        n.groupBy(labels.normal(F.col("label")).alias("k")).agg(F.count("*").alias("c")).where("c > 1 AND k <> ''").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).select(F.lit("duplicate_label"), "n"),
+        n.agg(F.count_if(F.array_contains(labels.noise_flags(F.col("label")), "generic")).alias("n")).select(F.lit("generic_label"), "n"),
+    ]
+    out = flags[0]
+    for f in flags[1:]:
+        out = out.union(f)
+    return out

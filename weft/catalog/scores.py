@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weft.catalog.core import MODE_SQL, MODES, query, sessions, table
 from weft.functions import measures, text

@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weft.catalog.core import EDGE_SQL, MODES, PRED_SQL, SESSION_SQL, edges, predictions, query, sessions, table
+from weft.catalog.core import EDGE_SQL, PRED_SQL, SESSION_SQL, edges, predictions, query, sessions, table
 from weft.catalog.flows import NODES, nodes
 from weft.catalog.graphs import MEMBER, links, member, simple
 from weft.catalog.scores import TRACE_SQL, traces
 from weft.functions import graphjson as gj
 from weft.functions import measures, text
-from weft.operators import embedding, graph, iterative, joins, kernels, retrieval, sampling, scoring, summarize
+from weft.operators import embedding, graph, iterative, kernels, sampling, scoring, summarize
 from weft.sources import readers
 
 E = f"WITH {EDGE_SQL}"
@@ -220,12 +220,12 @@ def m19(spark, d):
     return n.join(member(spark, d), "id").groupBy("module").agg(F.count_if(F.col("iter") > 40).alias("late"), F.count("*").alias("n"))
 
 
-@query("q04_bridge_suggestions", f"WITH RECURSIVE {EDGE_SQL}, {MEMBER}, a AS (SELECT module, arg_max(id, d * 100000 - id) AS id FROM deg JOIN member USING (id) GROUP BY 1), w(source, id, dist) AS (SELECT id, id, 0 FROM a UNION SELECT source, b, dist + 1 FROM w JOIN both_ ON both_.a = w.id WHERE dist < 2) SELECT source, w.id AS target, min(dist)::INT AS hops FROM w JOIN a ON a.id = w.id WHERE source < w.id GROUP BY 1, 2 HAVING min(dist) >= 2")
+@query("q04_bridge_suggestions", f"WITH RECURSIVE {EDGE_SQL}, {MEMBER}, a AS (SELECT module, arg_max(id, d * 100000 - id) AS id FROM deg JOIN member USING (id) GROUP BY 1), w(source, id, dist) AS (SELECT id, id, 0 FROM a UNION SELECT source, b, dist + 1 FROM w JOIN both_ ON both_.a = w.id WHERE dist < 8) SELECT source, w.id AS target, min(dist)::INT AS hops FROM w JOIN a ON a.id = w.id WHERE source < w.id GROUP BY 1, 2 HAVING min(dist) >= 2")
 def q04(spark, d):
     n = graph.both(links(spark, d))
     deg = n.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("d"))
     anchor = deg.join(member(spark, d), "id").groupBy("module").agg(F.max_by("id", F.struct("d", -F.col("id"))).alias("id")).select("id")
-    return iterative.bfs(n, anchor, 2).join(anchor, "id", "left_semi").where("source < id AND dist >= 2").select("source", F.col("id").alias("target"), F.col("dist").alias("hops"))
+    return iterative.bfs(n, anchor, 8).join(anchor, "id", "left_semi").where("source < id AND dist >= 2").select("source", F.col("id").alias("target"), F.col("dist").alias("hops"))
 
 
 @query("q09_provocations", f"{E}, {NODES}, c AS (SELECT id, 'central' AS kind, row_number() OVER (ORDER BY degree DESC, id) AS rn FROM nd QUALIFY rn <= 5), o AS (SELECT id, 'outlying' AS kind, row_number() OVER (ORDER BY rank, id) AS rn FROM nd QUALIFY rn <= 5) SELECT * FROM c UNION ALL SELECT * FROM o")

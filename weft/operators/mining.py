@@ -194,3 +194,86 @@ def recombinations(edges: DataFrame, born: DataFrame, vectors: DataFrame, below:
     found = met.groupBy("u", "v").agg(F.min(F.greatest("born_u", "born_v", "edge_u", "edge_v")).alias("iter"))
     scored = with_cosine(found, vectors, "u", "v").where("cosine IS NOT NULL").crossJoin(F.broadcast(pair_moments(vectors)))
     return scored.where("sd > 0").withColumn("z", (F.col("cosine") - F.col("mean")) / F.col("sd")).where(F.col("z") < below).select("u", "v", "z", "iter")
+
+
+def steps_of(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, x, y): the steps of ``path``, in order."""
+    return paths.select(*keys, "path", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("i", "x")).select(*keys, "i", "x", F.get("path", F.col("i") + 1).alias("y"))
+
+
+def with_relation(steps: DataFrame, simple: DataFrame) -> DataFrame:
+    """Steps with ``relation``: that of the edge x -> y, else of y -> x."""
+    there = simple.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("relation").alias("__r1"))
+    back = simple.select(F.col("dst").alias("x"), F.col("src").alias("y"), F.col("relation").alias("__r2"))
+    return steps.join(there, ["x", "y"], "left").join(back, ["x", "y"], "left").withColumn("relation", F.coalesce("__r1", "__r2")).drop("__r1", "__r2")
+
+
+def graph_leads(simple: DataFrame, names: DataFrame, vectors: DataFrame, query: list[float], defaults: DataFrame | None = None, seeds: int = 3, hops: int = 2, limit: int = 20) -> DataFrame:
+    """(id, seed, hop, path, similarity, ood, relation_quality, score): concepts near the best matches of a query, best first.
+
+    ``defaults`` (id, v) are vectors of answers given without the graph: ``ood`` is
+    one less the highest cosine to them, or to the query where there are none.
+    Each normalised label counts once; labels without content are left out.
+    """
+    from weft.operators.embedding import best_matches
+
+    score = F.aggregate(F.zip_with("v", F.array(*map(F.lit, query)), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    near = both(links(simple))
+    degree = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
+    own = written(vectors.select("id", "v", score.alias("similarity")).join(names, "id").where(~labels.bad_graph_label(F.col("label"))).join(degree, "id"), "own")
+    start = written(own.orderBy(F.desc("similarity"), "id").limit(seeds).select("id", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")).alias("rank")), "seeds")
+    reached = bfs(near, start.select("id"), hops).where("dist > 0").join(F.broadcast(start.withColumnRenamed("id", "source")), "source").join(F.broadcast(start.select("id")), "id", "left_anti")
+    best = reached.groupBy(F.col("id").alias("target")).agg(F.min(F.struct("dist", "rank", "source")).alias("b")).select("target", "b.source")
+    paths = written(shortest_paths(near, best.join(own.select(F.col("id").alias("target")), "target"), hops), "paths")
+    quality = with_relation(steps_of(paths, ["source", "target"]), simple).groupBy("target").agg(F.avg(labels.lead_relation_quality(F.col("relation"))).alias("relation_quality"))
+    found = paths.withColumnRenamed("target", "id").join(quality.withColumnRenamed("target", "id"), "id").join(own, "id")
+    if defaults is None:
+        found = found.withColumn("ood", 1 - F.col("similarity"))
+    else:
+        given = defaults.select((-F.col("id") - 1).alias("id"), F.lit(0.0).alias("ord"), "v")
+        nearest = best_matches(own.select("id", F.lit(0.0).alias("ord"), "v"), given, lambda a, b: (a == a) & (b == b))
+        found = found.join(nearest.select("id", (1 - F.col("similarity")).alias("ood")), "id")
+    top = degree.agg(F.max("degree").alias("top"))
+    from weft.operators.retrieval import lead_score
+
+    scored = found.crossJoin(F.broadcast(top)).withColumn("score", lead_score(F.col("similarity"), F.col("ood"), F.col("relation_quality"), F.col("dist"), F.col("degree"), F.col("top")))
+    once = scored.withColumn("rn", F.row_number().over(Window.partitionBy(labels.normal(F.col("label"))).orderBy(F.desc("score"), "id"))).where("rn = 1")
+    return once.orderBy(F.desc("score"), "id").limit(limit).select("id", F.col("source").alias("seed"), F.col("dist").alias("hop"), "path", "similarity", "ood", "relation_quality", "score")
+
+
+def path_pairs(simple: DataFrame, names: DataFrame, topic: str, pool: int = 60, min_hops: int = 2, max_hops: int = 6, least_anchors: int = 0, bridge_anchors: int = 1, generic_bridges: int = 0) -> DataFrame:
+    """(source, target, hops, path, label_pair, score): shortest paths between specific concepts that no rule rejects, with a composite score.
+
+    Ends are the first ``pool`` concepts by anchors, specificity and low degree.
+    """
+    u = links(simple)
+    near = both(u)
+    degree = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
+    label = F.col("label")
+    facts = written(names.join(degree, "id").select("id", "label", "degree", labels.key(label).alias("key"), labels.specificity(label).alias("spec"), labels.anchors(label).alias("anchors")), "facts")
+    local = F.col("key").isin(*labels.GENERIC_KEYS, *labels.LOCAL_KEYS)
+    fine = (F.col("spec") >= labels.SPECIFIC_LEAST) & ~local & labels.label_rejection(label, F.lit(topic), True, least_anchors).isNull()
+    ends = written(facts.where(fine).orderBy(F.desc("anchors"), F.desc("spec"), "degree", "id").limit(pool), "ends")
+    one, two = ends.select(F.col("id").alias("source")), ends.select(F.col("id").alias("target"))
+    pairs = one.join(F.broadcast(two), F.col("source") < F.col("target"))  # ``pool`` ends, a parameter
+    found = written(shortest_paths(near, pairs, max_hops).where(F.col("dist").between(min_hops, max_hops)), "found")
+    keys = ["source", "target"]
+    placed = found.select(*keys, (F.size("path") - 1).alias("last"), F.posexplode("path").alias("i", "id")).join(facts.withColumn("local", local), "id")
+    inner = (F.col("i") > 0) & (F.col("i") < F.col("last"))
+    by_place = F.array_sort(F.collect_list(F.struct("i", "label")))
+    sums = placed.groupBy(*keys).agg(
+        F.transform(by_place, lambda x: x["label"]).alias("labels"),
+        F.sum("anchors").alias("domain"),
+        F.coalesce(F.sum(F.when(inner, F.col("anchors"))), F.lit(0)).alias("inner_domain"),
+        F.count_if(inner & F.col("local")).alias("inner_generic"),
+        F.coalesce(F.sum(F.when(inner, F.log1p("degree"))), F.lit(0.0)).alias("inner_degree"),
+        F.sum(F.when(~inner, F.col("spec"))).alias("ends_spec"),
+    )
+    quality = with_relation(steps_of(found, keys), simple).groupBy(*keys).agg(F.avg(labels.insight_relation_quality(F.col("relation"))).alias("quality"))
+    a, b = labels.words(F.col("labels")[0]), labels.words(F.element_at("labels", -1))
+    shared, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    apart = F.when((F.size(a) == 0) | (F.size(b) == 0), 1.0).otherwise(1 - shared / F.greatest(union, F.lit(1)))
+    score = 1.2 * F.col("domain") + 0.8 * F.col("inner_domain") + 0.8 * F.col("quality") + 0.6 * apart + 0.2 * F.col("dist") + 0.25 * F.col("ends_spec") - 1.4 * F.col("inner_generic") - 0.15 * F.col("inner_degree") / F.greatest(F.col("dist") - 1, F.lit(1))
+    pair = F.array_join(F.array_sort(F.array(labels.key(F.col("labels")[0]), labels.key(F.element_at("labels", -1)))), " | ")
+    kept = found.join(sums, keys).join(quality, keys).where(labels.path_rejection(F.col("labels"), F.lit(topic), True, least_anchors, bridge_anchors, generic_bridges).isNull())
+    return kept.select(*keys, F.col("dist").alias("hops"), "path", pair.alias("label_pair"), score.alias("score"))

@@ -300,3 +300,23 @@ def test_html_spans_of_rows():
     rows = "<tr><td rowspan=0>a<td>b<tr><td>c</tr></tbody><tbody><tr><td>d<td>e"
     assert html_text.render(f"<table><tbody>{rows}</table>") == "a  b\n   c\nd  e"
     assert html_text.render("<table><tr><td rowspan=99999999>a<td>b<tr><td>c</table>") == "a  b\n   c"
+
+
+def test_stuck_workers_end_and_batches_are_small(spark):
+    tb.arrow_batches(spark)
+    conf = "spark.sql.execution.arrow.max{}PerBatch"
+    assert [int(spark.conf.get(conf.format(x)).removesuffix("b")) for x in ("Records", "Bytes")] == [tb.BATCH_ROWS, tb.BATCH_BYTES]
+
+    def sleeping(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(60)
+            yield batch
+
+    tb.end_stuck(spark, 3)
+    try:
+        with pytest.raises(Exception):  # noqa: B017  one attempt a task in local mode
+            spark.range(1).mapInArrow(sleeping, "id long").collect()
+    finally:
+        tb.end_stuck(spark, tb.STUCK_S)

@@ -53,3 +53,25 @@ def test_nothing_else_imports_this_subpackage(tmp_path):
     repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     block = "import sys; sys.modules['weft.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries()) and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", block], cwd=repo, check=True)
+
+
+def test_the_rest_works_where_these_files_are_gone(tmp_path):
+    import shutil
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    bare = str(tmp_path / "bare")
+    shutil.copytree(repo, bare, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", ".pytest_cache"))
+    check = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
+    subprocess.run([sys.executable, "-c", check], cwd=bare, check=True)
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=bare, check=True, stdout=subprocess.DEVNULL)
+
+
+def test_errors_within_the_subpackage_are_not_hidden(tmp_path):
+    import shutil
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    broken = str(tmp_path / "broken")
+    shutil.copytree(repo, broken, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "tests"))
+    with open(f"{broken}/weft/llm/bpe.py", "a") as f:
+        f.write("\nimport a_module_that_nobody_has\n")
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=broken, stderr=subprocess.DEVNULL).returncode

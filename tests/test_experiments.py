@@ -113,3 +113,33 @@ def test_small_world(spark):
         assert (r.nodes, r.links) == (12, 25) and r.clustering == pytest.approx(c) and r.distance == pytest.approx(length)
         assert r.sigma == pytest.approx(c / (k / 11) / (length / (math.log(12) / math.log(k)))) and r.omega == pytest.approx(math.log(12) / math.log(k) / length - c / (3 * (k - 2) / (4 * (k - 1))))
     assert centrality.small_world(df.where("u = 50")).count() == 0
+
+
+def test_stream_of_concepts_ends_like_the_batch(spark):
+    import os
+
+    from weft.operators.embedding import sequential_dedup
+
+    path = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    stream = incremental.concept_upsert(incremental.source(spark, path, 1), "label", "vec_id", "embedding", 0.3)
+    batch = sequential_dedup(spark.read.parquet(path), "label", "vec_id", "embedding", 0.3)
+    got = sorted((r.graph_id, r.id, r.merged_into) for r in incremental.drained(stream).collect())
+    assert got == sorted((r.label, r.id, r.merged_into) for r in batch.collect()) and any(a != b for _, a, b in got)
+
+
+def test_principal_variance_like_numpy(spark):
+    import os
+
+    import numpy as np
+
+    from weft.catalog import all_queries
+
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    x = np.array([r.embedding for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()])
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    got = [r.explained for r in all_queries()["v09_principal_variance"](spark, data).orderBy("component").collect()]
+    assert got == pytest.approx((values[:2] / values.sum()).tolist(), rel=1e-4)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from weft.catalog.core import EDGE_SQL, edges, query, sessions, table
+from weft.catalog.core import EDGE_SQL, SQL, edges, query, sessions, table
 from weft.catalog.flows import nodes
 from weft.catalog.graphs import links, member, simple
 from weft.operators import graph, iterative, kernels, retrieval, sampling
@@ -88,7 +88,21 @@ def m24(spark, d):
     return lines.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("block"))
 
 
-@query("k09_profile_report")
+_PROFILE = {
+    "nodes": f"SELECT nodes FROM ({SQL['g02b_graph_stats']})",
+    "edges": f"SELECT edges FROM ({SQL['g02b_graph_stats']})",
+    "max degree": f"SELECT max(degree) FROM ({SQL['g02_degrees']})",
+    "components": f"SELECT count(DISTINCT component) FROM ({SQL['g03_components']})",
+    "largest share": f"SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM ({SQL['g03_components']}) GROUP BY component)",
+    "average clustering": f"SELECT avg(clustering) FROM ({SQL['c06_clustering']})",
+    "reciprocity": f"SELECT reciprocity FROM ({SQL['c08_reciprocity']})",
+    "assortativity": f"SELECT assortativity FROM ({SQL['c08b_assortativity']})",
+    "modularity": f"SELECT q FROM ({SQL['c09b_modularity']})",
+    "self loops": f"SELECT loops FROM ({SQL['g02b_graph_stats']})",
+}
+
+
+@query("k09_profile_report", " UNION ALL ".join(f"SELECT '{name}' AS metric, round((({sql})::DOUBLE), 6) AS value" for name, sql in _PROFILE.items()))
 def k09(spark, d):
     s, u = simple(spark, d), links(spark, d)
     deg = graph.degrees(s)
@@ -110,7 +124,7 @@ def k09(spark, d):
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out
+    return out.withColumn("value", F.round("value", 6))
 
 
 @query("q08_path_leads")

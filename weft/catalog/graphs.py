@@ -252,9 +252,21 @@ def m04(spark, d):
     return x.join(y, ["r1", "r2"]).where((F.col("rn") < F.col("rn2")) & ~F.arrays_overlap("n", "n2")).groupBy("r1", "r2").agg(F.count("*").alias("pairs"))
 
 
-@query("m11_motifs", f"{E}, i AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY seq) AS rn FROM simple QUALIFY rn <= 36), o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY seq) AS rn FROM simple QUALIFY rn <= 36) SELECT i.relation AS r1, o.relation AS r2, count(*) AS n FROM i JOIN o ON i.dst = o.src AND i.src <> o.dst GROUP BY 1, 2")
+def _same(x: str, y: str, no: str) -> str:
+    return f"CASE WHEN {x}.module = {y}.module THEN 'same' ELSE '{no}' END"
+
+
+@query(
+    "m11_motifs",
+    f"""{E}, {MEMBER}, i AS (SELECT s.* FROM simple s JOIN deg ON deg.id = src QUALIFY row_number() OVER (PARTITION BY dst ORDER BY d DESC, seq) <= 36), o AS (SELECT s.* FROM simple s JOIN deg ON deg.id = dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY d DESC, seq) <= 36),
+p AS (SELECT i.relation AS r1, o.relation AS r2, concat('source-middle:', {_same("x", "y", "cross")}, '; middle-target:', {_same("y", "z", "cross")}, '; endpoints:', {_same("x", "z", "different")}) AS role, concat(i.src, '>', i.dst, '>', o.dst) AS t, i.seq AS s1, o.seq AS s2
+FROM i JOIN o ON i.dst = o.src AND i.src <> o.dst JOIN member x ON x.id = i.src JOIN member y ON y.id = i.dst JOIN member z ON z.id = o.dst WHERE NOT (x.module = y.module AND y.module = z.module))
+SELECT r1, r2, role, count(*) AS n, array_to_string((list(t ORDER BY s1, s2))[1:4], ' ') AS examples FROM p GROUP BY 1, 2, 3""",
+)
 def m11(spark, d):
-    return graph.motifs(simple(spark, d))
+    s = simple(spark, d)
+    rank = graph.both(graph.links(s)).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("rank"))
+    return graph.motifs(s, member(spark, d), rank).withColumn("examples", F.array_join("examples", " "))
 
 
 @query("m12_structural_analogies", f"{S}, w AS (SELECT graph_id AS id, concat(src, relation) AS k, count(*)::DOUBLE AS w FROM hop GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1) SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w) / any_value(p.n * q.n), 6) AS cosine, count(*) AS shared FROM w x JOIN w y ON x.k = y.k AND x.id < y.id JOIN n p ON p.id = x.id JOIN n q ON q.id = y.id GROUP BY 1, 2 HAVING sum(x.w * y.w) / any_value(p.n * q.n) >= 0.55 AND count(*) >= 2")

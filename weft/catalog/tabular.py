@@ -144,18 +144,21 @@ def a20(spark, d):
     return wide.select("step", *[F.coalesce(c, F.lit(0)).alias(c) if c.endswith("_n") else F.col(c) for c in wide.columns if c != "step"])
 
 
-@query("a21_tag_coverage", "SELECT role, count(*) AS n, count(*) FILTER (WHERE text LIKE '%.%') AS with_stop, count(*) FILTER (WHERE contains(text, chr(10))) AS with_break, sum(length(text))::BIGINT AS chars, count(*) FILTER (WHERE text IS NULL OR text = '') AS empty FROM conversations GROUP BY role")
+_TAGGED = "CASE turn % 4 WHEN 0 THEN concat('<think>', text, '</think><answer>', role, '</answer>') WHEN 1 THEN concat('<think>', text) WHEN 2 THEN concat('<answer>', chr(10), text, '</answer>') ELSE text END"
+
+
+@query("a21_tag_coverage", f"SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(t, '(?s)<think>.*?</think>')) AS with_think, count(*) FILTER (WHERE regexp_matches(t, '(?s)<answer>.*?</answer>')) AS with_answer, round(sum(turn * 0.5), 4)::DOUBLE AS seconds, sum(length(text))::BIGINT AS tokens, count(*) FILTER (WHERE conv_id % 7 = 0) AS errors FROM (SELECT *, {_TAGGED} AS t FROM conversations) GROUP BY role")
 def a21(spark, d):
-    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("text").contains(".")).alias("with_stop"), F.count_if(F.col("text").contains("\n")).alias("with_break"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empty"))
+    tagged = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think><answer>"), "role", F.lit("</answer>"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("<think>"), "text")).when(F.col("turn") % 4 == 2, F.concat(F.lit("<answer>\n"), "text", F.lit("</answer>"))).otherwise(F.col("text"))
+    c = table(spark, d, "conversations").select("role", tagged.alias("t"), (F.col("turn") * 0.5).alias("seconds"), F.length("text").cast("long").alias("tokens"), F.when(F.col("conv_id") % 7 == 0, "timeout").alias("error"))
+    return summarize.tag_coverage(c, ["role"], "t", ["think", "answer"], "seconds", "tokens", "error").withColumn("seconds", F.round("seconds", 4))
 
 
-@query("a22_births", "WITH n AS (SELECT m, count(*) AS nodes FROM (SELECT o_custkey, min(date_trunc('month', o_orderdate)::DATE) AS m FROM orders GROUP BY 1) GROUP BY m), e AS (SELECT date_trunc('month', o_orderdate)::DATE AS m, count(*) AS edges FROM orders GROUP BY 1) SELECT strftime(coalesce(n.m, e.m), '%Y-%m') AS month, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, coalesce(nodes, 0) = 0 AS zero_yield FROM n FULL OUTER JOIN e ON n.m = e.m")
+@query("a22_births", "WITH o AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, floor(o_totalprice / 100)::BIGINT AS t FROM orders), n AS (SELECT month, count(*) AS nodes FROM (SELECT o_custkey, min(month) AS month FROM o GROUP BY 1) GROUP BY 1), e AS (SELECT month, count(*) AS edges, sum(t)::BIGINT AS tokens FROM o GROUP BY 1) SELECT month, coalesce(nodes, 0) AS nodes, edges, tokens, coalesce(nodes, 0) = 0 AS zero_yield, coalesce(nodes, 0) = 0 AND tokens >= 1000 AS high_token_zero_yield FROM e LEFT JOIN n USING (month)")
 def a22(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-    n = o.groupBy("o_custkey").agg(F.min("month").alias("month")).groupBy("month").agg(F.count("*").alias("nodes"))
-    e = o.groupBy("month").agg(F.count("*").alias("edges"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return n.join(e, "month", "full_outer").select("month", zero("nodes").alias("nodes"), zero("edges").alias("edges"), (zero("nodes") == 0).alias("zero_yield"))
+    o = table(spark, d, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.floor(F.col("o_totalprice") / 100).alias("t"))
+    born = o.groupBy("o_custkey").agg(F.min("month").alias("month"))
+    return summarize.births(born, o, o.groupBy("month").agg(F.sum("t").alias("tokens")), "month")
 
 
 @query("j01_prediction_reference", f"{P} SELECT pred.variant_index, pred.mode, value, count(l_partkey) AS targets FROM pred LEFT JOIN lineitem ON l_orderkey::VARCHAR = variant_index GROUP BY 1, 2, 3")

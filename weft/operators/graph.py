@@ -154,13 +154,30 @@ def hubs(degree: DataFrame, low: int = 10, high: int = 50, share: float = 0.01)
     return top.withColumn("rank", rank).where(F.col("rank") <= F.greatest(F.lit(low), F.least(F.lit(high), F.ceil(F.col("n") * share)))).select("id", "degree")
 
 
-def motifs(simple: DataFrame, cap: int = 36) -> DataFrame:
-    """Counts of (r1, r2) over two-paths, each middle node giving at most ``cap`` edges a side, in order."""
-    inner = simple.withColumn("rn", F.row_number().over(Window.partitionBy("dst").orderBy("seq"))).where(F.col("rn") <= cap).drop("rn")
-    outer = simple.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("seq"))).where(F.col("rn") <= cap).drop("rn")
-    left = inner.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relation").alias("r1"))
-    right = outer.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("relation").alias("r2"))
-    return left.join(right, "b").where("a <> c").groupBy("r1", "r2").agg(F.count("*").alias("n"))
+def motifs(simple: DataFrame, member: DataFrame, rank: DataFrame, cap: int = 36, examples: int = 4) -> DataFrame:
+    """(r1, r2, role, n, examples): two-paths through more than one module by their relations and by which ends share a module.
+
+    Each middle node gives at most ``cap`` edges a side, those with the ends of highest ``rank`` (id, rank)
+    first, ties by seq.  Examples are the first paths ``a>b>c`` in order.
+    """
+    e = simple.select("src", "dst", "relation", "seq")
+    def side(end: str, mid: str) -> DataFrame:
+        ranked = e.join(rank.select(F.col("id").alias(end), "rank"), end, "left")
+        return ranked.withColumn("rn", F.row_number().over(Window.partitionBy(mid).orderBy(F.desc("rank"), "seq"))).where(F.col("rn") <= cap)
+
+    left = side("src", "dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relation").alias("r1"), F.col("seq").alias("s1"))
+    right = side("dst", "src").select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("relation").alias("r2"), F.col("seq").alias("s2"))
+    p = left.join(right, "b").where("a <> c")
+    for x in "abc":
+        p = p.join(member.select(F.col("id").alias(x), F.col("module").alias(f"m{x}")), x, "left")
+    same = lambda x, y, no: F.when(F.col(x).eqNullSafe(F.col(y)), "same").otherwise(no)
+    role = F.concat(F.lit("source-middle:"), same("ma", "mb", "cross"), F.lit("; middle-target:"), same("mb", "mc", "cross"), F.lit("; endpoints:"), same("ma", "mc", "different"))
+    kinds = F.size(F.array_distinct(F.array_compact(F.array("ma", "mb", "mc"))))
+    p = p.where(kinds > 1).withColumn("role", role)
+    first = p.withColumn("rn", F.row_number().over(Window.partitionBy("r1", "r2", "role").orderBy("s1", "s2"))).where(F.col("rn") <= examples)
+    shown = first.groupBy("r1", "r2", "role").agg(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws(">", "a", "b", "c").alias("t")))).alias("x"))
+    counts = p.groupBy("r1", "r2", "role").agg(F.count("*").alias("n"))
+    return counts.join(shown, ["r1", "r2", "role"]).select("r1", "r2", "role", "n", F.transform("x", lambda x: x["t"]).alias("examples"))
 
 
 def signature_cosine(sparse: DataFrame, least: float, shared: int) -> DataFrame:

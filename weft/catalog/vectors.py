@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weft.catalog.core import EDGE_SQL, edges, query, table
+from weft.catalog.core import EDGE_SQL, SQL, edges, query, table
 from weft.functions import measures
 from weft.operators import embedding, graph, series
 
@@ -102,10 +102,12 @@ def w14(spark, d):
     return embedding.arrival_novelty(table(spark, d, "embeddings"), "label", "vec_id", "embedding").withColumn("novelty", F.round("novelty", 5))
 
 
-@query("w15_novel_counts", f"{D}, m AS (SELECT quantile_cont(n::DOUBLE, 0.5) AS med FROM day) SELECT floor((step - 1) / 5)::BIGINT AS bin, count(*) FILTER (WHERE n >= med) AS novel, count(*) FILTER (WHERE n < med) AS consolidating FROM day, m GROUP BY 1")
+@query("w15_novel_counts", f"WITH a AS ({SQL['w14_arrival_novelty']}), m AS (SELECT quantile_cont(novelty, 0.5) AS med FROM a WHERE novelty IS NOT NULL) SELECT vec_id // 25 AS bin, count(*) FILTER (WHERE novelty >= med) AS novel, count(*) FILTER (WHERE novelty < med) AS consolidating FROM a, m WHERE novelty IS NOT NULL GROUP BY 1")
 def w15(spark, d):
-    x = days(spark, d)
-    return x.crossJoin(F.broadcast(x.agg(F.percentile("n", 0.5).alias("med")))).groupBy(F.floor((F.col("step") - 1) / 5).alias("bin")).agg(F.count_if(F.col("n") >= F.col("med")).alias("novel"), F.count_if(F.col("n") < F.col("med")).alias("consolidating"))
+    x = w14(spark, d).where("novelty IS NOT NULL")
+    # the median of all arrivals, one row
+    median = x.agg(F.percentile("novelty", 0.5).alias("med"))
+    return x.crossJoin(F.broadcast(median)).groupBy(F.floor(F.col("vec_id") / 25).alias("bin")).agg(F.count_if(F.col("novelty") >= F.col("med")).alias("novel"), F.count_if(F.col("novelty") < F.col("med")).alias("consolidating"))
 
 
 @query("w16_radius", "WITH s AS (SELECT label, arg_min(embedding, vec_id) AS c FROM embeddings GROUP BY 1), r AS (SELECT label, 1 - list_dot_product(embedding::DOUBLE[], c::DOUBLE[]) AS d FROM embeddings JOIN s USING (label)) SELECT label, round(avg(d), 5) AS mean, round(quantile_cont(d, 0.25), 5) AS p25, round(quantile_cont(d, 0.75), 5) AS p75 FROM r GROUP BY 1")

@@ -5,7 +5,7 @@ bits share at least 8 - k positional bytes; with k = 4 the guaranteed minimum is
 four.  The index posts each distinct fingerprint under every choice of three
 positions (one less than the minimum) together with the bytes there, so every pair
 that reaches the minimum meets in some posting.  (Postings of single bytes would
-tally a 64th of all pairs, those of two bytes a 2,300th, and both counts grow with
+tally a 32nd of all pairs, those of two bytes a 2,300th, and both counts grow with
 the square of the corpus before any pair is known to be near.)  In a posting, the
 shared positional bytes of each pair are tallied; pairs that share the three of the
 posting alone are below the minimum and leave; the rest are verified by Hamming distance.

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, decontam, html_text, langid, license_scan, line_dedup, quality, sampling, simhash, toxicity, vector_links
+from weft.llm import bpe, conversation_repair, decontam, hard_negatives, html_text, langid, license_scan, line_dedup, quality, sampling, simhash, toxicity, vector_links
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector; every 7th vector has a wrong label first."""
+    rows = table(spark, sf_dir, "embeddings")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", wrong.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+def damage_key() -> Column:
+    """``conv_id:turn``, a null as one space."""
+    return F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after damage by a checksum."""
+    given = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(conversation_repair.cleaned(given), damage_key()), given)
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
@@ -110,6 +128,19 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r)
 """
 
 
+OP11_SQL = r"""
+WITH g AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS v FROM embeddings),
+r AS (SELECT row_number() OVER () AS r, vec_id, label, len(v) AS d, list_transform(v, lambda x: floor(256 * x)) AS q FROM g
+      WHERE label IS NOT NULL AND vec_id IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, b.label = a.label AS same, list_dot_product(a.q, b.q)::BIGINT AS s
+      FROM r AS a JOIN r AS b ON a.d = b.d AND a.r <> b.r WHERE a.vec_id % 50 = 0 AND a.d > 0),
+p AS (SELECT a, anchor_id, b AS p, vec_id AS positive_id, s AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, vec_id, b) <= 5),
+n AS (SELECT p.a, p.p, anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.s AS negative_score, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.s DESC, s.vec_id, s.b) AS k
+      FROM p JOIN s USING (a, anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.s AND 100 * s.s <= 95 * positive_score)
+SELECT anchor_id, positive_id, k::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
     return {
@@ -123,9 +154,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_language_id": op9_language_id,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {"op1_line_dedup": OP1_SQL, "op8_decontamination": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_decontamination": OP8_SQL, "op11_hard_negatives": OP11_SQL}

@@ -311,12 +311,29 @@ def test_stuck_workers_end_and_batches_are_small(spark):
         import time
 
         for batch in batches:
-            time.sleep(60)
+            with tb.watched(10, 2):
+                time.sleep(60)
             yield batch
 
-    tb.end_stuck(spark, 3)
-    try:
-        with pytest.raises(Exception):  # noqa: B017  one attempt a task in local mode
-            spark.range(1).mapInArrow(sleeping, "id long").collect()
-    finally:
-        tb.end_stuck(spark, tb.STUCK_S)
+    with pytest.raises(Exception):  # noqa: B017  one attempt a task in local mode
+        spark.range(1).mapInArrow(sleeping, "id long").collect()
+
+
+def test_slow_workers_of_other_queries_live(spark):
+    """No setting of the session ends them, and waiting for input is not watched."""
+    kill = "spark.sql.execution.pyspark.udf.killOnIdleTimeout"
+    before = spark.conf.get(kill, "false")
+    docs = spark.createDataFrame([(1, "<p>x")], "page_id long, html string")
+    assert html_text.extract(docs).count() == 1
+    assert spark.conf.get(kill, "false") == before == "false"
+
+    def slow(batches):
+        import time
+
+        for batch in batches:
+            with tb.watched(10, 2):
+                time.sleep(0.5)
+            time.sleep(4)
+            yield batch
+
+    assert spark.range(3).coalesce(1).mapInArrow(slow, "id long").count() == 3

@@ -25,6 +25,7 @@ COLUMNS = {
     "op10_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
     "op12_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op13_lattice_lm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
 }
 
 
@@ -41,7 +42,7 @@ def test_columns_and_rows(spark, name):
     source = {"op6_html_text": "pages", "op7_embedding_links": "embeddings"}.get(name, "documents")
     rows = df.collect()
     assert len(rows) == spark.read.parquet(f"{DATA}/{source}.parquet").count()
-    if "score" in kinds:
+    if "score" in kinds and name != "op13_lattice_lm":
         assert all(0 <= r.score <= 1 for r in rows)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, conversation_repair, decontam, hard_negatives, html_text, langid, license_scan, line_dedup, quality, sampling, simhash, toxicity, vector_links
+from weft.llm import bpe, conversation_repair, decontam, hard_negatives, html_text, langid, lattice_lm, license_scan, line_dedup, quality, sampling, simhash, toxicity, vector_links
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(conversation_repair.cleaned(given), damage_key()), given)
 
 
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document by all its segmentations; fold 2 of 7 is held out."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice_lm.score(docs, sampling.in_fold(F.col("doc_id"), 7, 2), lattice_lm.file_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
@@ -156,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_byte_bpe": op10_byte_bpe,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_lattice_lm": op13_lattice_lm,
     }
 
 

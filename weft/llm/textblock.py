@@ -9,7 +9,10 @@ found with Arrow's dictionary encoding.  Nothing here loops over words.
 
 from __future__ import annotations
 
+import faulthandler
+import sys
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +34,31 @@ NON_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 #: Rows and bytes that Spark puts in one Arrow batch at most: texts may be long, so few.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-#: Seconds after which a worker that neither reads nor writes is stuck and its task starts again elsewhere; a block takes a few.
-STUCK_S = 240
+#: A block that computes for longer than this, and a second more for every so many bytes, is stuck: its worker ends and the task starts again elsewhere.
+STUCK_S, SLOW_BYTES = 240, 20_000
 
 
 def arrow_batches(spark) -> None:
-    """Settings of Python workers for this session: small Arrow batches, and an end for workers that stand still.
-
-    Spark reads them when a plan runs, so they cannot be scoped to one plan.  Batches only get smaller.
-    """
+    """Small Arrow batches for the plans of this session; Spark reads the bounds when a plan runs, and batches only get smaller."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")
         now = int(now) if now.lstrip("-").isdecimal() else 0  # 0 or less: no bound; sizes may carry a unit
         if not 0 < now <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
-    end_stuck(spark, STUCK_S)
 
 
-def end_stuck(spark, seconds: int) -> None:
-    """End workers of this session that neither read nor write for so long; their tasks start again."""
-    spark.conf.set("spark.sql.execution.pyspark.udf.idleTimeoutSeconds", str(seconds))
-    spark.conf.set("spark.sql.execution.pyspark.udf.killOnIdleTimeout", "true")
-    spark.conf.set("spark.sql.execution.pyspark.udf.tracebackDumpIntervalSeconds", str(seconds // 2))
+@contextmanager
+def watched(size: int, seconds: float = STUCK_S) -> Iterator[None]:
+    """End this worker, with its stack in the executor's log, if the block of ``size`` bytes within takes far too long.
+
+    Only the computation of one block is watched, in the worker that does it: waiting for
+    input counts for nothing, and no other query of the session is touched.
+    """
+    faulthandler.dump_traceback_later(seconds + size / SLOW_BYTES, exit=True, file=sys.__stderr__ or 2)
+    try:
+        yield
+    finally:
+        faulthandler.cancel_dump_traceback_later()
 
 
 def iter_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int, text: str = "text") -> Iterator[pa.Table]:
@@ -176,7 +182,9 @@ def map_texts(df: DataFrame, text: str, new: list[T.StructField], start: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
         for block in iter_blocks(batches, max_bytes, column):
-            found = compute(*text_bytes(block.column(column)))
+            data, offsets = text_bytes(block.column(column))
+            with watched(len(data)):
+                found = compute(data, offsets)
             out = [*[block.column(f"c{i}") for i in kept], *[found[f.name] for f in new]]
             yield from pa.table(out, schema=arrow).combine_chunks().to_batches()
 

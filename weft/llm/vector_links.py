@@ -39,7 +39,7 @@ from weft.shared import written
 SHARD, LEAST_SHARDS, BLOCK = 65_536, 8, 8192
 #: Bytes of a shard's vectors (as doubles and floats) and of a block's (as doubles).
 SHARD_BYTES, BLOCK_BYTES = 128 << 20, 32 << 20
-#: Seconds that a shard's graph may take without a sign of life.
+#: Seconds that a shard's graph may take.
 STUCK_S = 3600
 LINKS, DIVERSE, RATIO = 20, 10, 16
 BEAM, BUILD_BEAM, RECALL = 32, 48, 0.98
@@ -265,7 +265,9 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.random.default_rng(1).permutation(len(pdf))
     pdf = pdf.sort_values("cid", kind="stable").iloc[order]
     unit = unit_rows(pdf.v)
-    blob = pickle.dumps((ShardIndex(unit.astype(np.float32)), pdf.cid.to_numpy(), pdf.n.to_numpy(), unit))
+    with tb.watched(0, STUCK_S):
+        index = ShardIndex(unit.astype(np.float32))
+    blob = pickle.dumps((index, pdf.cid.to_numpy(), pdf.n.to_numpy(), unit))
     return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "blob": [blob]})
 
 
@@ -307,7 +309,6 @@ def _querier(least: float, hot: int):
 
 def link_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", hot: int = HOT, shard: int = SHARD, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors``."""
-    tb.end_stuck(vectors.sparkSession, STUCK_S)
     given = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[embedding].cast("array<double>").alias("v"))
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     given = given.withColumn("ok", F.coalesce(fine, F.lit(False)))

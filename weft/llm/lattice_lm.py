@@ -13,8 +13,8 @@ a trie of the pieces together, then the chunks, longest first, advance a byte at
 above ``WIDE`` bytes are walked place by place in constant memory but for ``a``.
 
 **Learning.**  The file's scores are the first estimate; where they are ranks (merges in
-order), a piece's share is that of Zipf's law.  One pass of expected counts, forward and
-backward over every training text and weighted by how often a chunk occurs, gives each
+order), a piece's share is that of Zipf's law.  ``rounds`` passes of expected counts, forward
+and backward over every training text and weighted by how often a chunk occurs, give each
 piece its share, smoothed by the first estimate.  A task sends one number a piece at most.
 
 **Base score.**  Words of a block are counted once; of each distinct word one row goes to
@@ -289,6 +289,31 @@ def _of_rows(bounds: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return np.repeat(kept, np.diff(bounds))
 
 
+def _expect(model: Lattice, data: np.ndarray, offsets: np.ndarray, train: np.ndarray, mass: np.ndarray) -> None:
+    """Add the expected pieces of a block's training texts to ``mass``."""
+    numbers, distinct, bounds = chunks_of(model, data, offsets)
+    weights = np.bincount(numbers[_of_rows(bounds, train)], minlength=len(distinct)).astype(float)
+    used = np.flatnonzero(weights)
+    with tb.watched(len(data)):
+        model.marginals(distinct.take(pa.array(used)), weights[used], mass)
+
+
+def _later_pass(lattice):
+    """Expected pieces of the blocks under another estimate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Lattice = lattice.value
+        mass = np.zeros(len(model.logp))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data, offsets = tb.text_bytes(batch.column("texts")[i].values)
+                _expect(model, data, offsets, ~np.array(batch.column("held")[i].as_py(), bool), mass)
+        found = np.flatnonzero(mass)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(mass[found])], ["piece", "mass"])
+
+    return run
+
+
 def _first_pass(lattice, block_bytes: int):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -313,11 +338,7 @@ def _first_pass(lattice, block_bytes: int):
             numbers, distinct, bounds = words_of(data, offsets)
             n = np.bincount(numbers[_of_rows(bounds, train)], minlength=len(distinct))
             yield rows(len(distinct), 1, block=pa.array(np.full(len(distinct), number)), idx=pa.array(np.arange(len(distinct), dtype=np.int32)), word=distinct, n=pa.array(n))
-            numbers, distinct, bounds = chunks_of(model, data, offsets)
-            weights = np.bincount(numbers[_of_rows(bounds, train)], minlength=len(distinct)).astype(float)
-            with tb.watched(len(data)):
-                used = np.flatnonzero(weights)
-                model.marginals(distinct.take(pa.array(used)), weights[used], mass)
+            _expect(model, data, offsets, train, mass)
         found = np.flatnonzero(mass)
         yield rows(len(found), 2, piece=pa.array(found.astype(np.int32)), mass=pa.array(mass[found]))
 
@@ -355,10 +376,10 @@ def _second_pass(lattice, end_known: int):
     return run
 
 
-def score(docs: DataFrame, held: Column, pieces: list[tuple[bytes, float]], block_bytes: int = BLOCK_BYTES, prior: float = PRIOR) -> DataFrame:
+def score(docs: DataFrame, held: Column, pieces: list[tuple[bytes, float]], block_bytes: int = BLOCK_BYTES, prior: float = PRIOR, rounds: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): scores are log10 probabilities of whole texts.
 
-    Rows for which ``held`` is true are not learned from.
+    Rows for which ``held`` is true are not learned from.  ``rounds`` is 1 at least.
     """
     spark = docs.sparkSession
     tb.arrow_batches(spark)
@@ -368,13 +389,16 @@ def score(docs: DataFrame, held: Column, pieces: list[tuple[bytes, float]], bloc
     table = written(given.mapInArrow(_first_pass(shared, block_bytes), FIRST), "blocks")
     blocks = table.where("kind = 0").select("block", "doc_ids", "held", "texts")
     train_docs = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
-    masses = table.where("kind = 2").groupBy("piece").agg(F.sum("mass").alias("mass")).toArrow()  # one row a piece at most
-    mass = np.zeros(len(first.logp) + 1)
-    mass[masses.column("piece").to_numpy()] = masses.column("mass").to_numpy()
-    mass[-1] = train_docs
-    share = mass + prior * np.exp(np.append(first.logp, first.log_end))
-    logs = np.log(share / share.sum())
-    learned = Lattice(first.shift, first.owner, first.piece, first.pairs, logs[:-1], float(logs[-1]), first.longest)
+    estimate = np.append(first.logp, first.log_end)
+    for turn in range(rounds):
+        found = table.where("kind = 2").select("piece", "mass") if not turn else blocks.select("held", "texts").mapInArrow(_later_pass(spark.sparkContext.broadcast(learned)), "piece int, mass double")
+        masses = found.groupBy("piece").agg(F.sum("mass").alias("mass")).toArrow()  # one row a piece at most
+        mass = np.zeros(len(estimate))
+        mass[masses.column("piece").to_numpy()] = masses.column("mass").to_numpy()
+        mass[-1] = train_docs
+        share = mass + prior * np.exp(estimate)
+        logs = np.log(share / share.sum())
+        learned = Lattice(first.shift, first.owner, first.piece, first.pairs, logs[:-1], float(logs[-1]), first.longest)
     same = Window.partitionBy("word")
     words = table.where("kind = 1").select("block", "idx", "word", "n")
     counted = written(words.select("block", "idx", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block", "idx")) == 1).alias("first")), "counts")

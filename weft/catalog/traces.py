@@ -12,7 +12,7 @@ from weft.catalog.graphs import MEMBER, links, member, simple
 from weft.catalog.scores import TRACE_SQL, traces
 from weft.functions import graphjson as gj
 from weft.functions import measures, text
-from weft.operators import embedding, graph, iterative, kernels, sampling, scoring, summarize
+from weft.operators import embedding, graph, isomorphism, iterative, kernels, sampling, scoring, summarize
 from weft.sources import readers
 
 E = f"WITH {EDGE_SQL}"
@@ -193,24 +193,7 @@ def n04(spark, d):
 
 @query("m16_module_isomorphism")
 def m16(spark, d):
-    # graphs with equal colour signatures are compared with their bucket's representatives
-    c = iterative.refine_colours(sessions(spark, d), ["graph_id"], 2).groupBy("graph_id").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("colour")), ",")).alias("bucket"))
-    e = sessions(spark, d).groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "relation")).alias("e"))
-
-    def classes(pdf):
-        reps, out = [], []
-        for g, es in zip(pdf.graph_id, pdf.e, strict=True):
-            es = [(x["src"], x["dst"], x["relation"]) for x in es]
-            k = next((r for r, other in reps if kernels.isomorphic(other, es)), None)
-            if k is None:
-                reps.append((g, es))
-                k = g
-            out.append((g, k))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["graph_id", "same_as"])
-
-    return c.join(e, "graph_id").orderBy("graph_id").groupBy("bucket").applyInPandas(classes, "graph_id long, same_as long")
+    return isomorphism.graph_classes(sessions(spark, d))
 
 
 @query("m19_late_arrivals", f"{E}, {MEMBER} SELECT module, count(*) FILTER (WHERE iter > 40) AS late, count(*) AS n FROM node JOIN member USING (id) GROUP BY 1")

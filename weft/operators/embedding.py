@@ -212,14 +212,14 @@ def motif_z(edges: DataFrame, seeds: int) -> DataFrame:
 def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mann-Whitney U of the rows with ``group`` true against the others, with average ranks and the tie-corrected normal z.
 
-    Equal values are counted first; the running count is over distinct values.
+    Equal values are counted first; the running count over distinct values goes by ranges of values.
     """
-    from pyspark.sql import Window
+    from weft.operators.ordering import running_sums
 
-    c = df.groupBy(value).agg(F.count_if(group).alias("a"), F.count_if(~F.col(group)).alias("b"))
-    t = F.col("a") + F.col("b")
-    r = c.withColumn("before", F.coalesce(F.sum(t).over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    g = r.agg(F.sum(F.col("a") * (F.col("before") + (t + 1) / 2)).alias("ranks"), F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(t * t * t - t).alias("ties"))
+    c = df.groupBy(value).agg(F.count_if(group).alias("a"), F.count_if(~F.col(group)).alias("b")).withColumn("t", F.col("a") + F.col("b"))
+    t = F.col("t")
+    r = running_sums(c, [value], ["t"])
+    g = r.agg(F.sum(F.col("a") * (F.col("t_before") + (t + 1) / 2)).alias("ranks"), F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u = F.col("ranks") - n1 * (n1 + 1) / 2

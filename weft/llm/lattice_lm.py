@@ -75,6 +75,13 @@ def file_pieces(path: str) -> list[tuple[bytes, float]]:
     return found
 
 
+def _log_sum(c: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over the first axis."""
+    best = c.max(0)
+    c -= best
+    return best + np.log(np.exp(c, out=c).sum(0))
+
+
 @dataclass
 class Lattice:
     """A trie of the pieces as arrays (a node is its slot), their log probabilities, and which bytes may stand side by side in a piece."""
@@ -135,30 +142,28 @@ class Lattice:
             by_length.append((length, row[who], p, np.searchsorted(place[who], np.arange(top + 2))))
         forward = [np.zeros(live[0])]
         for t in range(1, top + 1):
-            c = np.full((live[t], sum(x[0] <= t for x in by_length)), -np.inf)
-            for j in range(c.shape[1]):
-                length, r, p, bounds = by_length[j]
-                a, b = bounds[t - length], bounds[t - length + 1]
-                c[r[a:b], j] = forward[t - length][r[a:b]] + self.logp[p[a:b]]
-            best = c.max(1)
-            forward.append(best + np.log(np.exp(c - best[:, None]).sum(1)))
+            own = [(length, r, p, bounds[t - length], bounds[t - length + 1]) for length, r, p, bounds in by_length if length <= t]
+            own = [x for x in own if x[3] < x[4]]
+            c = np.full((len(own), live[t]), -np.inf)
+            for j, (length, r, p, a, b) in enumerate(own):
+                c[j, r[a:b]] = forward[t - length][r[a:b]] + self.logp[p[a:b]]
+            forward.append(_log_sum(c))
         z = np.concatenate([forward[n][(live[n + 1] if n < top else 0) : live[n]] for n in range(top, 0, -1)])
         out[rows] = z
         if counts is not None and weights is not None:
-            w = weights[rows]
+            with np.errstate(divide="ignore"):
+                w = np.log(weights[rows]) - z
             backward: list[np.ndarray] = [np.zeros(0)] * (top + 1)
             backward[top] = np.zeros(live[top])
             for t in range(top - 1, -1, -1):
-                c = np.full((live[t], len(by_length)), -np.inf)
-                c[live[t + 1] :, 0] = 0.0  # rows that end here; the column is theirs alone
-                for j, (length, r, p, bounds) in enumerate(by_length):
-                    a, b = bounds[t], bounds[t + 1]
-                    if b > a:
-                        c[r[a:b], j] = self.logp[p[a:b]] + backward[t + length][r[a:b]]
-                        share = np.exp(forward[t][r[a:b]] + c[r[a:b], j] - z[r[a:b]]) * w[r[a:b]]
-                        counts += np.bincount(p[a:b], share, len(counts))
-                best = c.max(1)
-                backward[t] = best + np.log(np.exp(c - best[:, None]).sum(1))
+                own = [(length, r, p, bounds[t], bounds[t + 1]) for length, r, p, bounds in by_length if bounds[t] < bounds[t + 1]]
+                c = np.full((len(own), live[t]), -np.inf)
+                c[0, live[t + 1] :] = 0.0  # rows that end here
+                for j, (length, r, p, a, b) in enumerate(own):
+                    who, which = r[a:b], p[a:b]
+                    c[j, who] = found = self.logp[which] + backward[t + length][who]
+                    counts += np.bincount(which, np.exp(forward[t][who] + found + w[who]), len(counts))
+                backward[t] = _log_sum(c)
         return out
 
     def _long(self, data: np.ndarray, weight: float, counts: np.ndarray | None) -> float:

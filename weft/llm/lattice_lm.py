@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm import textblock as tb
-from weft.shared import written
+from weft.shared import fresh_path, written
 
 #: Bytes of text in a block; of a chunk that is searched alone; places of such a chunk that are looked at together.
 BLOCK_BYTES, WIDE, WINDOW = 6 << 20, 256, 1 << 15
@@ -391,7 +391,10 @@ def score(docs: DataFrame, held: Column, pieces: list[tuple[bytes, float]], bloc
     first, _ = build(pieces)
     given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     shared = spark.sparkContext.broadcast(first)
-    table = written(given.mapInArrow(_first_pass(shared, block_bytes), FIRST), "blocks")
+    path = fresh_path(spark, "blocks")
+    # a row of blocks holds megabytes: row groups of a few, as readers decode a group at a time
+    given.mapInArrow(_first_pass(shared, block_bytes), FIRST).write.option("parquet.block.size", 2 * block_bytes).parquet(path)
+    table = spark.read.schema(FIRST).parquet(path)
     blocks = table.where("kind = 0").select("block", "doc_ids", "held", "texts")
     train_docs = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     estimate = np.append(first.logp, first.log_end)

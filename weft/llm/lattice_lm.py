@@ -131,22 +131,20 @@ class Lattice:
         size = sizes[rows]
         top = int(size[0])
         live = np.searchsorted(-size, -np.arange(top + 1), side="right")  # rows of at least so many bytes
-        at = tb.gather_ranges(offsets[rows], size)
-        row = np.repeat(np.arange(len(rows)), size)
-        place = (at - offsets[rows][row]).astype(np.int16)
-        stop = offsets[rows + 1][row]
-        by_length = []
-        for length, who, p in self.matches(data, at, stop):
-            order = np.argsort(place[who], kind="stable")  # 16 bits: radix
-            who, p = who[order], p[order]
-            by_length.append((length, row[who], p, np.searchsorted(place[who], np.arange(top + 2))))
+        # places in the order of (place in the chunk, row), so that what starts at a place of all chunks lies together
+        base = np.concatenate(([0], np.cumsum(live[1:])))
+        at = np.concatenate([offsets[rows[: live[t + 1]]] + t for t in range(top)])
+        place = np.repeat(np.arange(top), live[1:])
+        stop = offsets[rows + 1][np.arange(len(at)) - base[place]]
+        by_length = [(length, who, p, np.searchsorted(who, base)) for length, who, p in self.matches(data, at, stop)]
         forward = [np.zeros(live[0])]
         for t in range(1, top + 1):
-            own = [(length, r, p, bounds[t - length], bounds[t - length + 1]) for length, r, p, bounds in by_length if length <= t]
+            own = [(length, who, p, bounds[t - length], bounds[t - length + 1]) for length, who, p, bounds in by_length if length <= t]
             own = [x for x in own if x[3] < x[4]]
             c = np.full((len(own), live[t]), -np.inf)
-            for j, (length, r, p, a, b) in enumerate(own):
-                c[j, r[a:b]] = forward[t - length][r[a:b]] + self.logp[p[a:b]]
+            for j, (length, who, p, a, b) in enumerate(own):
+                r = who[a:b] - base[t - length]
+                c[j, r] = forward[t - length][r] + self.logp[p[a:b]]
             forward.append(_log_sum(c))
         z = np.concatenate([forward[n][(live[n + 1] if n < top else 0) : live[n]] for n in range(top, 0, -1)])
         out[rows] = z
@@ -156,13 +154,13 @@ class Lattice:
             backward: list[np.ndarray] = [np.zeros(0)] * (top + 1)
             backward[top] = np.zeros(live[top])
             for t in range(top - 1, -1, -1):
-                own = [(length, r, p, bounds[t], bounds[t + 1]) for length, r, p, bounds in by_length if bounds[t] < bounds[t + 1]]
+                own = [(length, who, p, bounds[t], bounds[t + 1]) for length, who, p, bounds in by_length if bounds[t] < bounds[t + 1]]
                 c = np.full((len(own), live[t]), -np.inf)
                 c[0, live[t + 1] :] = 0.0  # rows that end here
-                for j, (length, r, p, a, b) in enumerate(own):
-                    who, which = r[a:b], p[a:b]
-                    c[j, who] = found = self.logp[which] + backward[t + length][who]
-                    counts += np.bincount(which, np.exp(forward[t][who] + found + w[who]), len(counts))
+                for j, (length, who, p, a, b) in enumerate(own):
+                    r, which = who[a:b] - base[t], p[a:b]
+                    c[j, r] = found = self.logp[which] + backward[t + length][r]
+                    counts += np.bincount(which, np.exp(forward[t][r] + found + w[r]), len(counts))
                 backward[t] = _log_sum(c)
         return out
 
@@ -277,16 +275,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Arra
     """Number of each word among the distinct words of a block, those, and each text's first word."""
     low = tb.LOWER[data]
     starts, ends = tb.word_spans(low, offsets, tb.NON_SPACE)
-    numbers, distinct = tb.encode_words(low, starts, ends)
-    return numbers, distinct, tb.row_bounds(starts, offsets)
+    return *_numbered(low[tb.NON_SPACE[low]], ends - starts), tb.row_bounds(starts, offsets)
 
 
 def chunks_of(lattice: Lattice, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """The same of chunks."""
     starts = lattice.chunk_starts(data, offsets)
-    ends = np.append(starts[1:], len(data)) if len(starts) else starts
-    numbers, distinct = tb.encode_words(data, starts, ends)
-    return numbers, distinct, tb.row_bounds(starts, offsets)
+    return *_numbered(data, np.diff(np.append(starts, len(data)))), tb.row_bounds(starts, offsets)
+
+
+def _numbered(joined: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number of each of the byte strings that lie end to end among the distinct ones, and those."""
+    if not len(sizes):
+        return np.zeros(0, np.int32), pa.array([], pa.binary())
+    coded = tb.binary_array(joined, np.concatenate(([0], np.cumsum(sizes)))).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
 def _of_rows(bounds: np.ndarray, kept: np.ndarray) -> np.ndarray:

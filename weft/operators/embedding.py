@@ -98,16 +98,18 @@ def sequential_dedup(df: DataFrame, by: str, order: str, vector: str, threshold:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        kept, ids, out = np.zeros((0, 0)), [], []
+        kept, ids, out = np.zeros((16, len(pdf[vector].iloc[0]))), [], []
         for i, v in zip(pdf[order].tolist(), pdf[vector], strict=True):
             v = np.asarray(v, float)
             v = v / max(np.linalg.norm(v), 1e-9)
-            s = kept @ v if len(ids) else np.zeros(0)
+            s = kept[: len(ids)] @ v
             k = int(s.argmax()) if len(ids) else -1
             if k >= 0 and s[k] >= threshold:
                 out.append((i, ids[k], float(s[k])))
             else:
-                kept = np.vstack([kept, v]) if len(ids) else v[None]
+                if len(ids) == len(kept):
+                    kept = np.concatenate([kept, np.zeros_like(kept)])  # twice the room, so that a row is moved once or twice in all
+                kept[len(ids)] = v
                 ids.append(i)
                 out.append((i, i, 1.0))
         done = pd.DataFrame(out, columns=["id", "merged_into", "similarity"])

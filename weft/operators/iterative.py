@@ -15,20 +15,47 @@ from weft.shared import remove, written
 
 
 def bfs(neighbours: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame:
-    """(source, id, dist, via): nodes within ``max_depth`` steps of every source over (a, b); via is the smallest predecessor on a shortest path."""
-    seen = written(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(None).cast(sources.schema["id"].dataType).alias("via")), "bfs")
+    """(source, id, dist, via): nodes within ``max_depth`` steps of every source over (a, b); via is the smallest predecessor on a shortest path.
+
+    Every level is a table of its own: what was reached before is read, never written again.
+    """
+    levels = [written(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(None).cast(sources.schema["id"].dataType).alias("via")), "bfs")]
+    seen = levels[0]
     for depth in range(1, max_depth + 1):
-        frontier = seen.where(F.col("dist") == depth - 1)
-        step = frontier.select("source", F.col("id").alias("a")).join(neighbours, "a").groupBy("source", F.col("b").alias("id")).agg(F.min("a").alias("via"))
-        fresh = step.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(depth).alias("dist"), "via")
-        after = written(seen.union(fresh), "bfs")
-        remove(seen)
-        seen = after
-        if not seen.where(F.col("dist") == depth).limit(1).count():
+        step = levels[-1].select("source", F.col("id").alias("a")).join(neighbours, "a").groupBy("source", F.col("b").alias("id")).agg(F.min("a").alias("via"))
+        fresh = written(step.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(depth).alias("dist"), "via"), "bfs")
+        if not fresh.limit(1).count():
+            remove(fresh)
             break
+        levels.append(fresh)
+        seen = seen.union(fresh)
     return seen
 
 
+def pair_distances(neighbours: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+    """(a, b, dist) of the pairs that are joined within ``max_depth`` steps over (a, b) in both directions.
+
+    Each pair is searched from both ends at once and only until they meet, so a table holds what lies within half the
+    distance of an end, not what any end reaches.
+    """
+    ends = pairs.select("a", "b").distinct().where("a <> b")
+    near = neighbours.select(F.col("a").alias("node"), F.col("b").alias("next"))
+    sides = [written(ends.withColumn("node", F.col(c)), "side") for c in ("a", "b")]
+    found = None
+    for dist in range(1, max_depth + 1):
+        mine, other = (dist - 1) % 2, dist % 2
+        grown = written(sides[mine].join(near, "node").select("a", "b", F.col("next").alias("node")).distinct(), "side")
+        met = written(grown.join(sides[other], ["a", "b", "node"], "left_semi").select("a", "b").distinct().withColumn("dist", F.lit(dist)), "met")
+        found = met if found is None else found.union(met)
+        gone = met.select("a", "b")
+        sides[mine] = written(grown.join(gone, ["a", "b"], "left_anti"), "side")
+        sides[other] = written(sides[other].join(gone, ["a", "b"], "left_anti"), "side")
+        remove(grown)
+        if not sides[mine].limit(1).count():
+            break
+    return found
+
+
 def shortest_paths(neighbours: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
     """(source, target, dist, path) for (source, target) pairs that are connected within ``max_depth``; of equals the smallest predecessors."""
     found = bfs(neighbours, pairs.select(F.col("source").alias("id")).distinct(), max_depth)

@@ -14,7 +14,7 @@ from weft.functions import labels
 from weft.operators.components import connected_components
 from weft.operators.embedding import pairs_above
 from weft.operators.graph import both, constraint, hubs, links
-from weft.operators.iterative import bfs, shortest_paths
+from weft.operators.iterative import bfs, pair_distances, shortest_paths
 from weft.shared import written
 
 #: Fixed value: neighbours of a hub that open pairs.
@@ -73,7 +73,10 @@ def broker_ideas(simple: DataFrame, member: DataFrame, cents: DataFrame) -> Data
 
 
 def open_pairs(undirected: DataFrame, hub: int = HUB) -> DataFrame:
-    """(u, v, mid): unlinked pairs u < v behind each node, of a node with more than ``hub`` neighbours only its first by id."""
+    """(u, v, mid): unlinked pairs u < v behind each node, of a node with more than ``hub`` neighbours only its first by id.
+
+    Each task passes on a hub's first neighbours only, as the limit on the rank is pushed below the shuffle.
+    """
     near = both(undirected).withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("rn") <= hub)
     pairs = near.select(F.col("a").alias("mid"), F.col("b").alias("u")).join(near.select(F.col("a").alias("mid"), F.col("b").alias("v")), "mid").where("u < v")
     return pairs.join(undirected, ["u", "v"], "left_anti")
@@ -111,7 +114,7 @@ def dissonance(simple: DataFrame, vectors: DataFrame, least: float = 0.55, min_h
     parts = connected_components(u.select(F.col("u").alias("a"), F.col("v").alias("b")))
     joined = pairs.join(parts.select(F.col("node").alias("a"), F.col("component").alias("c1")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("c2")), "b", "left")
     together = written(joined.withColumn("together", F.coalesce(F.col("c1") == F.col("c2"), F.lit(False))).select("a", "b", "similarity", "together"), "joined")
-    reached = bfs(both(u), together.where("together").select(F.col("a").alias("id")).distinct(), far).select(F.col("source").alias("a"), F.col("id").alias("b"), "dist")
+    reached = pair_distances(written(both(u), "near"), together.where("together"), far)
     hops = F.when(F.col("together"), F.coalesce("dist", F.lit(far)))
     found = together.join(reached, ["a", "b"], "left").withColumn("hops", hops).where(F.col("hops").isNull() | (F.col("hops") >= min_hops))
     factor = 1 + F.when(F.col("hops").isNull(), 0.5).otherwise(F.least(F.col("hops"), F.lit(far)) / far)

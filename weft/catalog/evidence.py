@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.catalog import flows
 from weft.catalog.core import EDGE_SQL, edges, query, table
 from weft.catalog.graphs import MEMBER, links, member, simple
 from weft.catalog.mining import _COS, _DOT, _OPEN, cents, concept_vectors, names
-from weft.operators import communities, embedding, evidence, graph, growth, isomorphism, mining, probes
-from weft.shared import fresh_path, written
+from weft.operators import centrality, communities, context, evidence, graph, growth, isomorphism, iterative, mining, probes
+from weft.shared import written
 from weft.streaming import incremental
 
 E = f"WITH {EDGE_SQL}"
@@ -43,16 +44,22 @@ def v12b(spark, d):
     return p.select("layer", "n", *[F.round(c, 4).alias(c) for c in ("accuracy", "auroc", "f1")])
 
 
+def early_graph(spark, d):
+    """The graph of the first rounds, which is sparse, with its centralities and communities."""
+    s = written(simple(spark, d).where("iter <= 3"), "simple")
+    return s, written(centrality.centralities(s), "cents"), written(communities.communities(graph.links(s)), "modules")
+
+
 @query("m15b_rooted_ego_classes")
 def m15b(spark, d):
-    s, c, m = written(simple(spark, d), "simple"), cents(spark, d), written(found_modules(spark, d), "modules")
+    s, c, m = early_graph(spark, d)
     return isomorphism.ego_isomorphisms(s, mining.candidates(c, m, names(spark, d), 500), c, m).withColumn("score", F.round("score", 6))
 
 
 @query("m16b_module_classes")
 def m16b(spark, d):
-    s, c = written(simple(spark, d), "simple"), cents(spark, d)
-    return isomorphism.module_isomorphisms(s, written(found_modules(spark, d), "modules"), c).withColumn("score", F.round("score", 6))
+    s, c, m = early_graph(spark, d)
+    return isomorphism.module_isomorphisms(s, m, c).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -191,3 +198,43 @@ def k07b(spark, d):
         one = growth.choose(name, state, 3)
         out = one if out is None else out.unionAll(one)
     return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+def concept_graph(spark, d, ranked: bool) -> context.Graph:
+    """The concept graph for searches; with PageRank and core numbers, or the given rank of the catalog in their place."""
+    n, s = flows.nodes(spark, d), written(simple(spark, d), "simple")
+    u = written(graph.links(s), "links")
+    if ranked:
+        pr = iterative.pagerank(s).withColumnRenamed("rank", "pagerank")
+        n = n.drop("rank").join(pr, "id", "left").join(iterative.core_numbers(u), "id", "left").join(born(spark, d), "id", "left").na.fill(0)
+    else:
+        n = n.select("id", "label", "degree", F.col("rank").alias("pagerank"), F.lit(0).alias("core"))
+    v = concept_vectors(spark, d)
+    asked = v.orderBy("id").limit(1).first()["v"]
+    return context.Graph(written(n, "nodes"), written(graph.both(u), "near"), s, v, tuple(float(x) for x in asked))
+
+
+@query(
+    "q01b_node_search",
+    f"""{E}, {flows.NODES}, h AS (SELECT id, degree, rank, lower(concat(label, ' ', id, ' label ', label)) AS hay FROM nd), k AS (SELECT id, contains(hay, 'machinery')::INT + contains(hay, '#00000001')::INT + 2 * contains(hay, 'machinery #00000001')::INT AS hits, degree, rank FROM h),
+t AS (SELECT id, hits + ln(1 + degree) + 10 * rank AS score FROM k WHERE hits > 0), s AS (SELECT nd.id, 100 + 25 * list_dot_product(embedding::DOUBLE[], (SELECT arg_min(embedding, vec_id) FROM embeddings)::DOUBLE[]) + ln(1 + degree) AS score FROM embeddings JOIN nd ON nd.id = vec_id ORDER BY score DESC, nd.id LIMIT 50)
+SELECT id, round(max(score), 5) AS score FROM (SELECT * FROM t UNION ALL SELECT * FROM s) JOIN nd USING (id) GROUP BY id, degree ORDER BY max(score) DESC, degree DESC, id LIMIT 50""",
+)
+def q01b(spark, d):
+    return context.search_nodes(concept_graph(spark, d, False), "MACHINERY  #00000001", 50).select("id", F.round("score", 5).alias("score"))
+
+
+@query("q05b_ranked_context")
+def q05b(spark, d):
+    rows, _ = context.ranked_context(concept_graph(spark, d, True), "which customers of the machinery segment are linked", [1, 5, 9], "building", 240)
+    return rows.select("id", F.round("score", 6).alias("score"), "sources", "rank")
+
+
+@query("q06b_context_texts")
+def q06b(spark, d):
+    g = concept_graph(spark, d, True)
+    out = None
+    for mode in ("none", "focused", "graph_rag"):
+        one = context.context(g, "which customers of the machinery segment are linked", [1, 5, 9], "building", mode)
+        out = one if out is None else out.unionAll(one)
+    return out

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.catalog.core import EDGE_SQL, edges, query, table
-from weft.catalog.graphs import links, member, simple
+from weft.catalog.graphs import links, simple
 from weft.catalog.rules import LABEL_SQL, LABELS, TOPIC, pick, quoted
 from weft.catalog.vectors import vectors
 from weft.functions import labels
-from weft.operators import centrality, mining, sampling
+from weft.operators import centrality, communities, mining, sampling
 from weft.operators.graph import both
 from weft.operators.graph import links as graph_links
 from weft.shared import written
@@ -28,6 +28,11 @@ def cents(spark, d):
     return written(centrality.centralities(written(simple(spark, d), "simple")), "cents")
 
 
+def modules(spark, d):
+    """(id, module): communities of the concept graph, found once for a query."""
+    return written(communities.communities(links(spark, d)), "modules")
+
+
 def concept_vectors(spark, d):
     """(id, v): vectors of the concepts that have one."""
     return vectors(spark, d).select("id", "v")
@@ -71,27 +76,27 @@ def m06(spark, d):
 
 @query("m07_broker_ideas")
 def m07(spark, d):
-    return mining.broker_ideas(simple(spark, d), member(spark, d), cents(spark, d)).withColumn("score", F.round("score", 6))
+    return mining.broker_ideas(simple(spark, d), modules(spark, d), cents(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("m09_long_range_paths")
 def m09(spark, d):
-    return mining.long_range_paths(written(simple(spark, d), "simple"), cents(spark, d), member(spark, d), names(spark, d), concept_vectors(spark, d)).withColumn("score", F.round("score", 6))
+    return mining.long_range_paths(written(simple(spark, d), "simple"), cents(spark, d), modules(spark, d), names(spark, d), concept_vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("m10_short_bridges")
 def m10(spark, d):
-    return mining.short_bridges(written(simple(spark, d), "simple"), cents(spark, d), member(spark, d), names(spark, d), concept_vectors(spark, d)).withColumn("score", F.round("score", 6))
+    return mining.short_bridges(written(simple(spark, d), "simple"), cents(spark, d), modules(spark, d), names(spark, d), concept_vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("m13_brokers")
 def m13(spark, d):
-    return mining.brokers(simple(spark, d), member(spark, d), cents(spark, d), names(spark, d)).withColumn("score", F.round("score", 6))
+    return mining.brokers(simple(spark, d), modules(spark, d), cents(spark, d), names(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("m20_bridge_scores")
 def m20(spark, d):
-    return mining.bridge_scores(simple(spark, d), member(spark, d), cents(spark, d)).withColumn("score", F.round("score", 6))
+    return mining.bridge_scores(simple(spark, d), modules(spark, d), cents(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from weft.llm import bpe, decontam, html_text, license_scan, line_dedup
@@ -307,3 +308,41 @@ def test_html_formulas_drawings_and_spans():
     row = html_text.render("<table><tr><td colspan=60>a<td>b</table>")
     assert row == "a" + "  " * 60 + "b"
     assert html_text.render(f"<table><tr><td colspan={'9' * 5000}>a</table>") == "a"
+
+
+def test_stash_counts_equal_marks():
+    """Keys with the same mark and buckets overflow into the stash; each delete takes out one."""
+    f = line_dedup.CuckooFilter(8)
+    a, b = np.array([5 << 20]), np.array([77])
+    for _ in range(40):
+        f.insert(int(a[0]), int(b[0]))
+    f = line_dedup.CuckooFilter.of_row(*f.to_row())
+    for _ in range(39):
+        f.delete(int(a[0]), int(b[0]))
+        assert f.contains(a, b)[0]
+    f.delete(int(a[0]), int(b[0]))
+    assert not f.contains(a, b)[0] and not f.stash and not f.table.any()
+
+
+def test_hostile_pages_take_no_time():
+    import time
+
+    pages = {
+        "start": f"<ol start={'9' * 5000}><li>a<li>b</ol>",
+        "lists": "<ul><li>x" * 9000,
+        "spans": "<table>" + ("<tr>" + "<td colspan=1000>x" * 20) * 300 + "</table>",
+        "stairs": "<table>" + "<tr><td rowspan=9999>x" * 4000 + "</table>",
+        "tall": "<table><tr><td>" + "a<br>" * 7000 + "<td>x" * 7000 + "</table>",
+        "marks": "<ul><li>" * 9000 + "x",
+    }
+    found = {}
+    for name, page in pages.items():
+        began = time.process_time()
+        found[name] = html_text.render(page)
+        assert time.process_time() - began < 3, name
+    assert found["start"] == "2147483647. a\n2147483648. b"
+    assert found["lists"].count("x") == 9000 and found["lists"].split("\n")[:3] == ["- x", "  - x", "    - x"]
+    assert found["spans"].split("\n")[0] == "x" + " " * 1999 + "  ".join("x" * 19) and found["spans"].count("x") == 6000
+    assert found["stairs"].split("\n")[2] == "      x" and found["stairs"].count("x") == 4000
+    assert found["tall"].count("a") == 7000 and found["tall"].count("x") == 7000
+    assert found["marks"] == "- " * 9000 + "x"

@@ -149,11 +149,42 @@ def tree(html: str) -> Node:
     return builder.root
 
 
+#: Columns that margins of nested lists, and places of table cells, grow to; text further in or right stays whole.
+MARGIN, ALIGNED = 160, 2000
+
+
+class _Part:
+    """Lines that a mark stands before: it opens the first one, the others are indented by its width."""
+
+    def __init__(self, mark: str, lines: list) -> None:
+        self.mark, self.lines = mark, lines
+
+
+def _flat(lines: list) -> list[str]:
+    """Lines with their marks and margins, written once whatever the depth; a margin grows to ``MARGIN`` columns."""
+    out: list[str] = []
+    marks: list[str] = []  # of parts whose first line is still to come
+    indent, parts = 0, [(iter(lines), 0)]
+    while parts:
+        line = next(parts[-1][0], None)
+        if line is None:
+            indent -= parts.pop()[1]
+        elif isinstance(line, _Part):
+            marks.append(line.mark)
+            parts.append((iter(line.lines), len(line.mark)))
+        else:
+            front = " " * min(indent, MARGIN) + "".join(marks)
+            out.append(front + line if line or not front.isspace() else "")
+            indent += sum(map(len, marks))
+            marks.clear()
+    return out
+
+
 class _Lines:
     """Lines under construction; ``gap`` blank lines are owed before the next text."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines: list[str | _Part] = []
         self.text, self.space, self.gap, self.mark = "", False, 0, ""
 
     def flush(self, gap: int = 0) -> None:
@@ -189,7 +220,7 @@ class _Lines:
             self.lines.append(self.text.rstrip())
             self.text = line
 
-    def block(self, lines: list[str], gap: int) -> None:
+    def block(self, lines: list[str | _Part], gap: int) -> None:
         self.flush(gap)
         if lines:
             if self.lines:
@@ -215,28 +246,46 @@ def _run(step: Step) -> object:
     return value
 
 
-def _span(cell: Node, name: str, most: int) -> int:
-    digits = cell.attrs.get(name, "")
-    digits = digits if digits.isascii() and digits.isdecimal() else "1"
-    return most if len(digits.lstrip("0")) > 5 else min(most, int(digits))
+def _digits(node: Node, name: str, other: int, most: int) -> int:
+    """A whole number of an attribute, ``most`` where it is larger, ``other`` where it is none."""
+    digits = node.attrs.get(name, "")
+    if not (digits.isascii() and digits.isdecimal()):
+        return other
+    digits = digits.lstrip("0") or "0"
+    return most if len(digits) > 9 else min(most, int(digits))
 
 
-def _placed(rows: list[tuple[int, list]]) -> Iterator[list[list[str]]]:
-    """Cells of every row by column; a cell that spans rows keeps its columns in the next ones of its row group."""
-    group, taken = -1, {}
-    for own, row in rows:
+def _placed(rows: list[tuple[int, list]]) -> Iterator[list[tuple[int, list[str]]]]:
+    """Cells of every row with their first column; a cell that spans rows keeps its columns in the next ones of its row group.
+
+    Spans are intervals, so their width costs nothing; neighbours that end together are one.
+    """
+    group, taken = -1, []  # (first column, column behind, row behind)
+    for at, (own, row) in enumerate(rows):
         if own != group:
-            group, taken = own, {}
-        out: list[list[str]] = []
-        fresh: dict[int, int] = {}
+            group, taken = own, []
+        taken = [t for t in taken if t[2] > at]
+        column = behind = i = 0
+        out: list[tuple[int, list[str]]] = []
         for lines, wide, high in row:
-            while taken.get(len(out)):
-                out.append([""])
-            for k in range(wide):
-                if high > 1:
-                    fresh[len(out)] = high - 1
-                out.append([""] if k else lines)
-        taken = {j: n - 1 for j, n in taken.items() if n > 1} | fresh
+            while True:
+                while i < len(taken) and taken[i][0] <= column:
+                    behind = max(behind, taken[i][1])
+                    i += 1
+                if behind <= column:
+                    break
+                column = behind
+            out.append((column, lines))
+            if high > 1:
+                taken.append((column, column + wide, min(at + high, len(rows))))
+            column += wide
+        merged: list[tuple[int, int, int]] = []
+        for first, end, last in sorted(taken):
+            if merged and merged[-1][2] == last and first <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(end, merged[-1][1]), last)
+            else:
+                merged.append((first, end, last))
+        taken = merged
         yield out
 
 
@@ -257,29 +306,45 @@ def _table(node: Node, pre: bool) -> Step:
                         if c.strip():
                             row.append(([_SPACE.sub(" ", c).strip()], 1, 1))
                     elif not c.hidden():
-                        lines = (yield _render(c, pre)).lines or [""]
-                        row.append((lines, max(1, _span(c, "colspan", 1000)), _span(c, "rowspan", 65534) or 65534))
+                        lines = _flat((yield _render(c, pre)).lines) or [""]
+                        row.append((lines, max(1, _digits(c, "colspan", 1, 1000)), _digits(c, "rowspan", 1, 65534) or 65534))
                 rows.append((group, row))
             elif child.tag in ("thead", "tbody", "tfoot"):
                 groups += 1
                 yield collect(child, groups)
             else:
-                captions.extend((yield _render(child, pre)).lines)
+                captions.extend(_flat((yield _render(child, pre)).lines))
 
     yield collect(node, 0)
-    width: list[int] = []
     cells = list(_placed(rows))
+    # columns in which a cell starts, and where they stand: behind the widest cells before and two places a column
+    columns = sorted({j for row in cells for j, _ in row})
+    width = dict.fromkeys(columns, 0)
     for row in cells:
-        for j, cell in enumerate(row):
-            if j == len(width):
-                width.append(0)
+        for j, cell in row:
             width[j] = max(width[j], *map(len, cell))
+    place, x = {}, 0
+    for j in columns:
+        place[j] = min(x + 2 * j, ALIGNED)
+        x += width[j]
     out = captions
     for row in cells:
-        for k in range(max(map(len, row), default=0)):
-            line = "  ".join((cell[k] if k < len(cell) else "").ljust(width[j]) for j, cell in enumerate(row)).rstrip()
-            if line or k == 0:
-                out.append(line)
+        lines: list[list[tuple[int, str]]] = [[]]
+        for j, cell in row:
+            for k, text in enumerate(cell):
+                if k == len(lines):
+                    lines.append([])
+                if text:
+                    lines[k].append((place[j], text))
+        for k, pieces in enumerate(lines):
+            line, size = [], 0
+            for at, text in pieces:
+                gap = max(at - size, 2 if size else 0)
+                line += [" " * gap, text]
+                size += gap + len(text)
+            whole = "".join(line).rstrip()
+            if whole or (k == 0 and row):
+                out.append(whole)
     while out and not out[-1]:
         out.pop()
     return out
@@ -293,7 +358,7 @@ def _render(node: Node, pre: bool = False, depth: int = 0) -> Step:
 
 
 def _walk(node: Node, out: _Lines, pre: bool, depth: int) -> Step:
-    number = int(node.attrs["start"]) if node.tag == "ol" and node.attrs.get("start", "").isdecimal() else 1
+    number = _digits(node, "start", 1, 2**31 - 1) if node.tag == "ol" else 1
     for child in node.children:
         if isinstance(child, str):
             (out.raw if pre else out.put)(child)
@@ -326,8 +391,7 @@ def _walk(node: Node, out: _Lines, pre: bool, depth: int) -> Step:
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             inner = yield _render(child, pre, depth)
-            lines = inner.lines or [""]
-            out.block([(mark if i == 0 else " " * len(mark) if x else "") + x for i, x in enumerate(lines)], 0)
+            out.block([_Part(mark, inner.lines or [""])], 0)
         elif tag in ("pre", "textarea"):
             inner = _Lines()
             yield _walk(child, inner, True, depth)
@@ -341,7 +405,8 @@ def _walk(node: Node, out: _Lines, pre: bool, depth: int) -> Step:
         elif tag in BLOCK or tag == "text":  # a text of a drawing has its own place
             out.flush(gap)
             if tag == "dd":
-                out.block([f"  {x}" if x else x for x in (yield _render(child, pre, depth)).lines], 0)
+                lines = (yield _render(child, pre, depth)).lines
+                out.block([_Part("  ", lines)] if lines else [], 0)
             else:
                 yield _walk(child, out, pre, depth)
             out.flush(gap)
@@ -353,7 +418,7 @@ def render(html: str | None) -> str | None:
     """All visible text of a page in its layout."""
     if html is None:
         return None
-    return "\n".join(_run(_render(tree(html))).lines)
+    return "\n".join(_flat(_run(_render(tree(html))).lines))
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
@@ -362,7 +427,9 @@ def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFra
     @F.pandas_udf(T.StringType())
     def rendered(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in columns:
-            yield column.map(render, na_action="ignore").astype(object)
+            with tb.watched(int(column.str.len().sum() or 0)):
+                found = column.map(render, na_action="ignore").astype(object)
+            yield found
 
     tb.arrow_batches(pages.sparkSession)
     return pages.select(*[pages[c] for c in pages.columns if c != into], rendered(pages[html].cast("string")).alias(into))

@@ -29,6 +29,7 @@ empty table gives an empty result; an input column named as a new one is replace
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,7 +98,7 @@ class CuckooFilter:
         buckets = 1 << max(1, int(np.ceil(np.log2(max(1, n_keys) / SLOTS / 0.8))))
         self.table = np.zeros((buckets, SLOTS), np.uint16) if table is None else table
         self.mask = len(self.table) - 1
-        self.stash = set(map(tuple, stash or ()))
+        self.stash = Counter(map(tuple, stash or ()))  # keys may share mark and buckets, so each is counted
 
     def _place(self, a: int, b: int) -> tuple[int, int]:
         return (b & 0xFFFF) or 1, (a >> 20) & self.mask
@@ -117,7 +118,7 @@ class CuckooFilter:
             slot = k % SLOTS
             mark, self.table[bucket, slot] = int(self.table[bucket, slot]), mark
             bucket = self._other(bucket, mark)
-        self.stash.add((mark, min(bucket, self._other(bucket, mark))))
+        self.stash[mark, min(bucket, self._other(bucket, mark))] += 1
 
     def delete(self, a: int, b: int) -> None:
         """Take out a key that was inserted."""
@@ -127,7 +128,11 @@ class CuckooFilter:
             if len(found):
                 self.table[at, found[0]] = 0
                 return
-        self.stash.discard((mark, min(bucket, self._other(bucket, mark))))
+        at = (mark, min(bucket, self._other(bucket, mark)))
+        if self.stash[at] > 1:
+            self.stash[at] -= 1
+        else:
+            del self.stash[at]
 
     def contains(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For arrays of key halves: may the key be in the filter?"""
@@ -142,7 +147,7 @@ class CuckooFilter:
 
     def to_row(self) -> tuple[int, bytes, list[int]]:
         """Buckets, table and stash as plain values."""
-        return len(self.table), self.table.tobytes(), [x for pair in sorted(self.stash) for x in pair]
+        return len(self.table), self.table.tobytes(), [x for pair in sorted(self.stash.elements()) for x in pair]
 
     @classmethod
     def of_row(cls, buckets: int, table: bytes, stash) -> CuckooFilter:

@@ -259,7 +259,7 @@ def test_licence_variants(spark):
         w = notice.split()
         texts += [" ".join(["a", *w[:i], "other", *w[i + 1 :], "b"]) for i in range(len(w))] + [" ".join(w[i:]) for i in range(3)]
     got = same_licences(spark, texts)
-    assert got[0].labels == got[2].labels == "mit" and got[1].labels == ""
+    assert got[0].labels == got[1].labels == got[2].labels == "mit"  # a heading is enough
 
 
 def test_licence_index_against_every_place(spark):
@@ -346,3 +346,24 @@ def test_hostile_pages_take_no_time():
     assert found["stairs"].split("\n")[2] == "      x" and found["stairs"].count("x") == 4000
     assert found["tall"].count("a") == 7000 and found["tall"].count("x") == 7000
     assert found["marks"] == "- " * 9000 + "x"
+
+
+def test_license_labels_of_identifiers_and_headings(spark):
+    texts = {
+        "SPDX-License-Identifier: MIT-0": "mit-0",
+        "// SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1-or-later",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2.0,mit",
+        "SPDX-License-Identifier: GPL-2.0-or-later AND BSD-3-Clause OR ISC WITH x OR Zlib": "bsd-3-clause,gpl-2.0-or-later,isc",
+        "bread or mit and apache 2.0": "",
+        "MIT License\n\nCopyright (c)": "mit",
+        "The ISC License": "isc",
+        "code under MPL-2.0 and the Zlib license": "mpl-2.0,zlib",
+        "licensed under the Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "Creative Commons Attribution-NonCommercial 4.0 International": "cc-by-nc-4.0",
+        " ".join(license_scan.BODIES[0][2].split()): "mit,mit-text",
+        "x " + " ".join(license_scan.BODIES[2][2].upper().split()): "zlib",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())

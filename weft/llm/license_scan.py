@@ -11,6 +11,8 @@ key phrase, this intersection loses nothing, whichever words are rare.  Then the
 key phrase is verified at its place, and of a notice at least ``ENOUGH`` of the words.
 
 The templates are data: the plan is the same for ten and for a thousand of them.
+Of identifiers that begin alike the longest that stands at a place counts (MIT-0 is not
+MIT), and an SPDX expression goes on with OR and AND from one identifier to the next.
 Only rows that have a posted word pay for word positions.  Nothing is shuffled but
 one count per key word and task, and the driver receives one row per key word.
 
@@ -87,6 +89,53 @@ NOTICES = [
     ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee", "modify and distribute this software and its documentation for any purpose"),
     ("ms-pl", "microsoft public license ms pl", "microsoft public license"),
     ("public-domain", "released into the public domain", "into the public domain"),
+    ("mit", "mit license", "mit license"),
+    ("isc", "isc license", "isc license"),
+    ("zlib", "zlib license", "zlib license"),
+    ("bsd", "bsd license", "bsd license"),
+    ("apache-2.0", "apache license 2 0", "apache license 2 0"),
+    ("apache-2.0", "apache license version 2 0", "apache license version 2 0"),
+    ("mpl-2.0", "mpl 2 0", "mpl 2 0"),
+    ("mpl-2.0", "mozilla public license version 2 0", "mozilla public license version 2 0"),
+    ("cc-by-4.0", "creative commons attribution 4 0 international", "commons attribution 4 0"),
+    ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0 international", "commons attribution sharealike 4 0"),
+    ("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0 international", "commons attribution noncommercial 4 0"),
+    ("cc-by-nd-4.0", "creative commons attribution noderivatives 4 0 international", "commons attribution noderivatives 4 0"),
+    ("cc-by-nc-sa-4.0", "creative commons attribution noncommercial sharealike 4 0 international", "commons attribution noncommercial sharealike 4 0"),
+    ("cc-by-nc-nd-4.0", "creative commons attribution noncommercial noderivatives 4 0 international", "commons attribution noncommercial noderivatives 4 0"),
+]
+#: Whole licences: label, mandatory key phrase, text.
+BODIES = [
+    (
+        "mit",
+        "to deal in the software without restriction",
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice
+and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of
+any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no
+event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+arising from out of or in connection with the software or the use or other dealings in the software""",
+    ),
+    (
+        "isc",
+        "for any purpose with or without fee is hereby granted",
+        """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above
+copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to
+this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or
+consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious
+action arising out of or in connection with the use or performance of this software""",
+    ),
+    (
+        "zlib",
+        "altered source versions must be plainly marked as such",
+        """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from
+the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and
+redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote
+the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2
+altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or
+altered from any source distribution""",
+    ),
 ]
 #: Identifiers behind "SPDX-License-Identifier:"; each is its own label.
 SPDX = """0bsd afl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 artistic-2.0 bsd-2-clause bsd-3-clause bsd-4-clause
@@ -100,6 +149,10 @@ ENOUGH = 0.8
 ANCHORS = 3
 
 
+#: What a template is: a notice, an identifier behind "SPDX-License-Identifier:", or a further one of such an expression.
+NOTICE, IDENTIFIER, FURTHER = range(3)
+
+
 class Template(NamedTuple):
     """A phrase to find: its words, and where in it how many mandatory words stand."""
 
@@ -108,6 +161,7 @@ class Template(NamedTuple):
     first: int
     size: int
     base: bool
+    kind: int = NOTICE
 
     @property
     def key(self) -> list[str]:
@@ -118,7 +172,22 @@ class Template(NamedTuple):
 def template(label: str, notice: str, key: str, base: bool = False) -> Template:
     """A template from its text; the key phrase counts where it first stands."""
     words, phrase = notice.split(), key.split()
-    return Template(label, words, next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase), len(phrase), base)
+    kind = IDENTIFIER if notice.startswith("spdx license identifier ") else NOTICE
+    return Template(label, words, next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase), len(phrase), base, kind)
+
+
+def further(t: Template) -> Template:
+    """An identifier after OR or AND in an expression; its first word is looked up, all must match."""
+    return Template(t.label, ["or", *t.words[3:]], 1, 1, False, FURTHER)
+
+
+def longer(templates: list[Template]) -> list[list[int]]:
+    """Of every identifier the others that begin with all its words: where one of them stands, the shorter does not."""
+    starts: dict[tuple[str, ...], list[int]] = {}
+    for k, t in enumerate(templates):
+        for n in range(1, len(t.words) if t.kind != NOTICE else 0):
+            starts.setdefault(tuple(t.words[:n]), []).append(k)
+    return [starts.get(tuple(t.words), []) if t.kind != NOTICE else [] for t in templates]
 
 
 def spdx_notice(identifier: str) -> tuple[str, str, str]:
@@ -127,7 +196,7 @@ def spdx_notice(identifier: str) -> tuple[str, str, str]:
     return identifier, f"spdx license identifier {words}", f"license identifier {words}"
 
 
-TEMPLATES = [*NOTICES, *map(spdx_notice, SPDX)]
+TEMPLATES = [*NOTICES, *[(label, " ".join(text.split()), key) for label, key, text in BODIES], *map(spdx_notice, SPDX)]
 
 
 def vocabulary(templates: list[Template]) -> list[str]:
@@ -171,6 +240,7 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] = BASE, templ
     the notice's words that match.  All other columns stay; one of the same name is replaced.
     """
     known = [*[template(label, phrase, phrase, True) for phrase, label in base.items()], *[template(*t) for t in dict.fromkeys(templates)]]
+    known += [further(t) for t in known if t.kind == IDENTIFIER]
     own = docs.select(docs[text].cast("string").alias("text"))
     index = postings(known, *document_frequency(own, vocabulary(known)))
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
@@ -180,7 +250,7 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] = BASE, templ
 
     strings = lambda xs: F.array(*map(F.lit, xs))
     posted = F.create_map(*[x for w in sorted(index) for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(i).alias("i")) for k, i in index[w]]))])
-    table = F.array(*[F.struct(F.lit(t.label).alias("label"), strings(t.words).alias("words"), strings(t.key).alias("key"), F.lit(t.first).alias("first"), F.lit(min(t.size, ANCHORS)).alias("anchors"), F.lit(t.base).alias("base")) for t in known])
+    table = F.array(*[F.struct(F.lit(t.label).alias("label"), strings(t.words).alias("words"), strings(t.key).alias("key"), F.lit(t.first).alias("first"), F.lit(min(t.size, ANCHORS)).alias("anchors"), F.lit(t.base).alias("base"), F.lit(t.kind).alias("kind"), F.array(*map(F.lit, more)).cast("array<int>").alias("longer")) for t, more in zip(known, longer(known), strict=True)])
     of = lambda c: F.get(table, c.t)
 
     placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s.w.isin(*sorted(index)))
@@ -190,15 +260,27 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] = BASE, templ
     # equal starts stand together: those that all posted words of the template imply stay, each once
     agreed = F.filter("implied", lambda c, i: (F.get(F.col("implied"), i + of(c).anchors - 1) == c) & ((i == 0) | (F.get(F.col("implied"), i - 1) != c)))
     sure = F.filter(agreed, lambda c: F.when(c.start + of(c).first >= 0, F.slice("words", c.start + of(c).first + 1, F.size(of(c).key)) == of(c).key).otherwise(False))
-    given = given.withColumn("sure", F.coalesce(sure, F.array().cast("array<struct<t:int,start:int>>")))
+    empty = F.array().cast("array<struct<start:int,t:int>>")
+    given = given.withColumn("found", F.coalesce(F.array_sort(F.transform(sure, lambda c: F.struct(c.start.cast("int").alias("start"), c.t.alias("t")))), empty))
+    # a further identifier stands with all its words behind OR or AND, the longest match of a place counts, and an expression goes on from an identifier
+    rest = lambda c: F.slice("words", c.start + 2, F.size(of(c).words) - 1) == F.slice(of(c).words, F.lit(2), F.size(of(c).words) - 1)
+    fits = lambda c: (of(c).kind != FURTHER) | ((c.start > 0) & F.get("words", c.start).isin("or", "and") & rest(c))
+    given = given.withColumn("found", F.filter("found", fits))
+    given = given.withColumn("found", F.filter("found", lambda c: ~F.exists("found", lambda d: (d.start == c.start) & F.array_contains(of(c).longer, d.t))))
+    goes_on = lambda s, c: F.when(of(c).kind == FURTHER, F.array_contains(s.ends, c.start)).otherwise(True)
+    ends = lambda s, c: F.when(goes_on(s, c) & (of(c).kind != NOTICE), F.array_append(s.ends, (c.start + F.size(of(c).words)).cast("int"))).otherwise(s.ends)
+    kept_on = lambda s, c: F.when(goes_on(s, c), F.array_append(s.kept, c)).otherwise(s.kept)
+    start = F.struct(F.array().cast("array<int>").alias("ends"), empty.alias("kept"))
+    chained = F.aggregate("found", start, lambda s, c: F.struct(ends(s, c).alias("ends"), kept_on(s, c).alias("kept")), lambda s: s.kept)
+    given = given.withColumn("sure", F.when(F.exists("found", lambda c: of(c).kind == FURTHER), chained).otherwise(F.col("found")))
 
     def part(c: Column) -> Column:
         there = lambda i: (c.start + i >= 0) & (c.start + i < F.size("words"))
         same = F.transform(of(c).words, lambda w, i: F.when(there(i), F.get("words", c.start + i) == w).otherwise(False))
-        return F.size(F.filter(same, lambda x: x)) / F.size(of(c).words)
+        return F.when(of(c).kind == FURTHER, 1.0).otherwise(F.size(F.filter(same, lambda x: x)) / F.size(of(c).words))
 
     scored = F.transform(F.filter("sure", lambda c: ~of(c).base), lambda c: F.struct(of(c).label.alias("label"), c.start.cast("long").alias("word"), part(c).alias("part")))
-    given = given.withColumn("places", F.filter(scored, lambda s: s.part >= enough)).withColumn("base", F.filter("sure", lambda c: of(c).base))
+    given = given.withColumn("places", F.array_distinct(F.filter(scored, lambda s: s.part >= enough))).withColumn("base", F.filter("sure", lambda c: of(c).base))
     base_labels = F.array_distinct(F.transform("base", lambda c: of(c).label))
     found = given.select(
         *[f"c{i}" for i in kept],

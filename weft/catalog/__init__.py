@@ -2,7 +2,7 @@
 
 
 def _load():
-    from weft.catalog import core, evidence, experiments, extra, flows, graphs, mining, rules, scores, tabular, traces, vectors
+    from weft.catalog import core, evidence, experiments, extra, flows, graphs, mining, reports, rules, scores, tabular, traces, vectors
 
     return core
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.catalog import flows
 from weft.catalog.core import EDGE_SQL, edges, query, table
 from weft.catalog.graphs import MEMBER, links, member, simple
 from weft.catalog.mining import _COS, _DOT, _OPEN, cents, concept_vectors, names
-from weft.operators import centrality, communities, context, evidence, graph, growth, isomorphism, iterative, mining, probes
+from weft.operators import centrality, communities, context, evidence, graph, growth, insights, isomorphism, iterative, mining, probes
 from weft.shared import written
 from weft.streaming import incremental
 
@@ -135,8 +136,6 @@ _CANON = "WITH e AS (SELECT label AS g, vec_id AS id, embedding FROM embeddings)
 
 def canonical(spark, d):
     """Canonical graphs of the labels: concepts are vectors, edges join a vector with the next two of its label."""
-    from pyspark.sql import Window
-
     e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("g"), "vec_id", "embedding", (F.col("vec_id") % 10).alias("iter"))
     w = Window.partitionBy("g").orderBy("vec_id")
     steps = None
@@ -238,3 +237,35 @@ def q06b(spark, d):
         one = context.context(g, "which customers of the machinery segment are linked", [1, 5, 9], "building", mode)
         out = one if out is None else out.unionAll(one)
     return out
+
+
+@query("c14b_candidates")
+def c14b(spark, d):
+    return mining.candidates(cents(spark, d), written(found_modules(spark, d), "modules"), names(spark, d))
+
+
+@query("k08b_all_insights")
+def k08b(spark, d):
+    s, v, c = written(simple(spark, d), "simple"), concept_vectors(spark, d), cents(spark, d)
+    found = written(insights.mine_all(s, v, c, written(found_modules(spark, d), "modules")), "insights")
+    return insights.actionability(found, c, v).withColumn("score", F.round("score", 6))
+
+
+_INSIGHTS = "ins AS (SELECT kind, place, concepts FROM (SELECT 'open_triad' AS kind, row_number() OVER (ORDER BY s DESC, a, b, c) - 1 AS place, [a, b, c] AS concepts FROM tri QUALIFY place < 10))"
+
+
+@query(
+    "w10b_actionability",
+    f"""{E}, v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT x.src AS a, arg_min(x.dst, (x.seq, y.seq)) AS b, y.dst AS c FROM simple x JOIN simple y ON x.dst = y.src AND x.src <> y.dst WHERE (x.src, y.dst) NOT IN (SELECT src, dst FROM simple) GROUP BY x.src, y.dst),
+tri AS (SELECT a, b, c, greatest(0, list_dot_product(va.v, vc.v)) AS s FROM p JOIN v va ON va.id = a JOIN v vc ON vc.id = c), {_INSIGHTS},
+ce AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v) GROUP BY i)), nv AS (SELECT id, row_number() OVER (ORDER BY 1 - list_dot_product(v, c), id) / count(*) OVER () AS p FROM v, ce), sl AS (SELECT id, row_number() OVER (ORDER BY d, id) / count(*) OVER () AS p FROM deg),
+x AS (SELECT place, avg(coalesce(nv.p, 0.5)) AS n, avg(sl.p) AS s FROM (SELECT place, unnest(concepts) AS id FROM ins) JOIN sl USING (id) LEFT JOIN nv USING (id) GROUP BY place)
+SELECT kind, place::INTEGER AS place, round(0.45 * n + 0.3 * s + 0.25 * (1 - place / (SELECT count(*) FROM ins)), 4) AS actionability FROM ins JOIN x USING (place)""",
+)
+def w10b(spark, d):
+    s, v = simple(spark, d), concept_vectors(spark, d)
+    degree = graph.both(graph.links(s)).groupBy(F.col("a").alias("id")).agg(F.count("*").cast("double").alias("pagerank"))  # degrees stand for PageRank
+    order = [F.desc("score"), "a", "b", "c"]
+    first = insights.scored_triads(s, v).orderBy(*order).limit(10)
+    found = first.select(F.lit("open_triad").alias("kind"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("place"), F.array("a", "b", "c").alias("concepts"))
+    return insights.actionability(written(found, "triads"), degree, v).select("kind", "place", "actionability")

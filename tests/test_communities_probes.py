@@ -95,3 +95,24 @@ def test_rank_sum_by_ranges(spark):
     got = embedding.rank_sum(spark.createDataFrame(rows, "g boolean, v long"), "g", "v").first()
     ones, others = [v for g, v in rows if g], [v for g, v in rows if not g]
     assert got.u == sum((a > b) + 0.5 * (a == b) for a in ones for b in others)
+
+
+@pytest.mark.parametrize("name", ["planted", "hub", "random"])
+def test_local_communities_near_plain_greedy(name):
+    edges = sorted(graphs()[name])
+    names = sorted({x for e in edges for x in e})
+    at = {x: i for i, x in enumerate(names)}
+    q, of = kernels.moved_communities(np.array([at[a] for a, _ in edges]), np.array([at[b] for _, b in edges]))
+    assert abs(q - modularity(edges, {x: int(of[at[x]]) for x in names})) < 1e-9
+    assert q >= 0.95 * modularity(edges, dict(kernels.communities([(a, b, "") for a, b in edges])))
+
+
+def test_modularity_against_rewired_graphs(spark):
+    found = {}
+    for name in ("planted", "random"):
+        row = embedding.modularity_z(spark.createDataFrame(sorted(graphs()[name]), "u long, v long"), 19).first()
+        found[name] = row
+        assert 0 < row.null_mean < 1 and row.p >= 0.05
+    assert found["planted"].z > 8 and found["planted"].p == 0.05 and abs(found["random"].z) < 4
+    with pytest.raises(ValueError, match="more than a task"):
+        embedding.modularity_z(spark.createDataFrame([(1, 2), (2, 3)], "u long, v long"), 3, 1)

@@ -9,7 +9,7 @@ from weft.catalog import flows
 from weft.catalog.core import EDGE_SQL, edges, query, table
 from weft.catalog.graphs import MEMBER, links, member, simple
 from weft.catalog.mining import _COS, _DOT, _OPEN, cents, concept_vectors, names
-from weft.operators import centrality, communities, context, evidence, graph, growth, insights, isomorphism, iterative, mining, probes
+from weft.operators import centrality, communities, context, embedding, evidence, graph, growth, insights, isomorphism, iterative, mining, probes
 from weft.shared import written
 from weft.streaming import incremental
 
@@ -269,3 +269,9 @@ def w10b(spark, d):
     first = insights.scored_triads(s, v).orderBy(*order).limit(10)
     found = first.select(F.lit("open_triad").alias("kind"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("place"), F.array("a", "b", "c").alias("concepts"))
     return insights.actionability(written(found, "triads"), degree, v).select("kind", "place", "actionability")
+
+
+@query("n02b_modularity_redetected")
+def n02b(spark, d):
+    z = embedding.modularity_z(links(spark, d), 50)
+    return z.select(*[F.round(c, 6).alias(c) for c in z.columns])

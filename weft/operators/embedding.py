@@ -174,6 +174,27 @@ def swapped_edges(left: np.ndarray, right: np.ndarray, rng: np.random.Generator)
     return None
 
 
+def modularity_z(undirected: DataFrame, seeds: int, task_links: int = 2_000_000) -> DataFrame:
+    """Modularity of a graph's communities against graphs with the same degrees: observed, null mean and deviation, z and p.
+
+    Communities are found anew in every draw, by the same rule as in the graph itself.  A draw is one task's work, so the
+    graph must fit one; above ``task_links`` links, which are counted first, this is an error.
+    """
+    from weft.operators.kernels import moved_communities
+
+    n = undirected.count()
+    if n > task_links:
+        raise ValueError(f"{n} links are more than a task may hold ({task_links})")
+
+    def q(pdf: pd.DataFrame, rng: np.random.Generator | None) -> float | None:
+        _, ends = np.unique(np.concatenate((pdf.u.to_numpy(), pdf.v.to_numpy())), return_inverse=True)
+        pair = (ends[: len(pdf)], ends[len(pdf) :])
+        pair = pair if rng is None else swapped_edges(*pair, rng)
+        return None if pair is None else moved_communities(*pair)[0]
+
+    return permutation_z(undirected.select("u", "v"), q, seeds)
+
+
 def motif_z(edges: DataFrame, seeds: int) -> DataFrame:
     """Number of paths a -> b -> c by their two relations, null mean and deviation, z and p when relations are permuted over the edges.
 

@@ -36,56 +36,62 @@ def _n(a: Column) -> Column:
 
 def graph_metrics(df: DataFrame) -> DataFrame:
     """Add the metrics of prediction (pn, pe), target (gn, ge) and start (xn, xe) maps and fixed_nodes, fixed_edges arrays."""
-    keys = {c: F.map_keys(c) for c in ("pn", "pe", "gn", "ge", "xn", "xe")}
-    df = df.withColumns({f"k_{c}": F.coalesce(k, F.array().cast("array<string>")) for c, k in keys.items()})
-    df = df.withColumns({f"e_{c}": F.array_distinct(_ends(F.col(f"k_{c}"))) for c in ("pe", "ge", "xe")})
+    none = F.array().cast("array<string>")
+    df = df.withColumns({f"k_{c}": F.coalesce(F.map_keys(c), none) for c in ("pn", "pe", "gn", "ge", "xn", "xe")})
+    # the ends of every edge, once, beside its key
+    df = df.withColumns({f"e_{c}": _ends(F.col(f"k_{c}")) for c in ("pe", "ge", "xe")})
     both, less = F.array_intersect, F.array_except
+    held = lambda k, i, ends, of: F.array_contains(of, F.get(ends, i))
     df = df.withColumns(
         {
             "add_n": less("k_gn", "k_xn"),
             "add_e": less("k_ge", "k_xe"),
             "rem_e": less("k_xe", "k_ge"),
-            "repair": F.filter("k_ge", lambda k: F.array_contains("e_xe", _ends(F.array(k))[0]) & ~F.array_contains("k_xe", k)),
-            "wrong": F.filter("k_xe", lambda k: F.array_contains("e_ge", _ends(F.array(k))[0]) & ~F.array_contains("k_ge", k)),
+            "repair": F.filter("k_ge", lambda k, i: held(k, i, "e_ge", "e_xe") & ~F.array_contains("k_xe", k)),
+            "wrong": F.filter("k_xe", lambda k, i: held(k, i, "e_xe", "e_ge") & ~F.array_contains("k_ge", k)),
             "fn": F.array_distinct("fixed_nodes"),
             "fe": F.array_distinct("fixed_edges"),
         }
     )
-    node, edge = (prf(_n(both(f"k_p{x}", f"k_g{x}")), _n(F.col(f"k_p{x}")), _n(F.col(f"k_g{x}"))) for x in "ne")
-    comparable = _n(F.filter("k_pe", lambda k: F.array_contains("e_ge", _ends(F.array(k))[0])))
-    same = _n(both("k_pe", "k_ge"))
-    kept_n = _n(F.filter("fn", lambda k: F.coalesce(F.col("pn")[k] == F.col("xn")[k], F.lit(False))))
-    kept_e = _n(F.filter("fe", lambda k: F.coalesce(F.col("pe")[k] == F.col("xe")[k], F.lit(False))))
-    exact_n = _n(F.filter("k_gn", lambda k: F.coalesce(F.col("pn")[k] == F.col("gn")[k], F.lit(False))))
-    exact_e = _n(F.filter("k_ge", lambda k: F.coalesce(F.col("pe")[k] == F.col("ge")[k], F.lit(False))))
-    size = lambda c: _n(F.col(c))
-    predicted, wanted = size("k_pn") + size("k_pe"), size("k_gn") + size("k_ge")
-    start_n = _n(F.filter("k_xn", lambda k: F.coalesce(F.col("pn")[k] == F.col("xn")[k], F.lit(False))))
-    start_e = _n(F.filter("k_xe", lambda k: F.coalesce(F.col("pe")[k] == F.col("xe")[k], F.lit(False))))
-    fixed_n, fixed_e = ratio(kept_n, size("fn")), ratio(kept_e, size("fe"))
+    alike = lambda keys, one, two: _n(F.filter(keys, lambda k: F.coalesce(F.col(one)[k] == F.col(two)[k], F.lit(False))))
+    # every count once, as a column: the ratios below name them many times
+    counts = {
+        **{f"#{c}": _n(F.col(c)) for c in ("k_pn", "k_pe", "k_gn", "k_ge", "k_xn", "k_xe", "add_n", "add_e", "rem_e", "repair", "wrong", "fn", "fe")},
+        "#n": _n(both("k_pn", "k_gn")), "#e": _n(both("k_pe", "k_ge")), "#comparable": _n(F.filter("e_pe", lambda x: F.array_contains("e_ge", x))),
+        "#kept_n": alike("fn", "pn", "xn"), "#kept_e": alike("fe", "pe", "xe"), "#exact_n": alike("k_gn", "pn", "gn"), "#exact_e": alike("k_ge", "pe", "ge"), "#start_n": alike("k_xn", "pn", "xn"), "#start_e": alike("k_xe", "pe", "xe"),
+        "#fixed_n": _n(both("fn", "k_pn")), "#fixed_e": _n(both("fe", "k_pe")), "#added_n": _n(both("add_n", "k_pn")), "#added_e": _n(both("add_e", "k_pe")), "#removed": _n(less("rem_e", "k_pe")), "#repaired": _n(both("repair", "k_pe")), "#corrected": _n(less("wrong", "k_pe")),
+    }
+    df = df.withColumns(counts)
+    n = lambda c: F.col(f"#{c}")
+    df = df.withColumns({f"#{x}_{m}": c for x, cs in (("n", prf(n("n"), n("k_pn"), n("k_gn"))), ("e", prf(n("e"), n("k_pe"), n("k_ge")))) for m, c in zip(("precision", "recall"), cs[:2], strict=True)})
+    f1 = lambda x: F.when(n(f"{x}_precision") + n(f"{x}_recall") == 0, 0.0).otherwise(2 * n(f"{x}_precision") * n(f"{x}_recall") / F.when(n(f"{x}_precision") + n(f"{x}_recall") != 0, n(f"{x}_precision") + n(f"{x}_recall")))
+    predicted, wanted = n("k_pn") + n("k_pe"), n("k_gn") + n("k_ge")
+    fixed_n, fixed_e = ratio(n("kept_n"), n("fn")), ratio(n("kept_e"), n("fe"))
+    exact = n("exact_n") + n("exact_e")
     out = {
-        **{f"node_{m}": c for m, c in zip(("precision", "recall", "f1"), node, strict=True)},
-        **{f"edge_{m}": c for m, c in zip(("precision", "recall", "f1"), edge, strict=True)},
-        "relation_accuracy": ratio(same, comparable, 0.0),
-        "relation_recall": ratio(same, size("k_ge")),
-        "relation_repair_recall": ratio(_n(both("repair", "k_pe")), size("repair")),
-        "wrong_relation_removal_rate": ratio(_n(less("wrong", "k_pe")), size("wrong")),
-        "fixed_node_preservation": ratio(_n(both("fn", "k_pn")), size("fn")),
-        "fixed_edge_preservation": ratio(_n(both("fe", "k_pe")), size("fe")),
+        **{f"{name}_{m}": n(f"{x}_{m}") for x, name in (("n", "node"), ("e", "edge")) for m in ("precision", "recall")},
+        "node_f1": f1("n"),
+        "edge_f1": f1("e"),
+        "relation_accuracy": ratio(n("e"), n("comparable"), 0.0),
+        "relation_recall": ratio(n("e"), n("k_ge")),
+        "relation_repair_recall": ratio(n("repaired"), n("repair")),
+        "wrong_relation_removal_rate": ratio(n("corrected"), n("wrong")),
+        "fixed_node_preservation": ratio(n("fixed_n"), n("fn")),
+        "fixed_edge_preservation": ratio(n("fixed_e"), n("fe")),
         "fixed_node_payload_exact": fixed_n,
         "fixed_edge_payload_exact": fixed_e,
         "fixed_object_exact": F.least(fixed_n, fixed_e),
-        "node_add_recall": ratio(_n(both("add_n", "k_pn")), size("add_n")),
-        "edge_add_recall": ratio(_n(both("add_e", "k_pe")), size("add_e")),
-        "addition_recall": ratio(_n(both("add_n", "k_pn")) + _n(both("add_e", "k_pe")), size("add_n") + size("add_e")),
-        "removal_rate": ratio(_n(less("rem_e", "k_pe")), size("rem_e")),
-        "spurious_nodes": _n(less("k_pn", "k_gn")),
-        "spurious_edges": _n(less("k_pe", "k_ge")),
-        "payload_precision": F.when(predicted == 0, F.when(wanted == 0, 1.0).otherwise(0.0)).otherwise((exact_n + exact_e) / F.when(predicted != 0, predicted)),
-        "same_as_target": ((exact_n + exact_e == wanted) & (predicted == wanted)).cast("double"),
-        "no_edit_match": ((start_n + start_e == size("k_xn") + size("k_xe")) & (predicted == size("k_xn") + size("k_xe"))).cast("double"),
+        "node_add_recall": ratio(n("added_n"), n("add_n")),
+        "edge_add_recall": ratio(n("added_e"), n("add_e")),
+        "addition_recall": ratio(n("added_n") + n("added_e"), n("add_n") + n("add_e")),
+        "removal_rate": ratio(n("removed"), n("rem_e")),
+        "spurious_nodes": n("k_pn") - n("n"),
+        "spurious_edges": n("k_pe") - n("e"),
+        "payload_precision": F.when(predicted == 0, F.when(wanted == 0, 1.0).otherwise(0.0)).otherwise(exact / F.when(predicted != 0, predicted)),
+        "same_as_target": ((exact == wanted) & (predicted == wanted)).cast("double"),
+        "no_edit_match": ((n("start_n") + n("start_e") == n("k_xn") + n("k_xe")) & (predicted == n("k_xn") + n("k_xe"))).cast("double"),
     }
-    helpers = [c for c in df.columns if c.startswith(("k_", "e_"))] + ["add_n", "add_e", "rem_e", "repair", "wrong", "fn", "fe"]
+    helpers = [c for c in df.columns if c.startswith(("k_", "e_", "#"))] + ["add_n", "add_e", "rem_e", "repair", "wrong", "fn", "fe"]
     return df.withColumns(out).drop(*helpers)
 
 

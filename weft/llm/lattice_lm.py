@@ -96,7 +96,7 @@ class Lattice:
 
     def matches(self, data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length, which of the places ``at`` start a piece that ends by ``stop``, and the piece."""
-        who, node = np.arange(len(at)), np.zeros(len(at), np.int32)
+        who, node = np.arange(len(at), dtype=np.int32), np.zeros(len(at), np.int32)
         for step in range(1, self.longest + 1):
             inside = at[who] + step <= stop[who]
             who, node = who[inside], node[inside]
@@ -133,9 +133,10 @@ class Lattice:
         live = np.searchsorted(-size, -np.arange(top + 1), side="right")  # rows of at least so many bytes
         # places in the order of (place in the chunk, row), so that what starts at a place of all chunks lies together
         base = np.concatenate(([0], np.cumsum(live[1:])))
-        at = np.concatenate([offsets[rows[: live[t + 1]]] + t for t in range(top)])
-        place = np.repeat(np.arange(top), live[1:])
-        stop = offsets[rows + 1][np.arange(len(at)) - base[place]]
+        # 32 bits hold any place of a block
+        starts, ends = offsets[rows].astype(np.int32), offsets[rows + 1].astype(np.int32)
+        at = np.concatenate([starts[: live[t + 1]] + np.int32(t) for t in range(top)])
+        stop = np.concatenate([ends[: live[t + 1]] for t in range(top)])
         by_length = [(length, who, p, np.searchsorted(who, base)) for length, who, p in self.matches(data, at, stop)]
         forward = [np.zeros(live[0])]
         for t in range(1, top + 1):

@@ -78,6 +78,19 @@ def test_probes_equal_a_plain_fit(spark):
         assert np.allclose(got[layer], values, atol=1e-9)
 
 
+def test_probes_with_parts_that_no_group_falls_into(spark):
+    rows = [(0, i % 3 % 2, [float(i % 7), float(i % 5)]) for i in range(60)]
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}  # as on large tables: joined by shuffle, one group for four parts
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        got = probes.probes(spark.createDataFrame(rows, "layer int, label int, v array<double>"), "layer", "label", "v", max_rounds=1).collect()
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    assert [(r.layer, r.n) for r in got] == [(0, 60)]
+
+
 def test_places_and_running_sums(spark):
     rng = random.Random(3)
     values = [rng.randrange(40) for _ in range(300)]

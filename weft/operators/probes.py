@@ -49,7 +49,8 @@ def probes(rows: DataFrame, group: str, label: str, vector: str, c: float = 1.0,
                 g, h = c * x.T @ (p - part.y.to_numpy()), c * (x * (p * (1 - p))[:, None]).T @ x
                 old = held.get(key)
                 held[key] = (g, h) if old is None else (old[0] + g, old[1] + h)
-        yield pd.DataFrame({group: list(held), "g": [g.tolist() for g, _ in held.values()], "h": [h.ravel().tolist() for _, h in held.values()]})
+        if held:  # an empty frame has no lists to make columns of
+            yield pd.DataFrame({group: list(held), "g": [g.tolist() for g, _ in held.values()], "h": [h.ravel().tolist() for _, h in held.values()]})
 
     def step(blocks: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         w = np.array(old.w.iloc[0])

@@ -107,3 +107,30 @@ def test_audit_at_every_beam(beam):
     base = rng.normal(size=48)
     x = np.concatenate((rng.normal(size=(1500, 48)), base + rng.normal(scale=0.1, size=(beam - 10, 48))))
     assert queried(x, {beam: beam // 2}, (np.arange(len(x)), x)) == dict.fromkeys(range(1500, len(x)), beam - 11)
+
+
+def test_graphs_in_chunks_and_queries_in_blocks(monkeypatch):
+    monkeypatch.setattr(vector_links, "CHUNK", 500)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=12)
+    x = np.concatenate((rng.normal(size=(60, 12)), base + rng.normal(scale=0.1, size=(40, 12))))
+    chunks = vector_links._build(pd.DataFrame({"shard": 3, "cid": np.arange(100), "n": 1, "v": list(x)}))
+    assert len(chunks) > 20 and chunks.blob.map(len).max() <= 500
+    rows = pd.concat([chunks, pd.DataFrame({"shard": 3, "part": -1, "cid": np.arange(100), "v": list(x)})]).assign(lane=0)
+    sizes, run = [], vector_links._querier(0.9, 8)
+    monkeypatch.setattr(vector_links, "_querier", lambda *_: lambda asked, graph: sizes.append(len(asked)) or run(asked, graph))
+    out = pd.concat(vector_links._streamed(0.9, 8, 30)([rows.iloc[a : a + 17] for a in range(0, len(rows), 17)]))
+    assert sum(sizes) == 100 and max(sizes) < 30 + 17
+    number = dict.fromkeys(range(100), 0)
+    for r in out.itertuples():
+        number[r.a] += {0: 1, 1: r.n, 2: 0}[r.kind]
+    assert number == {k: 39 if k >= 60 else 0 for k in range(100)}
+
+
+def test_hits_of_hot_groups_are_not_held():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=16) + rng.normal(scale=0.05, size=(900, 16))
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    seen = {}
+    hits, exact = vector_links.range_search(Poor(unit, {}), unit, 0.9, take=lambda k, found, counted: seen.update({k: (len(found), counted)}))
+    assert seen == dict.fromkeys(range(900), (900, True)) and exact.all() and not any(h is not None for h in hits)

@@ -21,11 +21,16 @@ Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of different lengths never link; equal
 vectors always do; a null vec_id counts as a vector and takes part, its own
 component_id is that of its links; an empty table gives an empty result.
+
+A graph travels in chunks to the ``LANES`` tasks that share its shard's queries: they
+read it once and take their queries a block at a time.  What a query finds is counted
+and joined to its group at once, so a task holds one graph and one block.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +50,8 @@ LINKS, DIVERSE, RATIO = 20, 10, 16
 BEAM, BUILD_BEAM, RECALL = 32, 48, 0.98
 #: Links of one query in one shard from which on it is compared exactly and counted.
 HOT = 128
+#: Bytes of a row that holds a piece of a shard's graph, and tasks that share a shard's queries.
+CHUNK, LANES = 1 << 20, 4
 #: Queries compared with the whole shard at a time, until so many of them have links.
 AUDIT, AUDIT_LINKED = 96, 64
 
@@ -196,32 +203,42 @@ class ShardIndex:
         return beam_search(self.x, self.graphs[0], queries, entry, beam)
 
 
-def range_search(index: ShardIndex, queries: np.ndarray, least: float, hot: int = HOT, recall: float = RECALL, own: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+def range_search(index: ShardIndex, queries: np.ndarray, least: float, hot: int = HOT, recall: float = RECALL, own: np.ndarray | None = None, take: Callable[[int, np.ndarray, bool], None] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """Candidates (vector numbers) of every query with similarity near ``least`` or above, and which queries were compared exactly and are to be counted.
 
     ``own`` has the number of each query in the index (-1: not in it); audits leave that match out.
+    With ``take`` each query's candidates are handed to it (query, candidates, whether they are to be counted) as soon
+    as they are known, and are not held: those of a hot group are as many as the group is large.
     """
     low = np.float32(least - 1e-4)
     n = len(queries)
     own = np.full(n, -1) if own is None else own
     hits: list = [None] * n
-    exact = np.zeros(n, bool)
+    known, exact = np.zeros(n, bool), np.zeros(n, bool)
+
+    def put(k: int, found: np.ndarray, compared: bool = False) -> None:
+        known[k], exact[k] = True, compared or len(found) > 2 * hot
+        if take is None:
+            hits[k] = found
+        else:
+            take(k, found, bool(exact[k]))
 
-    def compare(part: np.ndarray) -> None:
+    def compare(part: np.ndarray, last: bool = False) -> Iterator[tuple[int, np.ndarray]]:
         for a in range(0, len(part), 256):
             s = queries[part[a : a + 256]] @ index.x.T >= low
             for i, k in enumerate(part[a : a + 256].tolist()):
-                hits[k] = np.flatnonzero(s[i])
+                found = np.flatnonzero(s[i])
+                put(k, found, last)
+                yield k, found
 
     def audited(some: np.ndarray, found: list[np.ndarray]) -> bool:
         """Compare queries with the whole shard until AUDIT_LINKED have links or none is left; whether what was found is recall enough."""
         shares, got, want = [], 0, 0
         order = np.random.default_rng(len(some)).permutation(len(some))
         for a in range(0, len(order), AUDIT):
-            compare(some[order[a : a + AUDIT]])
-            for i in order[a : a + AUDIT].tolist():
-                k = int(some[i])
-                links = hits[k][hits[k] != own[k]]
+            part = order[a : a + AUDIT]
+            for i, (k, links) in zip(part.tolist(), compare(some[part]), strict=True):
+                links = links[links != own[k]]
                 if len(links):
                     there = int(np.isin(links, found[i]).sum())
                     shares.append(there / len(links))
@@ -241,13 +258,12 @@ def range_search(index: ShardIndex, queries: np.ndarray, least: float, hot: int
         decided, found = pending[~full], [i[g] for i, g in zip(ids[~full], good[~full], strict=True)]
         if audited(decided, found):
             for k, f in zip(decided.tolist(), found, strict=True):
-                if hits[k] is None:
-                    hits[k] = f
-        pending = np.array([k for k in pending.tolist() if hits[k] is None], int)
+                if not known[k]:
+                    put(k, f)
+        pending = pending[~known[pending]]
         beam *= 2
-    compare(pending)
-    exact[pending] = True
-    exact |= np.array([len(h) > 2 * hot for h in hits], bool)
+    for _ in compare(pending, True):
+        pass
     return hits, exact
 
 
@@ -267,46 +283,91 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     unit = unit_rows(pdf.v)
     with tb.watched(0, STUCK_S):
         index = ShardIndex(unit.astype(np.float32))
+    index.x = None  # made again from the doubles where it is read
     blob = pickle.dumps((index, pdf.cid.to_numpy(), pdf.n.to_numpy(), unit))
-    return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "blob": [blob]})
+    cuts = range(0, len(blob), CHUNK)
+    return pd.DataFrame({"shard": int(pdf.shard.iloc[0]), "part": np.arange(len(cuts)), "blob": [blob[a : a + CHUNK] for a in cuts]})
 
 
 def _querier(least: float, hot: int):
     def run(queries: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
+        out: list[tuple] = []
         if len(queries) and len(blobs):
             shard = int(queries.shard.iloc[0])
             index, cids, times, unit = pickle.loads(blobs.blob.iloc[0])
+            if index.x is None:
+                index.x = unit.astype(np.float32)
             v = unit_rows(queries.v)
             own = queries.cid.to_numpy()
             order = np.argsort(cids)
             at = order[np.searchsorted(cids, own, sorter=order) % len(cids)]
-            hits, exact = range_search(index, v.astype(np.float32), least, hot, own=np.where(cids[at] == own, at, -1))
-            parent: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for k, found in enumerate(hits):
+            at = np.where(cids[at] == own, at, -1)
+            # nodes are the shard's vectors, then the queries that are not among them
+            node = np.where(at >= 0, at, len(cids) + np.arange(len(own)))
+            ids = np.concatenate((cids, own))
+            parent = np.arange(len(ids))
+
+            def roots(x: np.ndarray) -> np.ndarray:
+                top = parent[x]
+                while (parent[top] != top).any():
+                    top = parent[top]
+                parent[x] = top
+                return top
+
+            def take(k: int, found: np.ndarray, counted: bool) -> None:
                 found = found[(unit[found] @ v[k] >= least) & (cids[found] != own[k])]
-                me = int(own[k])
-                if exact[k]:
-                    rows.append((1, me, shard, int(times[found].sum())))
-                else:
-                    rows += [(0, me, int(c), 0) for c in cids[found]]
-                for c in cids[found].tolist():
-                    x, y = find(me), find(c)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-            rows += [(2, x, find(x), 0) for x in list(parent) if find(x) != x]
-        return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
+                if counted:
+                    out.append(([1], [own[k]], [shard], [int(times[found].sum())]))
+                if not len(found):
+                    return
+                if not counted:
+                    out.append(([0] * len(found), [own[k]] * len(found), cids[found], [0] * len(found)))
+                tops = np.unique(roots(np.append(found, node[k])))
+                parent[tops] = tops[0]
+
+            range_search(index, v.astype(np.float32), least, hot, own=at, take=take)
+            top = roots(np.arange(len(ids)))
+            under = np.flatnonzero(top != np.arange(len(ids)))
+            out.append((np.full(len(under), 2), ids[under], ids[top[under]], np.zeros(len(under), int)))
+        return pd.DataFrame({c: np.concatenate([x[i] for x in out]).astype(np.int64) if out else np.zeros(0, np.int64) for i, c in enumerate(("kind", "a", "b", "n"))})
 
     return run
 
 
+def _streamed(least: float, hot: int, wide: int):
+    """Over rows sorted by shard, lane and part: the chunks of a shard's graph come first, then its queries, ``wide`` of them at a time."""
+    run = _querier(least, hot)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, chunks, graph, held = None, [], None, []
+
+        def asked() -> pd.DataFrame:
+            found = run(pd.concat(held), graph)
+            held.clear()
+            return found
+
+        for batch in batches:
+            for key, rows in batch.groupby(["shard", "lane"], sort=True):
+                if key != now:
+                    if held:
+                        yield asked()
+                    now, chunks, graph = key, [], None
+                chunks += rows.blob[rows.part >= 0].tolist()
+                rows = rows[rows.part < 0]
+                if not len(rows):
+                    continue
+                if graph is None:
+                    graph, chunks = pd.DataFrame({"shard": [key[0]], "blob": [b"".join(chunks)]}), []
+                for a in range(0, len(rows), wide):
+                    held.append(rows.iloc[a : a + wide])
+                    if sum(map(len, held)) >= wide:
+                        yield asked()
+        if held:
+            yield asked()
+
+    return stream
+
+
 def link_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", hot: int = HOT, shard: int = SHARD, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors``."""
     given = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[embedding].cast("array<double>").alias("v"))
@@ -316,15 +377,20 @@ def link_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
     total = classes.groupBy("dim").count().toPandas()
     members = given.where("ok").select("vec_id", "v").join(classes.select("v", "cid"), "v").select("vec_id", "cid")
     results, spark = None, vectors.sparkSession
+    tb.arrow_batches(spark)
     for dim, count in zip(total.dim.tolist(), total["count"].tolist(), strict=True):
         room, wide = max(64, min(shard, SHARD_BYTES // (12 * dim))), max(64, min(BLOCK, BLOCK_BYTES // (8 * dim)))
         shards, blocks = max(least_shards, -(-count // room)), max(1, -(-count // wide))
         shards = min(shards, max(1, count // 64))
         own = classes.where(F.col("dim") == dim).select("cid", "v", "n", F.pmod(F.xxhash64("cid"), F.lit(shards)).alias("shard"))
-        built = written(own.groupBy("shard").applyInPandas(_build, "shard long, blob binary"), "graphs")
-        dealt = built.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        asked = own.select("cid", "v", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-        part = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(_querier(least, hot), RESULT)
+        lanes = min(blocks, LANES)
+        built = written(own.groupBy("shard").applyInPandas(_build, "shard long, part long, blob binary"), "graphs")
+        lane = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+        dealt = built.select("shard", F.explode(lane(lanes)).alias("lane"), "part", "blob", F.lit(None).cast("long").alias("cid"), F.lit(None).cast("array<double>").alias("v"))
+        asked = own.select(F.explode(lane(shards)).alias("shard"), F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(lanes)).alias("lane"), F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("blob"), "cid", "v")
+        # a graph's chunks, then (part -1) the queries: both of a group in one partition, no row larger than a chunk
+        rows = dealt.union(asked).repartitionById(shards * lanes, (F.col("shard") * lanes + F.col("lane")).cast("int")).sortWithinPartitions("shard", "lane", F.col("part") < 0, "part")
+        part = rows.mapInPandas(_streamed(least, hot, wide), RESULT)
         part = written(part.withColumn("shards", F.lit(shards)), "links")
         results = part if results is None else results.union(part)
     if results is None:

@@ -1,6 +1,9 @@
 """What travels: how often the rows of large tables are shuffled, and how wide."""
 
-from weft.catalog import scores
+from pyspark.sql import functions as F
+
+from weft.catalog import reports, scores
+from weft.operators import benchmark, sampling
 
 D = "/root/testdata/sf0.001"
 
@@ -16,3 +19,25 @@ def exchanges(df):
 
 def test_lines_of_tasks_travel_once(spark):
     assert exchanges(scores.tasks(spark, D)) == 1
+
+
+def test_integrity_sends_tasks_once(spark):
+    row = "source_index string, variant_index string, mode string"
+    refs = spark.createDataFrame([("1", "0", "a"), ("1", None, "a"), ("2", "0", "b")], row)
+    preds = spark.createDataFrame([("1", "0", "a", 1), ("1", "0", "a", 1), ("1", None, "a", 1), ("3", "0", None, 1)], row + ", generation_index int")
+    out = benchmark.integrity(preds, refs, 5)
+    r = out.first()
+    assert (r.input_prediction_rows, r.missing_mode_rows, r.expected_unique_tasks, r.predicted_unique_tasks, r.duplicate_task_generation_rows) == (4, 1, 3, 2, 1)
+    assert (r.missing_expected_tasks, r.unexpected_tasks, r.missing_expected_examples, r.unexpected_examples) == (2, 1, ["1:a", "2:0:b"], ["1:a"])  # a null key meets none
+    assert plan(out).count("Exchange hashpartitioning(source_index") <= 2  # for the counts, and again for the examples
+
+
+def test_prepared_splits_write_what_they_read(spark):
+    preds, refs = reports.saved(spark, D, [], [*benchmark.KEYS, "bad"])
+    assert preds is None and refs.columns == [*benchmark.KEYS, "bad"]
+
+
+def test_balanced_cap_passes_on_first_rows_only(spark):
+    df = spark.range(1000).select((F.col("id") % 2).cast("string").alias("mode"), "id")
+    cut = sampling.balanced_cap(df, "mode", F.col("id"), ["0", "1"], 20)
+    assert cut.count() == 20 and "WindowGroupLimit" in plan(cut)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weft.catalog import reports, scores
-from weft.operators import benchmark, sampling
+from weft.operators import benchmark, communities, sampling
 
 D = "/root/testdata/sf0.001"
 
@@ -41,3 +41,18 @@ def test_balanced_cap_passes_on_first_rows_only(spark):
     df = spark.range(1000).select((F.col("id") % 2).cast("string").alias("mode"), "id")
     cut = sampling.balanced_cap(df, "mode", F.col("id"), ["0", "1"], 20)
     assert cut.count() == 20 and "WindowGroupLimit" in plan(cut)
+
+
+def without_broadcasts(spark, made):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan(made())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_round_of_communities_sends_links_twice(spark):
+    links = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (2, 3, 1), (3, 2, 1)], "a long, b long, w long")
+    known = spark.createDataFrame([(1, 1, 1, 1), (2, 2, 2, 2), (3, 3, 1, 1)], "id long, community long, volume long, all long")
+    text = without_broadcasts(spark, lambda: communities._moved(links, known, 4, 0))
+    assert text.count("Exchange hashpartitioning") <= 4  # two for the links, two for the nodes that they meet

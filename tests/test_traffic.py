@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weft.catalog import reports, scores
-from weft.operators import benchmark, communities, sampling
+from weft.operators import benchmark, communities, graph, insights, mining, sampling
 
 D = "/root/testdata/sf0.001"
 
@@ -56,3 +56,20 @@ def test_a_round_of_communities_sends_links_twice(spark):
     known = spark.createDataFrame([(1, 1, 1, 1), (2, 2, 2, 2), (3, 3, 1, 1)], "id long, community long, volume long, all long")
     text = without_broadcasts(spark, lambda: communities._moved(links, known, 4, 0))
     assert text.count("Exchange hashpartitioning") <= 4  # two for the links, two for the nodes that they meet
+
+
+def test_recombinations_pair_ends_with_vectors_only(spark):
+    edges = spark.createDataFrame([(1, 2, 3), (2, 3, 1), (2, 4, 2), (3, 3, 0)], "src long, dst long, iter long")
+    born = spark.createDataFrame([(1, 3), (2, 1), (3, 5), (4, 2)], "id long, iter long")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.0, 1.0]), (2, [1.0, 0.0])], "id long, v array<double>")
+    found = lambda: mining.recombinations(edges, born, vectors, below=0.5)
+    assert [(r.u, r.v, r.iter) for r in found().collect()] == [(1, 3, 5)]  # node 4 has no vector, 3 came in round 5
+    text = without_broadcasts(spark, found)
+    assert text.count("Exchange hashpartitioning(u") + text.count("Exchange hashpartitioning(v") <= 9  # not once for each end's edges and births
+
+
+def test_triads_pair_ends_with_vectors_only(spark):
+    simple = spark.createDataFrame([(1, 2, "r", 1), (2, 3, "r", 2), (2, 4, "r", 3), (5, 2, "r", 4)], "src long, dst long, relation string, seq long")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None)], "id long, v array<double>")
+    assert [tuple(r) for r in insights.scored_triads(simple, vectors).collect()] == [(1, 2, 3, 1.0)]
+    assert {(r.a, r.c) for r in graph.open_triads(simple, vectors.select("id")).collect()} == {(1, 3), (1, 4)}

@@ -1,5 +1,8 @@
 """What travels: how often the rows of large tables are shuffled, and how wide."""
 
+import math
+import re
+
 from pyspark.sql import functions as F
 
 from weft.catalog import reports, scores
@@ -73,3 +76,28 @@ def test_triads_pair_ends_with_vectors_only(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None)], "id long, v array<double>")
     assert [tuple(r) for r in insights.scored_triads(simple, vectors).collect()] == [(1, 2, 3, 1.0)]
     assert {(r.a, r.c) for r in graph.open_triads(simple, vectors.select("id")).collect()} == {(1, 3), (1, 4)}
+
+
+def test_latent_links_send_pairs_once(spark):
+    links = [(1, 2), (1, 3), (1, 4), (2, 5), (3, 5), (4, 5), (5, 6)]
+    u = spark.createDataFrame(links, "u long, v long")
+    vectors = spark.createDataFrame([(2, [1.0])], "id long, v array<double>")
+    text = without_broadcasts(spark, lambda: mining.latent_links(u, vectors))
+    assert len(re.findall(r"Exchange hashpartitioning\(u#\d+L?, v#\d+L?", text)) == 4  # opened pairs and links; the same for the highest score
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for hub in (2, 200):
+        first = {k: sorted(x)[:hub] for k, x in near.items()}
+        opened = {(a, b) for x in first.values() for a in x for b in x if a < b and b not in near[a]}
+        want = {(a, b): len(near[a] & near[b]) for a, b in opened}
+        assert {(r.u, r.v): r.common for r in mining.latent_links(u, vectors, hub=hub).collect()} == want
+
+
+def test_adamic_adar_sends_wedges_once(spark):
+    u = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4)], "u long, v long")
+    text = without_broadcasts(spark, lambda: graph.adamic_adar(u))
+    assert len(re.findall(r"Exchange hashpartitioning\(u#\d+L?, v#\d+L?", text)) == 2  # wedges and links
+    assert {(r.u, r.v): (r.common, round(r.aa, 9)) for r in graph.adamic_adar(u).collect()} == {(1, 4): (2, round(2 / math.log(2), 9)), (2, 3): (2, round(2 / math.log(2), 9))}
+    assert text.count("Exchange hashpartitioning(mid") == 0

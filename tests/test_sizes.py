@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from weft.catalog import extra, traces, vectors
-from weft.operators import embedding, kernels
+from weft.operators import embedding, iterative, kernels
 
 LINKS = [(a, (a + k) % 30) for a in range(30) for k in (1, 3, 7)[: 1 + a % 3]]
 
@@ -41,3 +41,30 @@ def test_null_models_leave_graphs_off_the_driver(spark, monkeypatch, small_drive
 def test_draws_do_not_depend_on_the_order_of_rows(spark):
     one, two = (embedding.modularity_z(spark.createDataFrame(rows, "u long, v long").repartition(3), 5).first() for rows in (LINKS, LINKS[::-1]))
     assert one == two
+
+
+def test_paths_are_searched_from_both_ends(spark, monkeypatch):
+    """Of a grid's shortest paths the smallest predecessors from the target on; levels hold what lies within half the distance."""
+    grid = [((x, y), (x + 1, y)) for x in range(11) for y in range(12)] + [((x, y), (x, y + 1)) for x in range(12) for y in range(11)]
+    code = lambda p: (p[0] * 12 + p[1]) * 5 % 144
+    assert len({code((x, y)) for x in range(12) for y in range(12)}) == 144
+    links = [(code(p), code(q)) for p, q in grid]
+    both = links + [(b, a) for a, b in links]
+    pairs = [(code((5, 5)), code((9, 6))), (code((5, 5)), code((6, 5))), (code((5, 5)), code((5, 5))), (code((0, 0)), code((11, 11))), (code((2, 3)), 999), (code((1, 9)), code((3, 6)))]
+    levels = []
+    real = iterative.written
+    monkeypatch.setattr(iterative, "written", lambda df, name: levels.append((name, real(df, name))) or levels[-1][1])
+    got = {(r.source, r.target): (r.dist, tuple(r.path)) for r in iterative.shortest_paths(spark.createDataFrame(both, "a long, b long"), spark.createDataFrame(pairs, "source long, target long"), 9).collect()}
+    near = kernels._adjacency([(*p, "") for p in links], False)
+    want = {}
+    for s, t in pairs:
+        d = kernels.distances(near, s) if s in near else {s: 0}
+        if d.get(t, 99) <= 9:
+            path = [t]
+            while path[0] != s:
+                path.insert(0, min(x for x in near[path[0]] if d[x] == d[path[0]] - 1))
+            want[s, t] = (d[t], tuple(path))
+    assert got == want and len(want) == 4
+    monkeypatch.undo()
+    held = [df.where(f"end = {code((5, 5))}").count() for name, df in levels if name == "level"]
+    assert 0 < sum(held) <= 2 + 4 + 8 + 12  # three steps from it meet two from the other end

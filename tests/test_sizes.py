@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from weft.catalog import extra, traces, vectors
-from weft.operators import embedding, iterative, kernels
+from weft.operators import embedding, graph, iterative, kernels
 
 LINKS = [(a, (a + k) % 30) for a in range(30) for k in (1, 3, 7)[: 1 + a % 3]]
 
@@ -68,3 +68,30 @@ def test_paths_are_searched_from_both_ends(spark, monkeypatch):
     monkeypatch.undo()
     held = [df.where(f"end = {code((5, 5))}").count() for name, df in levels if name == "level"]
     assert 0 < sum(held) <= 2 + 4 + 8 + 12  # three steps from it meet two from the other end
+
+
+def test_constraint_opens_no_pairs_that_are_no_contacts(spark):
+    links = [(min(a, b), max(a, b)) for a, b in LINKS] + [(100, k) for k in range(101, 130)] + [(101, 102), (102, 103), (101, 103)]
+    near = kernels._adjacency([(*p, "") for p in links], False)
+    want = {i: sum((1 / len(near[i]) + sum(1 / len(near[i]) / len(near[q]) for q in near[i] if j in near[q])) ** 2 for j in near[i]) for i in near}
+    df = graph.constraint(spark.createDataFrame(sorted(set(links)), "u long, v long"))
+    assert {r.id: r.constraint for r in df.collect()} == pytest.approx(want)
+    assert "(p * p2)" not in df._jdf.queryExecution().analyzed().toString()  # two-paths are not weighed
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_signatures_meet_block_by_block(spark, block):
+    rng = np.random.default_rng(4)
+    own = {i: {f"k{k}": float(rng.integers(1, 5)) for k in rng.choice(9, rng.integers(1, 6), replace=False)} for i in range(30)}
+    df = spark.createDataFrame([(i, k, w) for i, s in own.items() for k, w in s.items()], "id long, key string, w double")
+    out = graph.signature_cosine(df, 0.4, 2, block)
+    size = lambda s: sum(w * w for w in s.values()) ** 0.5
+    want = {}
+    for a in own:
+        for b in range(a + 1, 30):
+            both = own[a].keys() & own[b].keys()
+            cosine = sum(own[a][k] * own[b][k] for k in both) / (size(own[a]) * size(own[b]))
+            if len(both) >= 2 and cosine >= 0.4:
+                want[a, b] = (pytest.approx(cosine), len(both))
+    assert want and {(r.a, r.b): (r.cosine, r.shared) for r in out.collect()} == want
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and "Join" not in out._jdf.queryExecution().analyzed().toString()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from weft.catalog import extra, traces, vectors
-from weft.operators import embedding, graph, iterative, kernels
+from weft.operators import embedding, graph, iterative, kernels, summarize
 
 LINKS = [(a, (a + k) % 30) for a in range(30) for k in (1, 3, 7)[: 1 + a % 3]]
 
@@ -95,3 +95,19 @@ def test_signatures_meet_block_by_block(spark, block):
                 want[a, b] = (pytest.approx(cosine), len(both))
     assert want and {(r.a, r.b): (r.cosine, r.shared) for r in out.collect()} == want
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and "Join" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_resamples_of_a_large_group_are_dealt_to_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    values = {"a": rng.normal(size=80), None: rng.normal(size=40), "c": np.ones(3)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in values.items() for v in x], "g string, v double")
+    monkeypatch.setattr(summarize, "DRAWS", 4_000)
+    out = summarize.bootstrap_mean(df, "v", ["g"], 999)
+    got = {r.g: r for r in out.collect()}
+    assert got.keys() == values.keys() and (got["c"].ci_low, got["c"].ci_high) == (1, 1)
+    for g in ("a", None):
+        x, r = values[g], got[g]
+        half = 1.96 * x.std() / len(x) ** 0.5
+        assert (r.mean, r.n) == (pytest.approx(x.mean()), len(x))
+        assert (r.ci_low, r.ci_high) == pytest.approx((x.mean() - half, x.mean() + half), abs=0.25 * half)
+    assert "__part" in out._jdf.queryExecution().analyzed().toString()

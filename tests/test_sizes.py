@@ -1,10 +1,15 @@
 """What keeps large tables within limits: nothing whole on the driver, searches that end where they meet, no pairs that are dropped again."""
 
+from datetime import datetime
+
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from weft.catalog import extra, traces, vectors
-from weft.operators import embedding, graph, iterative, kernels, summarize
+from weft.catalog import all_queries, all_sql, extra, traces, vectors
+from weft.operators import distances, embedding, graph, iterative, kernels, summarize
 
 LINKS = [(a, (a + k) % 30) for a in range(30) for k in (1, 3, 7)[: 1 + a % 3]]
 
@@ -111,3 +116,46 @@ def test_resamples_of_a_large_group_are_dealt_to_tasks(spark, monkeypatch):
         assert (r.mean, r.n) == (pytest.approx(x.mean()), len(x))
         assert (r.ci_low, r.ci_high) == pytest.approx((x.mean() - half, x.mean() + half), abs=0.25 * half)
     assert "__part" in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_pairs_are_searched_without_rows_of_what_lies_around_them(spark, monkeypatch):
+    """A way of 40 nodes, a star and all their pairs: no table is larger than links, nodes and pairs; levels that are dropped are found again."""
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(40, 100)]
+    near = kernels._adjacency([(*x, "") for x in links], False)
+    ends = [*range(0, 41, 2), *range(100, 140, 3), 999]
+    pairs = [(a, b) for a in ends for b in ends if a < b]
+    sizes = []
+    for module in (iterative, distances):
+        monkeypatch.setattr(module, "written", lambda df, name, real=module.written: sizes.append(df.count()) or real(df, name))
+    both = spark.createDataFrame(links + [(b, a) for a, b in links], "a long, b long").repartition(3)
+    asked = spark.createDataFrame(pairs + pairs[:5] + [(0, 0)], "a long, b long")
+    for far in (1, 4, 7):
+        got = sorted((r.a, r.b, r.dist) for r in iterative.pair_distances(both, asked, far).collect())
+        assert got == sorted((a, b, d) for a, b in pairs if 0 < (d := kernels.distances(near, a).get(b, 99) if a in near else 99) <= far)
+    assert max(sizes) <= max(2 * len(links), len(pairs))
+    by_joins = iterative.pair_distances(both, asked, 4, task_links=0)
+    assert sorted(map(tuple, by_joins.collect())) == sorted(map(tuple, iterative.pair_distances(both, asked, 4).collect()))
+    ids = np.array(sorted(near))
+    first = np.concatenate(([0], np.cumsum([len(near[x]) for x in ids])))
+    other = np.searchsorted(ids, [y for x in ids for y in near[x]]).astype(np.int32)
+    small = distances.Search(first, other, kept=10)
+    for far in (7, 60):
+        for k in (0, 17, 40, 41, 60, 17):
+            hops = kernels.distances(near, ids[k])
+            want = [hops[x] if hops[x] <= far else -1 for x in ids]
+            assert small.hops(k, np.arange(len(ids)), far).tolist() == want
+
+
+def test_dissonance_counts_paths_beyond_the_last_hop_as_its_sql_does(spark, tmp_path):
+    day = datetime(1996, 1, 1)
+    # 12 customers in a row, and vectors of its ends, of two within it and of one elsewhere
+    orders = pa.table({"o_orderkey": [*range(12), 50, 51], "o_custkey": [*range(12), 50, 51], "o_orderdate": [day] * 12 + [datetime(1997, 1, 1)] * 2, "o_orderpriority": ["1-URGENT"] * 14})
+    v = {0: [1.0, 0.0], 11: [0.8, 0.6], 5: [0.6, 0.8], 6: [0.0, 1.0], 50: [1.0, 0.0]}
+    embeddings = pa.table({"vec_id": list(v), "embedding": pa.array(list(v.values()), pa.list_(pa.float32())), "label": pa.array([0] * len(v), pa.int32())})
+    con = duckdb.connect()
+    for name, rows in (("orders", orders), ("embeddings", embeddings)):
+        pq.write_table(rows, tmp_path / f"{name}.parquet", coerce_timestamps="us")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = sorted(con.execute(all_sql()["m06_dissonance"]).fetchall(), key=str)
+    got = sorted(map(tuple, all_queries()["m06_dissonance"](spark, str(tmp_path)).collect()), key=str)
+    assert got == want and {h for *_, h, _ in want} == {None, 5, 6}

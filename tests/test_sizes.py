@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from weft.catalog import all_queries, all_sql, extra, traces, vectors
+from weft.catalog import all_queries, all_sql, extra, scores, traces, vectors
 from weft.operators import distances, embedding, graph, iterative, kernels, summarize
 
 LINKS = [(a, (a + k) % 30) for a in range(30) for k in (1, 3, 7)[: 1 + a % 3]]
@@ -184,3 +184,20 @@ def test_first_pairs_are_those_of_all_pairs(spark, listed, summed):
 def test_mined_insights_send_no_pairs(spark):
     text = all_queries()["k08_mined_insights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in text and not re.search(r"Exchange hashpartitioning\((u|a)#\d+L?, (v|c)#\d+L?", text)
+
+
+def test_tasks_make_no_row_for_what_a_line_gives(spark, tmp_path):
+    """Lines that share parts, suppliers and keys, whose payloads differ in order as text and as numbers."""
+    rows = [(7, k, float(q), p, s, f) for k, (q, p, s, f) in enumerate([(9, 1, 1, "A"), (10, 1, 1, "A"), (2, 1, 2, "R"), (30, 2, 1, "X"), (4, 2, 1, "X"), (5, 1, 1, "A"), (100, 3, 3, "N")], 1)] + [(8, 4, 1.0, 5, 5, "X"), (9, 5, 1.0, 5, 5, "N")]
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_returnflag"]
+    pq.write_table(pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))), tmp_path / "lineitem.parquet")
+    t = scores.tasks(spark, str(tmp_path))
+    text = t._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text and text.count("Exchange hashpartitioning") == 1
+    one = {r.o: r for r in t.collect()}[7]
+    assert one.gn == {"p1": "q9.0", "p2": "q4.0", "p3": "q100.0", "s1": "s", "s2": "s", "s3": "s"}
+    assert one.pe == {"p1\tA\ts1": "q9.0", "p1\tR\ts2": "q2.0", "p1\tA\ts1": "q9.0", "p2\tX\ts1": "x", "p3\tN\ts3": "q100.0"}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = sorted(map(tuple, all_queries()["r02_graph_metrics"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(all_sql()["r02_graph_metrics"]).fetchall())

@@ -32,36 +32,46 @@ ms AS (SELECT *, CASE mode {" ".join(f"WHEN '{m}' THEN {' + '.join(f'{w} * {c}'
 METRICS = ["node_precision", "node_recall", "node_f1", "edge_precision", "edge_recall", "edge_f1", "relation_accuracy", "relation_repair_recall", "wrong_relation_removal_rate", "node_add_recall", "edge_add_recall", "addition_recall", "removal_rate", "fixed_node_preservation", "fixed_edge_preservation", "fixed_object_exact", "spurious_nodes", "spurious_edges", "payload_precision", "same_as_target", "no_edit_match"]
 
 
-#: Lines of a partition of ``tasks`` at most, so that what they explode to is sorted in memory.
+#: Lines of a partition of ``tasks`` at most, so that they are sorted in memory.
 TASK_LINES = 500_000
 
 
 def tasks(spark, d):
     """One row per order with the maps that LONG_SQL describes in long form.
 
-    Lines travel once, as they are, by their order; what they explode to is grouped where it stands.
+    Lines travel once, as they are, by their order, and are grouped where they stand: no row is made for what a line gives.
     """
     lines = table(spark, d, "lineitem")
     parts = max(spark.sparkContext.defaultParallelism, lines.count() // TASK_LINES + 1)
     lines = lines.select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_returnflag").repartition(parts, "l_orderkey")
     ln = lines.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.concat(F.lit("q"), F.col("l_quantity").cast("string")).alias("q"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s"), F.col("l_returnflag").alias("g"))
-    n = F.col("n")
     key = lambda r: F.concat("p", F.lit("\t"), r, F.lit("\t"), "s")
-    row = lambda kind, k, pl, g, p, x, f: F.struct(F.lit(kind).alias("kind"), k.alias("k"), pl.alias("pl"), g.alias("g"), p.alias("p_"), x.alias("x"), f.alias("f"))
-    no, yes = F.lit(False), F.lit(True)
-    kept = n % 4 != 0
-    ev = ln.select("o", F.explode(F.array(row("n", F.col("p"), F.col("q"), yes, kept, n <= 3, n == 1), row("n", F.col("s"), F.lit("s"), yes, kept, n <= 3, no), row("e", key(F.col("g")), F.col("q"), yes, kept & (n % 5 != 0), n <= 2, (n == 1) & (F.col("g") == "A")), row("e", key(F.lit("X")), F.lit("x"), no, kept & (n % 5 == 0), n == 3, no))).alias("e")).select("o", "e.*")
-    kk = ev.groupBy("o", "kind", "k").agg(*[F.max(F.when(F.col(c), F.col("pl"))).alias(c) for c in ("g", "p_", "x")], F.bool_or("f").alias("f"))
-    # a map per graph: one collected list per order, which holds its lines alone
-    e = kk.groupBy("o").agg(F.collect_list(F.struct("kind", "k", "g", "p_", "x", "f")).alias("e"))
-
-    def made(kind: str, c: str):
-        own = F.filter("e", lambda s: (s.kind == kind) & s[c].isNotNull())
-        return F.map_from_arrays(F.transform(own, lambda s: s.k), F.transform(own, lambda s: s[c]))
-
-    fixed = lambda kind: F.transform(F.filter("e", lambda s: (s.kind == kind) & s.f), lambda s: s.k)
+    # an order's lines in one list, with the keys that they give; what they give is made and merged inside the row
+    line = F.struct("n", "q", "g", "p", "s", key(F.col("g")).alias("own"), key(F.lit("X")).alias("other"))
+    e = ln.groupBy("o").agg(F.collect_list(line).alias("e"))
+    entry = lambda k, pl: F.struct(k.alias("k"), pl.alias("pl"))
+    of = lambda when, k, pl: F.transform(F.filter("e", when) if when else F.col("e"), lambda s: entry(s[k], s.q if pl is None else F.lit(pl)))
+
+    made = lambda *parts: F.sort_array(F.concat(*parts))
+    kept, started = lambda s: s.n % 4 != 0, lambda s: s.n <= 3
+    nodes = lambda when: made(of(when, "p", None), of(when, "s", "s"))
+    e = e.withColumns(
+        {
+            "gn": nodes(None),
+            "ge": made(of(None, "own", None)),
+            "pn": nodes(kept),
+            "pe": made(of(lambda s: kept(s) & (s.n % 5 != 0), "own", None), of(lambda s: kept(s) & (s.n % 5 == 0), "other", "x")),
+            "xn": nodes(started),
+            "xe": made(of(lambda s: s.n <= 2, "own", None), of(lambda s: s.n == 3, "other", "x")),
+            "fixed_nodes": F.array_distinct(F.transform(F.filter("e", lambda s: s.n == 1), lambda s: s.p)),
+            "fixed_edges": F.array_distinct(F.transform(F.filter("e", lambda s: (s.n == 1) & (s.g == "A")), lambda s: s.own)),
+        }
+    )
+    # the highest payload of a key is the last of its entries in order
+    merged = lambda c: F.map_from_entries(F.filter(c, lambda s, i: ~F.get(F.col(c), i + 1).k.eqNullSafe(s.k))).alias(c)
+    graph = [merged(c) for c in ("gn", "ge", "pn", "pe", "xn", "xe")]
     mode = F.element_at(F.array(*map(F.lit, MODES)), (F.col("o") % 6 + 1).cast("int"))
-    return e.select("o", mode.alias("mode"), made("n", "g").alias("gn"), made("e", "g").alias("ge"), made("n", "p_").alias("pn"), made("e", "p_").alias("pe"), made("n", "x").alias("xn"), made("e", "x").alias("xe"), fixed("n").alias("fixed_nodes"), fixed("e").alias("fixed_edges"))
+    return e.select("o", mode.alias("mode"), *graph, "fixed_nodes", "fixed_edges")
 
 
 @query("r02_graph_metrics", f"WITH {LONG_SQL} SELECT o, {', '.join(f'round({m}, 8) AS {m}' for m in METRICS)} FROM mf")

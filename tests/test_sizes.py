@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.catalog import all_queries, all_sql, extra, scores, traces, vectors
-from weft.operators import distances, embedding, graph, iterative, kernels, summarize
+from weft.operators import centrality, distances, embedding, graph, iterative, kernels, summarize
 
 LINKS = [(a, (a + k) % 30) for a in range(30) for k in (1, 3, 7)[: 1 + a % 3]]
 
@@ -201,3 +201,26 @@ def test_tasks_make_no_row_for_what_a_line_gives(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     got = sorted(map(tuple, all_queries()["r02_graph_metrics"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(all_sql()["r02_graph_metrics"]).fetchall())
+
+
+def test_every_node_is_a_source_whatever_the_size(spark):
+    # a ring with chords beyond the number of nodes at which pivots were taken: by its symmetry all nodes are equal
+    n = 1504
+    links = {tuple(sorted((i, (i + k) % n))) for i in range(n) for k in (1, 40)}
+    near = {i: {(i + k) % n for k in (1, -1, 40, -40)} for i in range(n)}
+    dist = kernels.distances(near, 0)
+    u = spark.createDataFrame(sorted(links), "u long, v long")
+    close = {r.id: r.closeness for r in centrality.closeness(u).collect()}
+    assert close == pytest.approx(dict.fromkeys(range(n), (n - 1) / sum(dist.values())))
+    # the inner nodes of all shortest paths, shared out evenly
+    inner = (sum(dist.values()) - (n - 1)) / ((n - 1) * (n - 2))
+    assert {r.id: r.betweenness for r in centrality.betweenness(u).collect()} == pytest.approx(dict.fromkeys(range(n), inner))
+    assert centrality.small_world(u).first().distance == pytest.approx(sum(dist.values()) / (n - 1))
+
+
+def test_walks_by_joins_go_in_groups(spark):
+    links = [(1, 2), (2, 3), (20, 21)]
+    near = graph.both(spark.createDataFrame(links, "u long, v long"))
+    start = near.selectExpr("a AS id").distinct()
+    one, many = ([{tuple(r) for r in x.collect()} for x in centrality._by_joins(near, start, rows)] for rows in (10**6, 15))
+    assert one == many and len(one[1]) == 5

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.catalog import all_queries, all_sql, extra, scores, traces, vectors
-from weft.operators import centrality, distances, embedding, graph, iterative, kernels, summarize
+from weft.operators import centrality, distances, embedding, graph, iterative, kernels, mining, summarize
 
 LINKS = [(a, (a + k) % 30) for a in range(30) for k in (1, 3, 7)[: 1 + a % 3]]
 
@@ -224,3 +224,20 @@ def test_walks_by_joins_go_in_groups(spark):
     start = near.selectExpr("a AS id").distinct()
     one, many = ([{tuple(r) for r in x.collect()} for x in centrality._by_joins(near, start, rows)] for rows in (10**6, 15))
     assert one == many and len(one[1]) == 5
+
+
+def test_every_neighbour_of_a_hub_opens_pairs(spark, monkeypatch):
+    # 203 leaves of a hub, of which two more nodes share a pair
+    leaves = range(1, 204)
+    links = [(0, k) for k in leaves] + [(1, 300), (203, 300)]
+    u = spark.createDataFrame(links, "u long, v long")
+    vectors = spark.createDataFrame([(k, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in leaves], "id long, v array<double>")
+    pairs = {(a, b) for a in leaves for b in leaves if a < b}
+    edges = u.selectExpr("u AS src", "v AS dst", "5L AS iter")
+    born = spark.createDataFrame([(k, k) for k in (0, *leaves, 300)], "id long, iter long")
+    for meet in (200, 70):
+        monkeypatch.setattr(mining, "MEET", meet)
+        found = {(r.u, r.v): r.common for r in mining.latent_links(u, vectors).collect()}
+        assert found == {p: 2 if p == (1, 203) else 1 for p in pairs} | {(0, 300): 2}
+        met = {(r.u, r.v): r.iter for r in mining.recombinations(edges, born, vectors, below=-0.5).collect()}
+        assert met == {p: max(5, p[1]) for p in pairs if p[0] % 2 != p[1] % 2}

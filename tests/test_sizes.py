@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.catalog import all_queries, all_sql, extra, scores, traces, vectors
+from weft.functions import graphjson as gj
 from weft.operators import centrality, distances, embedding, graph, iterative, kernels, mining, summarize
 
 LINKS = [(a, (a + k) % 30) for a in range(30) for k in (1, 3, 7)[: 1 + a % 3]]
@@ -241,3 +242,16 @@ def test_every_neighbour_of_a_hub_opens_pairs(spark, monkeypatch):
         assert found == {p: 2 if p == (1, 203) else 1 for p in pairs} | {(0, 300): 2}
         met = {(r.u, r.v): r.iter for r in mining.recombinations(edges, born, vectors, below=-0.5).collect()}
         assert met == {p: max(5, p[1]) for p in pairs if p[0] % 2 != p[1] % 2}
+
+
+def test_graph_json_is_read_once_an_object(spark):
+    text = '{"nodes": [{"id": "b"}, {"id": " a ", "x": 1}, {"id": "a"}, {"id": ""}], "edges": [{"source": "a", "relation": "r", "target": "b"}, {"source": "a", "relation": "r", "target": "b", "w": 2}, {"source": "a", "target": "z"}]}'
+    df = spark.createDataFrame([(text,), (None,), ('{"nodes": []}',)], "j string")
+    g = gj.parsed(F.col("j"))
+    one, two = df.select(gj.canonical(g).alias("c")), df.select(gj.audit(g).alias("a"))
+    # a node has one field that is read, an edge three
+    for found in (one, two):
+        assert found._jdf.queryExecution().analyzed().toString().count("get_json_object") == 4
+    first = one.first().c
+    assert [x.k for x in first.nodes] == ["a", "b"] and [x.k for x in first.edges] == ["a\tr\tb"] and first.nodes[0].p == '{"id":" a ","x":1}'
+    assert [tuple(r.a) for r in two.collect()] == [(False, 1, 1, 1, False), (False, 0, 0, 0, False), (False, 0, 0, 0, False)]
